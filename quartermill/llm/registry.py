@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import rules, sharding, warc
+from . import bpe, packing, rules, sharding, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (sharding.op4_sharding, rules.op7_quality_rules, warc.op8_warc)}
+    return {f.__name__: f for f in (packing.op1_packing, sharding.op4_sharding, bpe.op5_bpe, rules.op7_quality_rules, warc.op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
