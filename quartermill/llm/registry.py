@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, neardup, neighbours, packing, quality, rules, sharding, warc
+from . import bpe, langid, neardup, neighbours, packing, quality, rules, sharding, substrings, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (packing.op1_packing, quality.op2_quality, neardup.op3_minhash, sharding.op4_sharding, bpe.op5_bpe, neighbours.op6_neighbours, rules.op7_quality_rules, warc.op8_warc, langid.op10_langid)}
+    return {f.__name__: f for f in (packing.op1_packing, quality.op2_quality, neardup.op3_minhash, sharding.op4_sharding, bpe.op5_bpe, neighbours.op6_neighbours, rules.op7_quality_rules, warc.op8_warc, substrings.op9_suffix_array, langid.op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
