@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,8 +184,8 @@ def accepted(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def keep(texts):
-        return texts.map(lambda t: not predict(shared.value, t)[2]).astype(bool)
+    def keep(texts: pd.Series) -> pd.Series:
+        return pd.Series([not predict(shared.value, t)[2] for t in texts], dtype=bool)
 
     return docs.where(keep(F.col("text").cast("string")))
 

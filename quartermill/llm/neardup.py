@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Cut, batches, bound_batches, cut, keyed, utf8
+from .shared import batches, bound_batches, cut, keyed, restored, utf8
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent
 ROWS, BANDS, SEED = 6, 40, 41
@@ -157,9 +157,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) ->
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """rid, doc_id, n_shingles, component_id and kept for every document."""
-    bound_batches(docs.sparkSession)
-    rows, renumbered = keyed(docs)
-    signed = cut(rows.mapInArrow(_signatures(size), SIGNATURE), "signatures").df
+    return grouped(*keyed(docs), size, similarity)
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """docs with one document of each component, all columns."""
+    rows, renumbered = keyed(docs, carry=True)
+    kept = grouped(rows, renumbered, size, similarity).where("kept").select("rid")
+    return restored(rows.join(kept, "rid"), docs.columns)
+
+
+def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> DataFrame:
+    bound_batches(rows.sparkSession)
+    signed = cut(rows.select("rid", "doc_id", "text").mapInArrow(_signatures(size), SIGNATURE), "signatures").df
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # only classes of several need a lookup; all other rows stand for themselves
     copies = signed.where("n > 0").select("rid", "digest").join(classes.where("copies > 1"), "digest").select("rid", "rep")

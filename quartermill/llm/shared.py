@@ -68,19 +68,28 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs as (rid, doc_id, text, order_id): rid is unique per row and sorts as doc_id does.
+def keyed(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, bool]:
+    """docs as (rid, doc_id, text) and whether rows were numbered: rid is unique per row and sorts as doc_id does.
 
     rid is doc_id itself when doc_ids are distinct and not null (checked by a count over
     the id column alone). Otherwise rows are numbered in the order of doc_id (null first),
-    then the text's hash, and the numbering is written out so that retries agree.
+    then the text's hash, and the numbering is written out so that retries agree. With
+    carry, the struct `others` holds all columns but text, so that no names clash.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if carry:
+        base.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("others"))
+    base = docs.select(*base)
     repeated = base.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not repeated:
-        return base.select(F.col("doc_id").alias("rid"), "doc_id", "text"), False
+        return base.withColumn("rid", F.col("doc_id")), False
     order = base.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return cut(order.withColumn("rid", F.monotonically_increasing_id()), "keyed").df.select("rid", "doc_id", "text"), True
+    return cut(order.withColumn("rid", F.monotonically_increasing_id()), "keyed").df, True
+
+
+def restored(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns called names, in that order, from `others` and `text`."""
+    return rows.select(*[F.col("text").alias(n) if n.lower() == "text" else F.col(f"others.`{n}`").alias(n) for n in names])
 
 
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

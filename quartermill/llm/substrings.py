@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runindex import RunLengthIndex
-from .shared import batches, bound_batches, cut, keyed, part_rows, utf8
+from .shared import batches, bound_batches, cut, keyed, part_rows, restored, utf8
 
 LENGTH, K = 100, 24
 SPAN = LENGTH - K + 1
@@ -277,8 +277,22 @@ def _cutter(with_text: bool):
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text."""
-    bound_batches(docs.sparkSession)
-    rows, _ = keyed(docs)
+    return trimmed(keyed(docs)[0], with_text, hot)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with the repeated bytes cut from text (letters cut in half go too); n_chars follows."""
+    rows, _ = keyed(docs, carry=True)
+    texts = trimmed(rows, with_text=True).select("rid", F.col("kept_text").alias("text"))
+    out = restored(rows.select("rid", "others").join(texts, "rid"), docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def trimmed(rows: DataFrame, with_text: bool, hot: int = HOT) -> DataFrame:
+    bound_batches(rows.sparkSession)
+    rows = rows.select("rid", "doc_id", "text")
     ranges = marks(rows.select("rid", "text"), hot).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     joined = rows.join(ranges, "rid", "left")
     return joined.mapInArrow(_cutter(with_text), "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
