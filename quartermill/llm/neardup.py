@@ -6,12 +6,15 @@ random order (optimal densification). BANDS bands of ROWS values make buckets. E
 shingle sets form a class first, so copies are one member of any bucket.
 
 In a bucket every member is compared with one centre only (a star), so pairs grow with the
-bucket, not with its square. Links are confirmed on full shingle sets. To lose none, a
-bucket stays open while its members lie in more than one component: it takes the next
-centre, from its smallest component, until one component or one member is left. So every
-pair of a bucket is either in one component or has been confirmed or refuted.
+bucket, not with its square. Links are confirmed on full shingle sets. To lose none,
+members of buckets that are still in several components are hashed anew into FINE_BANDS
+bands of FINE_ROWS values, where texts of middling similarity part. Such a bucket stays
+open while its members lie in more than one component: it takes a few centres more, from
+its smallest components, until one component or one member is left. So every pair of a
+fine bucket is either in one component or has been confirmed or refuted.
 
-At similarity 0.8 a pair misses all buckets with probability (1 - 0.8^ROWS)^BANDS = 5e-6.
+At similarity 0.8 a pair misses all bands with probability (1 - 0.8^ROWS)^BANDS = 5e-6,
+all fine bands with (1 - 0.8^FINE_ROWS)^FINE_BANDS = 1.3e-5.
 
 Defined results: null, empty or blank text has no shingles, links with nothing and is
 kept; a text of fewer words than a shingle is one shingle of the whole sequence; of rows
@@ -34,29 +37,43 @@ from .shared import batches, bound_batches, cut, keyed, restored, utf8
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent
 ROWS, BANDS, SEED = 6, 40, 41
-BINS = ROWS * BANDS
+FINE_ROWS, FINE_BANDS, CENTRES = 14, 250, 4
 PROBES = 512
-REMEMBERED = 500_000
 SIGNATURE = "rid long, doc_id long, n long, digest binary, bands array<long>"
 
 
-class Words:
-    """64-bit hashes of words; a bounded memory of those seen."""
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BYTES = np.random.default_rng(SEED).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def hashes(self, data: bytes) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for w in data.lower().split():  # bytes: A-Z alone are lowered, x20 and x09-x0D alone cut
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+class Powers:
+    """Powers of BASE and of its inverse, as long as the longest text so far."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 2 * len(cls.up), 1 << 16)
+            both = np.ones((2, size), np.uint64)
+            both[0, 1:], both[1, 1:] = np.uint64(BASE), np.uint64(UNBASE)
+            cls.up, cls.down = np.cumprod(both, axis=1, dtype=np.uint64)
+        return cls.up, cls.down
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, A-Z lowered, cut at x20 and x09-x0D."""
+    b = np.frombuffer(data.lower(), np.uint8)  # of bytes, lower() changes A-Z alone
+    inside = ~SPACE[b]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    first, end = edge[::2], edge[1::2]
+    up, down = Powers.to(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTES[b] * up[: len(b)], out=total[1:])
+    return mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -76,19 +93,19 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-@lru_cache(maxsize=1)
-def probes() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, BINS, (PROBES, BINS))
+@lru_cache(maxsize=2)
+def probes(bins: int) -> np.ndarray:
+    return np.random.default_rng([SEED, bins]).integers(0, bins, (PROBES, bins), np.int32)
 
 
-def signature(marks: np.ndarray) -> np.ndarray:
-    """BINS values of a non-empty sorted set; sorted hashes fall into ascending ranges."""
-    at = ((marks >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+def signature(marks: np.ndarray, bins: int) -> np.ndarray:
+    """One value for each bin of a non-empty sorted set; sorted hashes fall into ascending ranges."""
+    at = ((marks >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    value, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
+    value, full = np.zeros(bins, np.uint64), np.zeros(bins, bool)
     value[at[first]], full[at[first]] = marks[first], True
     empty = np.flatnonzero(~full)
-    for row in probes():
+    for row in probes(bins):
         if not len(empty):
             break
         lender = row[empty]
@@ -97,27 +114,27 @@ def signature(marks: np.ndarray) -> np.ndarray:
         empty = empty[~hit]
     if len(empty):  # few full ranges: take one of them by the last probe
         lenders = np.flatnonzero(full)
-        value[empty] = value[lenders[probes()[-1][empty] % len(lenders)]]
+        value[empty] = value[lenders[probes(bins)[-1][empty] % len(lenders)]]
     return value
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in values.reshape(BANDS, ROWS).T:
+def bands(marks: np.ndarray, rows: int, count: int) -> np.ndarray:
+    """Bucket keys of a non-empty sorted set."""
+    h = np.arange(1, count + 1, dtype=np.uint64)
+    for column in signature(marks, rows * count).reshape(count, rows).T:
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + column)
     return h.view(np.int64)
 
 
 def _signatures(size: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches(source):
             n, digest, keys = [], [], []
             for data in utf8(b):
-                marks = shingles(words.hashes(data), size)
+                marks = shingles(word_hashes(data), size)
                 n.append(len(marks))
                 digest.append(xxhash.xxh3_128_digest(marks.tobytes()) if len(marks) else None)
-                keys.append(bands(signature(marks)) if len(marks) else None)
+                keys.append(bands(marks, ROWS, BANDS) if len(marks) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("rid")), b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["rid", "doc_id", "n", "digest", "bands"],
@@ -126,18 +143,31 @@ def _signatures(size: int):
     return run
 
 
+def _fine(size: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(source):
+            n, keys = [], []
+            for data in utf8(b):
+                marks = shingles(word_hashes(data), size)
+                n.append(len(marks))
+                keys.append(bands(marks, FINE_ROWS, FINE_BANDS))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rid")), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "n", "bands"])
+
+    return run
+
+
 def _confirm(size: int, similarity: int):
     """Confirms pairs on full sets; a run of pairs with one centre computes its set once."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, centre, marks = Words(), None, None
+        centre, marks = None, None
         for b in batches(source):
             a, c = (b.column(b.schema.get_field_index(x)).to_pylist() for x in ("a", "b"))
             keep = []
             for i, (x, y) in enumerate(zip(utf8(b, "text_a"), utf8(b, "text_b"))):
                 if c[i] != centre:
-                    centre, marks = c[i], shingles(words.hashes(y), size)
-                own = shingles(words.hashes(x), size)
+                    centre, marks = c[i], shingles(word_hashes(y), size)
+                own = shingles(word_hashes(x), size)
                 both = np.concatenate([own, marks])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -155,6 +185,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) ->
     return two.mapInArrow(_confirm(size, similarity), "a long, b long")
 
 
+def several(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those (key, rep, n) whose bucket has members of several components, with their label."""
+    placed = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(keys, "key")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """rid, doc_id, n_shingles, component_id and kept for every document."""
     return grouped(*keyed(docs), size, similarity)
@@ -183,35 +220,32 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
     pairs = cut(buckets.where("rep <> centre").where(fits).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     involved = buckets.select(F.col("rep").alias("rid")).distinct()
     texts = cut(rows.select("rid", "text").join(involved, "rid"), "texts")
-    links, tried = [cut(confirmed(pairs.df, texts.df, size, similarity), "confirmed").df], pairs.df
-    labels = components(links[0])
-    spent = [labels]
-    # centres spent are taken out; buckets whose members all lie in one component are done
-    open_rows = buckets.where("rep <> centre").select("key", "rep", "n")
+    links = cut(confirmed(pairs.df, texts.df, size, similarity), "confirmed").df
+    labels = components(links)
+    # who is still apart from another member of a bucket, its spent centre aside, is hashed anew
+    apart = several(buckets.where("rep <> centre").select("key", "rep", "n"), labels.df).select(F.col("rep").alias("rid")).distinct()
+    fine = texts.df.join(cut(apart, "apart").df, "rid").mapInArrow(_fine(size), "rep long, n long, bands array<long>")
+    fine = fine.select("rep", "n", F.explode("bands").alias("key"))
+    shared = fine.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    members = cut(fine.join(shared, "key"), "fine").df.select("key", "rep", "n")
+    tried = pairs.df
     while True:
-        placed = open_rows.join(labels.df.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        left = cut(placed.join(mixed_keys, "key"), "open")
-        spent.append(left)
-        if not left.df.limit(1).count():
+        left = cut(several(members, labels.df), "open").df
+        if not left.limit(1).count():
             break
-        parts = left.df.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("c"))
-        chosen = parts.groupBy("key").agg(F.min(F.struct("members", "c", "label")).alias("s")).select("key", F.col("s.c.rep").alias("centre"), F.col("s.c.n").alias("centre_n"), F.col("s.label").alias("centre_label"))
-        starred = left.df.join(chosen, "key")
-        new = starred.where("label <> centre_label").where(fits).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-        seen = tried.union(tried.select("b", "a"))
-        fresh = cut(new.join(seen, ["a", "b"], "left_anti"), "pairs")
-        spent.append(fresh)
-        tried = tried.union(fresh.df)
-        more = cut(confirmed(fresh.df, texts.df, size, similarity), "confirmed").df
+        parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("c"))
+        nth = F.expr("row_number() over (partition by key order by members, c)")
+        centres = parts.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("label").alias("centre_label"))
+        centres = cut(centres, "centres").df
+        new = left.join(centres, "key").where("label <> centre_label").where(fits).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+        fresh = cut(new.join(tried, ["a", "b"], "left_anti"), "pairs").df
+        tried = tried.union(fresh)
+        more = cut(confirmed(fresh, texts.df, size, similarity), "confirmed").df
         if more.limit(1).count():
-            links.append(more)
-            union = links[0]
-            for x in links[1:]:
-                union = union.union(x)
-            labels = components(union)
-            spent.append(labels)
-        open_rows = starred.where("rep <> centre").select("key", "rep", "n")
+            links = links.union(more)
+            labels = components(links)
+        # centres spent are taken out
+        members = left.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
     texts.drop()
     own = signed.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(copies, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
     placed = own.join(labels.df.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))

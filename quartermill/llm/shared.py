@@ -37,9 +37,9 @@ def bound_batches(spark: SparkSession) -> None:
 class Cut:
     """A table written to the shared folder: ends the lineage, survives lost executors."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path = spark, path
-        self.df = spark.read.parquet(path)
+        self.df = spark.read.schema(schema).parquet(path)  # given, so no job looks for it
 
     def drop(self) -> None:
         """Deletes the files; only after everything that reads them has been written."""
@@ -60,7 +60,7 @@ def cut(df: DataFrame, tag: str) -> Cut:
     """Writes df as Parquet in the shared folder and reads it back."""
     path = fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return Cut(df.sparkSession, path)
+    return Cut(df.sparkSession, path, df.schema)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
