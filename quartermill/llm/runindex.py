@@ -2,8 +2,8 @@
 
 The text is a list of strings (contexts). Suffixes end at their string's end; equal ones
 are ordered by string, so that stepping to the preceding letter keeps their order. Kept
-are the runs of the transform, the number of each letter before each run, the rows of the
-strings' ends, and, sampled where the first `length` letters of neighbouring rows differ,
+are the runs of the transform, the number of each letter before each run, the row of each
+string's last stretch of `length` letters, and, sampled where the first `length` letters of neighbouring rows differ,
 the earliest start among the rows of that stretch. The suffix array itself is dropped.
 """
 
@@ -36,7 +36,8 @@ class RunLengthIndex:
         self.run_target = target
         row = np.empty(len(order), np.int64)
         row[order] = np.arange(len(order))
-        self.end_rows = row[self.ends]
+        self.last_rows = row[np.maximum(self.ends - length, self.starts)]
+        self.length = length
         self.stretch_start = np.flatnonzero(np.diff(stretch, prepend=-1))
         self.order_for_samples = order  # until sampled() is called
 
@@ -77,12 +78,15 @@ class RunLengthIndex:
         return self.run_target[run] + rows - self.run_start[run]
 
     def stream(self):
-        """Walks all strings from their ends to their starts together: yields (strings still walking, offsets, earliest worth of the match there)."""
-        rows, left = self.end_rows.copy(), self.ends - self.starts
-        live = np.flatnonzero(left > 0)
+        """Walks all strings together from their last window of `length` letters to their starts.
+
+        Yields (strings still walking, the window's offset, earliest worth among equal windows).
+        """
+        rows, left = self.last_rows.copy(), self.ends - self.starts - self.length
+        live = np.flatnonzero(left >= 0)
         while len(live):
-            rows[live] = self.back(rows[live])
-            left[live] -= 1
             stretch = np.searchsorted(self.stretch_start, rows[live], "right") - 1
             yield live, left[live], self.earliest[stretch]
-            live = live[left[live] > 0]
+            left[live] -= 1
+            live = live[left[live] >= 0]
+            rows[live] = self.back(rows[live])

@@ -5,8 +5,8 @@ hashes. Equal windows have equal anchors at equal offsets, so only windows with
 anchor hash need comparing, whatever the size of the corpus. Consecutive windows of one
 anchor form a context.
 
-1. A pass over the texts gives, per anchor, its hash and a hash of its whole context.
-   Equal contexts are a class: all but the earliest hold only repeated windows. A task
+1. A pass over the texts gives, per anchor, its hash and a hash of its whole context
+   (48 bits each; contexts count as equal if all 96 agree). Equal contexts are a class: all but the earliest hold only repeated windows. A task
    settles its own repeats before anything is shuffled.
 2. The classes' earliest contexts meet by anchor hash. Where an anchor has several
    different contexts, their bytes are fetched and indexed in blocks: a run-compressed
@@ -38,11 +38,13 @@ from .shared import batches, bound_batches, cut, keyed, part_rows, restored, utf
 LENGTH, K = 100, 24
 SPAN = LENGTH - K + 1
 #: Bytes of text a task settles at once; bytes of a block; contexts of an anchor that a block takes; windows worked on at once.
-FLUSH, BLOCK, HOT, SLICE = 48 << 20, 2 << 20, 8_000, 1 << 19
+FLUSH, BLOCK, HOT, SLICE = 48 << 20, 1 << 18, 8_000, 1 << 19
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 FOUND = "rid long, h long, s int, e int, members int"
 MARKS = "rid long, s int, e int"
 RECORD = np.dtype([("h", "<i8"), ("c", "<i8"), ("rid", "<i8"), ("s", "<i4"), ("e", "<i4")])
+#: Bits of an anchor's and a context's hash that are compared: 48 each, 96 for equal contexts.
+BITS = np.int64((1 << 48) - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -82,7 +84,7 @@ def contexts(data: bytes) -> tuple[np.ndarray, ...]:
         s1 = placed[stop] - placed[first] - s0 * first.astype(np.uint64)
         c = (s0 * M1) ^ ((s1 ^ (s1 >> np.uint64(29))) * M2) ^ ((anchor[first] - first).astype(np.uint64) * M3) ^ (stop - first).astype(np.uint64)
         c ^= c >> np.uint64(32)
-        out.append((h[anchor[first]].view(np.int64), c.view(np.int64), first + base, last + base + LENGTH))
+        out.append((h[anchor[first]].view(np.int64) & BITS, c.view(np.int64) & BITS, first + base, last + base + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
 
@@ -94,6 +96,43 @@ def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, new
 
 
+def packed(rows: np.ndarray, kept: bool) -> bytes:
+    """Records in text order, column by column in as few bytes as they need; repeats that are settled go without hashes."""
+    six = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    steps = np.diff(rows["rid"], prepend=rows["rid"][:1])
+    wide = bool(len(steps) and steps.max() >= 1 << 31)
+    return b"".join(
+        [
+            bytes([kept, wide]),
+            int(rows["rid"][0]).to_bytes(8, "little", signed=True),
+            steps.astype("<i8" if wide else "<i4").tobytes(),
+            np.ascontiguousarray(rows["s"]).tobytes(),
+            (rows["e"] - rows["s"] - LENGTH).astype(np.uint8).tobytes(),
+            six(rows["h"]) + six(rows["c"]) if kept else b"",
+        ]
+    )
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    kept, wide = blob[0], blob[1]
+    step = 8 if wide else 4
+    n = (len(blob) - 10) // (step + 5 + 12 * kept)
+    rows, at = np.zeros(n, RECORD), 10
+    rows["rid"] = int.from_bytes(blob[2:10], "little", signed=True) + np.cumsum(np.frombuffer(blob, f"<i{step}", n, at).astype(np.int64))
+    at += step * n
+    rows["s"] = np.frombuffer(blob, "<i4", n, at)
+    at += 4 * n
+    rows["e"] = rows["s"] + LENGTH + np.frombuffer(blob, np.uint8, n, at)
+    at += n
+    if kept:
+        for x in ("h", "c"):
+            wide_ = np.zeros((n, 8), np.uint8)
+            wide_[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
+            rows[x] = wide_.view("<i8").ravel()
+            at += 6 * n
+    return rows
+
+
 def _anchors(buckets: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -102,15 +141,13 @@ def _anchors(buckets: int):
             rows, new = settle(np.concatenate(held))
             at, blobs = [], []
             for kept, part in ((True, rows[new]), (False, rows[~new])):
-                bucket = (part["h"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
+                bucket = part["h"] % buckets
+                order = np.lexsort((part["s"], part["rid"], bucket))
                 part, edges = part[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in range(buckets):
                     if edges[b] < edges[b + 1]:
                         at.append(b)
-                        some = part[edges[b] : edges[b + 1]]
-                        # column by column, as that packs better
-                        blobs.append((b"\1" if kept else b"\0") + b"".join(np.ascontiguousarray(some[x]).tobytes() for x in RECORD.names))
+                        blobs.append(packed(part[edges[b] : edges[b + 1]], kept))
             for i in range(0, len(at), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], names=["bucket", "blob"])
 
@@ -131,21 +168,11 @@ def _anchors(buckets: int):
     return run
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    n = (len(blob) - 1) // RECORD.itemsize
-    rows, at = np.empty(n, RECORD), 1
-    for x in RECORD.names:
-        kind = RECORD[x]
-        rows[x] = np.frombuffer(blob, kind, n, at)
-        at += n * kind.itemsize
-    return rows
-
-
 def _classes(key: tuple, table: pa.Table) -> pa.Table:
     """Marks of repeated contexts (members 0), and the contexts of anchors that have several."""
     kept, done = [], []
     for blob in table.column("blob").to_pylist():
-        (kept if blob[0] else done).append(_unpacked(blob))
+        (kept if blob[0] else done).append(unpacked(blob))
     rows, new = settle(np.concatenate([*kept, np.empty(0, RECORD)]))
     head = np.flatnonzero(np.diff(rows["h"], prepend=~rows["h"][:1]))
     count = np.add.reduceat(new.astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
@@ -192,7 +219,7 @@ def repeated_windows(rid: np.ndarray, start: np.ndarray, data: list[bytes]) -> l
     begun = np.full(len(data), -1, np.int64)  # end of the run of marked windows a string is in
     for live, offset, earliest in index.stream():
         place = index.starts[live] + offset
-        marked = (earliest < place) & (place + LENGTH <= index.ends[live])
+        marked = earliest < place
         opening = marked & (begun[live] < 0)
         begun[live[opening]] = offset[opening] + LENGTH
         closing = ~marked & (begun[live] >= 0)
@@ -230,7 +257,7 @@ def in_text_order(rid, start, data):
 def marks(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(rid, s, e): byte ranges of rows (rid, text) to remove; they may overlap."""
     parts = part_rows(rows.sparkSession)
-    blobs = rows.mapInArrow(_anchors(parts), "bucket int, blob binary")
+    blobs = rows.select("rid", "text").mapInArrow(_anchors(parts), "bucket int, blob binary")
     found = cut(blobs.groupBy("bucket").applyInArrow(_classes, FOUND), "contexts").df
     still = found.where("members > 0")
     size, most = still.agg(F.sum(F.col("e") - F.col("s")), F.max("members")).first()
@@ -239,11 +266,11 @@ def marks(rows: DataFrame, hot: int = HOT) -> DataFrame:
         return settled
     blocks = max(parts, -(-size // (4 * BLOCK)))
     spots = still.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "e", "members")).alias("spots"))
-    opened = rows.join(spots, "rid")
+    opened = rows.join(spots, "rid")  # the same exchange of rows as the last join's, so Spark deals the texts out once
     fetched = opened.mapInArrow(_fetch(blocks, False, hot), "block int, h long, rid long, s int, data binary")
     out = settled.unionByName(fetched.groupBy("block").applyInArrow(_index, MARKS))
     if most > hot:
-        windows = cut(opened.mapInArrow(_fetch(blocks, True, hot), "w binary, rid long, p int"), "windows").df
+        windows = opened.mapInArrow(_fetch(blocks, True, hot), "w binary, rid long, p int")
         first = windows.groupBy("w").agg(F.min(F.struct("rid", "p")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "f")
         later = windows.join(first, "w").where("struct(rid, p) <> f")
         out = out.unionByName(later.select("rid", F.col("p").alias("s"), (F.col("p") + LENGTH).alias("e")))
@@ -292,8 +319,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def trimmed(rows: DataFrame, with_text: bool, hot: int = HOT) -> DataFrame:
     bound_batches(rows.sparkSession)
-    rows = rows.select("rid", "doc_id", "text")
-    ranges = marks(rows.select("rid", "text"), hot).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    rows = rows.select("rid", "doc_id", "text").where("rid is not null")
+    ranges = marks(rows, hot).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     joined = rows.join(ranges, "rid", "left")
     return joined.mapInArrow(_cutter(with_text), "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
