@@ -1,52 +1,14 @@
-"""Registered queries of the analytics operators, each with its DuckDB oracle where SQL can express it."""
+"""All registered queries of the analytics operators, each with its DuckDB oracle where SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .functions.quarters import quarter_index
-
-_QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a (spark, sf_dir) function under its own name, with its oracle."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from .queries import chains, kernels, paths, series, tables  # noqa: F401  (registers)
+from .queries.registry import ORACLES, QUERIES
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_GROWTH = """
-with q as (select o_orderpriority, (year(o_orderdate) * 4 + quarter(o_orderdate))::int as quarter_idx, avg(o_totalprice) as level
-  from orders group by all),
-g as (select *, 100 * (ln(level) - lag(ln(level)) over (partition by o_orderpriority order by quarter_idx)) as growth from q)
-select o_orderpriority, quarter_idx, round(growth, 6) as growth, round(400 * (exp(growth / 100) - 1), 6) as annualised from g"""
-
-
-@query(_GROWTH)
-def annualised_growth(spark, sf_dir):
-    """Quarterly mean per series, log growth against the previous row, annualised percent."""
-    levels = table(spark, sf_dir, "orders").groupBy("o_orderpriority", quarter_index("o_orderdate").alias("quarter_idx")).agg(F.avg("o_totalprice").alias("level"))
-    w = Window.partitionBy("o_orderpriority").orderBy("quarter_idx")
-    growth = 100 * (F.ln("level") - F.lag(F.ln("level")).over(w))
-    return levels.withColumn("growth", growth).select("o_orderpriority", "quarter_idx", F.round("growth", 6).alias("growth"), F.round(400 * (F.exp(F.col("growth") / 100) - 1), 6).alias("annualised"))
+    return dict(ORACLES)
