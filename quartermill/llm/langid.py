@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches, bound_batches, strings
+from .shared import batches, bound_batches, cut, strings
 
 BUCKETS, DIM, NGRAMS, PER_LANGUAGE = 1 << 14, 16, (2, 3), 750
 EPOCHS, BATCH, RATE, SEED = 12, 32, 20.0, 11
+SLICES, BROADCAST_ROWS = 16, 100_000
 #: Rejected: scores below this quantile of the rightly predicted calibration rows, and never above REJECT_AT_MOST.
 REJECT_QUANTILE, REJECT_AT_MOST = 0.002, 0.5
 #: Code points worked on at once: bounds memory whatever the length of a text.
@@ -137,8 +138,14 @@ def fit(docs: DataFrame) -> Model | None:
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = rows.where("id is not null and lang is not null and crc32(cast(id as binary)) % 5 != 0")
-    # at most PER_LANGUAGE ids a language, chosen before any text is read; Spark limits each task's rows first
-    ids = known.select("id", "lang").withColumn("nth", F.expr("row_number() over (partition by lang order by xxhash64(id), id)")).where(f"nth <= {PER_LANGUAGE}").select("id", "lang").distinct()
+    # at most PER_LANGUAGE ids a language, chosen before any text is read: first within slices of ids, then overall,
+    # so that the last step sees at most SLICES * PER_LANGUAGE rows a language however many rows there are
+    ids = known.select("id", "lang", F.expr(f"pmod(xxhash64(id, 1), {SLICES})").alias("slice"))
+    for within in ("lang, slice", "lang"):
+        ids = ids.withColumn("nth", F.expr(f"row_number() over (partition by {within} order by xxhash64(id), id)")).where(f"nth <= {PER_LANGUAGE}")
+    ids = cut(ids.select("id", "lang").distinct(), "langid-sample").df
+    if ids.count() <= BROADCAST_ROWS:  # else Spark's own choice of join
+        ids = F.broadcast(ids)
     sample = known.join(ids, ["id", "lang"]).select("lang", "text").mapInArrow(_features, "lang string, at binary, share binary").collect()
     picked = sorted((r.lang, bytes(r.at), bytes(r.share)) for r in sample)
     return train([(a, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for a, b, c in picked])

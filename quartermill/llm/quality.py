@@ -196,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
     # ids first, so that at most SAMPLE texts are kept; labels of documents that are gone don't count
     picked = known.groupBy("id").agg(F.max("quality").alias("quality")).join(texts.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = cut(texts.join(picked, "id").repartition(8, "id"), "quality-sample")
+    # at most SAMPLE rows
+    sample = cut(texts.join(F.broadcast(cut(picked, "quality-ids").df), "id").repartition(8, "id"), "quality-sample")
     sums = sum((np.frombuffer(bytes(r.sums), np.float32).astype(np.float64) for r in sample.df.mapInArrow(_contexts, "sums binary").collect()), np.zeros((WORDS + SHAPES) * DIM))
     vectors = sums.reshape(-1, DIM)
     vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
