@@ -43,7 +43,7 @@ def parse_observations(payloads: DataFrame, payload: str, mnemonic: str) -> Data
     items = payloads.select(F.explode(body["observations"]).alias("o"))
     newest = newest_key(F.col("o"), mnemonic)
     value = F.coalesce(parsed_number(F.col("o")["value"]), parsed_number(F.try_element_at(F.col("o"), newest["key"])))
-    start = F.coalesce(F.col("o")["realtime_start"].try_cast("date"), F.try_to_date(newest["stamp"], F.lit("yyyyMMdd")) if hasattr(F, "try_to_date") else F.to_date(newest["stamp"], "yyyyMMdd"))
+    start = F.coalesce(F.col("o")["realtime_start"].try_cast("date"), F.try_to_date(newest["stamp"], "yyyyMMdd"))
     return items.select(F.col("o")["date"].try_cast("date").alias("obs_date"), value.alias("value"), start.alias("realtime_start"), F.col("o")["realtime_end"].try_cast("date").alias("realtime_end")).where("obs_date is not null")
 
 
