@@ -10,7 +10,9 @@ bucket, not with its square. Links are confirmed on full shingle sets. To lose n
 members of buckets that are still in several components are hashed anew into FINE_BANDS
 bands of FINE_ROWS values, where texts of middling similarity part. Such a bucket stays
 open while its members lie in more than one component: it takes a few centres more, from
-its smallest components, until one component or one member is left. So every pair of a
+its smallest components, until one component or one member is left. Of these pairs, those
+whose sketches (one bit of each of SKETCH signature values) differ in over UNLIKE bits are
+refuted at once: at similarity 0.8 that is six standard deviations away. So every pair of a
 fine bucket is either in one component or has been confirmed or refuted.
 
 At similarity 0.8 a pair misses all bands with probability (1 - 0.8^ROWS)^BANDS = 5e-6,
@@ -37,7 +39,10 @@ from .shared import batches, bound_batches, cut, keyed, restored, utf8
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent
 ROWS, BANDS, SEED = 6, 40, 41
-FINE_ROWS, FINE_BANDS, CENTRES = 14, 250, 4
+FINE_ROWS, FINE_BANDS, CENTRES = 14, 250, 12
+SKETCH = 2048
+#: Bits expected to differ at SIMILARITY, and six deviations.
+UNLIKE = int(SKETCH * (1 - SIMILARITY / 100) / 2 + 6 * (SKETCH * 0.1 * 0.9) ** 0.5)
 PROBES = 512
 SIGNATURE = "rid long, doc_id long, n long, digest binary, bands array<long>"
 
@@ -118,10 +123,16 @@ def signature(marks: np.ndarray, bins: int) -> np.ndarray:
     return value
 
 
-def bands(marks: np.ndarray, rows: int, count: int) -> np.ndarray:
-    """Bucket keys of a non-empty sorted set."""
+def sketch(values: np.ndarray) -> np.ndarray:
+    """A random bit of each of the first SKETCH signature values, other bits of one value in other places."""
+    bits = mixed(values[:SKETCH] * np.uint64(0x9E3779B97F4A7C15) + np.arange(SKETCH, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
+def bands(values: np.ndarray, rows: int, count: int) -> np.ndarray:
+    """Bucket keys of a signature."""
     h = np.arange(1, count + 1, dtype=np.uint64)
-    for column in signature(marks, rows * count).reshape(count, rows).T:
+    for column in values.reshape(count, rows).T:
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + column)
     return h.view(np.int64)
 
@@ -134,7 +145,7 @@ def _signatures(size: int):
                 marks = shingles(word_hashes(data), size)
                 n.append(len(marks))
                 digest.append(xxhash.xxh3_128_digest(marks.tobytes()) if len(marks) else None)
-                keys.append(bands(marks, ROWS, BANDS) if len(marks) else None)
+                keys.append(bands(signature(marks, ROWS * BANDS), ROWS, BANDS) if len(marks) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("rid")), b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["rid", "doc_id", "n", "digest", "bands"],
@@ -146,12 +157,15 @@ def _signatures(size: int):
 def _fine(size: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(source):
-            n, keys = [], []
+            n, keys, bits = [], [], []
             for data in utf8(b):
                 marks = shingles(word_hashes(data), size)
+                values = signature(marks, FINE_ROWS * FINE_BANDS)
                 n.append(len(marks))
-                keys.append(bands(marks, FINE_ROWS, FINE_BANDS))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rid")), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "n", "bands"])
+                keys.append(bands(values, FINE_ROWS, FINE_BANDS))
+                bits.append(sketch(values))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rid")), pa.array(n, pa.int64()), pa.array(keys, longs), pa.array(bits, longs)], names=["rep", "n", "bands", "bits"])
 
     return run
 
@@ -224,8 +238,10 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
     labels = components(links)
     # who is still apart from another member of a bucket, its spent centre aside, is hashed anew
     apart = several(buckets.where("rep <> centre").select("key", "rep", "n"), labels.df).select(F.col("rep").alias("rid")).distinct()
-    fine = texts.df.join(cut(apart, "apart").df, "rid").mapInArrow(_fine(size), "rep long, n long, bands array<long>")
-    fine = fine.select("rep", "n", F.explode("bands").alias("key"))
+    fine = texts.df.join(cut(apart, "apart").df, "rid").mapInArrow(_fine(size), "rep long, n long, bands array<long>, bits array<long>")
+    hashed = cut(fine, "fine-signatures").df
+    bits = hashed.select("rep", "bits")
+    fine = hashed.select("rep", "n", F.explode("bands").alias("key"))
     shared = fine.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     members = cut(fine.join(shared, "key"), "fine").df.select("key", "rep", "n")
     tried = pairs.df
@@ -237,7 +253,11 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
         nth = F.expr("row_number() over (partition by key order by members, c)")
         centres = parts.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("label").alias("centre_label"))
         centres = cut(centres, "centres").df
-        new = left.join(centres, "key").where("label <> centre_label").where(fits).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+        sketched = centres.join(bits.select(F.col("rep").alias("centre"), F.col("bits").alias("centre_bits")), "centre").withColumnRenamed("key", "of")
+        apart = F.aggregate(F.zip_with("bits", "centre_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        # conditions within the join: pairs that fail them are never made
+        may = (F.col("key") == F.col("of")) & F.expr(f"label <> centre_label and {fits}") & (apart <= UNLIKE)
+        new = left.join(bits, "rep").join(sketched, may).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         fresh = cut(new.join(tried, ["a", "b"], "left_anti"), "pairs").df
         tried = tried.union(fresh)
         more = cut(confirmed(fresh, texts.df, size, similarity), "confirmed").df
