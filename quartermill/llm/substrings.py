@@ -38,7 +38,7 @@ from .shared import batches, bound_batches, cut, keyed, part_rows, restored, utf
 LENGTH, K = 100, 24
 SPAN = LENGTH - K + 1
 #: Bytes of text a task settles at once; bytes of a block; contexts of an anchor that a block takes; windows worked on at once.
-FLUSH, BLOCK, HOT, SLICE = 48 << 20, 1 << 18, 8_000, 1 << 19
+FLUSH, BLOCK, HOT, SLICE = 12 << 20, 1 << 18, 8_000, 1 << 19
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 FOUND = "rid long, h long, s int, e int, members int"
 MARKS = "rid long, s int, e int"
