@@ -11,9 +11,9 @@ query and tile, the exact products of those with the best estimates give a thres
 others whose upper bound reaches it are reranked by the exact product in double precision.
 
 Equal vectors are one candidate (a class), scored once; its TOP + 1 smallest ids are all
-that a ranking with ties to smaller ids can use. Candidates and queries meet in tiles of
-bounded size: CANDIDATES x QUERIES vectors; each tile gives TOP classes a query, merged by
-a ranking whose first step runs before the shuffle.
+that a ranking with ties to smaller ids can use, and travel with it. Candidates and queries
+meet in tiles of bounded size: CANDIDATES x QUERIES vectors; each tile gives TOP rows a
+query, merged by a ranking whose first step runs before the shuffle.
 
 Defined results: null or zero vectors and those holding null or non-finite components take
 no part; vectors of different length don't meet; rows that repeat vec_id and vector count
@@ -81,11 +81,11 @@ def bounds(codes: np.ndarray, ones: np.ndarray, norm: np.ndarray, along: np.ndar
     return norm * product / (root * along), WIDTH * norm / along * np.hypot(residual, query.off / root)
 
 
-def rank_tile(ids: np.ndarray, x: np.ndarray, queries: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, float]]:
-    """(query, class, score): each query's best classes among x; TOP + 1, as the query's own class may hold nothing but itself."""
+def rank_tile(ids: list[list[int]], x: np.ndarray, queries: list[tuple[int, np.ndarray]], top: int = TOP) -> Iterator[tuple[int, int, float]]:
+    """(query, vec_id, score): each query's best rows among the classes x, whose smallest ids are given."""
     codes, norm, along = encode(x)
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    wanted = TOP + 1
+    wanted = top + 1  # a query's own class may hold nothing but itself
     for query_id, q in queries:
         if len(x) > 4 * wanted:
             estimate, error = bounds(codes, ones, norm, along, Rounded(q))
@@ -97,22 +97,26 @@ def rank_tile(ids: np.ndarray, x: np.ndarray, queries: list[tuple[int, np.ndarra
         score = np.einsum("ij,j->i", x[chosen], q)
         if len(score) > wanted:
             least = np.partition(score, len(score) - wanted)[len(score) - wanted]
-            near = np.flatnonzero(score >= least)  # ties at the end stay for the merge
+            near = np.flatnonzero(score >= least)  # with all ties
             chosen, score = chosen[near], score[near]
-        for c, s in zip(ids[chosen].tolist(), score.tolist()):
-            yield query_id, c, s
+        rows = sorted((-s, i) for c, s in zip(chosen.tolist(), score.tolist()) for i in ids[c] if i != query_id)
+        for s, i in rows[:top]:
+            yield query_id, i, -s
 
 
-def _tile(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
-    names = ["query_id", "class_id", "score"]
+def _tile(top: int):
+    names = ["query_id", "vec_id", "score"]
     kinds = [pa.int64(), pa.int64(), pa.float64()]
-    if not candidates.num_rows or not queries.num_rows:
-        return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-    matrix = lambda t: np.array(t.column("v").combine_chunks().values.to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
-    order = candidates.sort_by("class_id")
-    asked = list(zip(queries.column("query_id").to_pylist(), matrix(queries)))
-    rows = list(rank_tile(order.column("class_id").to_numpy(), matrix(order), asked))
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    def run(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        if not candidates.num_rows or not queries.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
+        matrix = lambda t: np.array(t.column("v").combine_chunks().values.to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
+        asked = list(zip(queries.column("query_id").to_pylist(), matrix(queries)))
+        rows = list(rank_tile(candidates.column("ids").to_pylist(), matrix(candidates), asked, top))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return run
 
 
 def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
@@ -121,23 +125,20 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, candidates:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
         v.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     )
-    # a class is named by its smallest id; only its top + 1 smallest ids can be returned
     code = F.xxhash64(F.transform(v, lambda x: x + F.lit(0.0)))
-    members = rows.select("vec_id", "v", code.alias("code"), F.size(v).alias("dim")).distinct()
-    ranked = members.withColumn("nth", F.expr("row_number() over (partition by code, v order by vec_id)"))
-    kept = cut(ranked.where((F.col("nth") <= top + 1) | (F.col("vec_id") % every == 0)).withColumn("class_id", F.expr("first_value(vec_id) over (partition by code, v order by vec_id)")), "vectors").df
-    classes = kept.where("nth = 1").select("class_id", "dim", "v")
-    asked = kept.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "dim", "v")
+    members = cut(rows.select("vec_id", "v", code.alias("code"), F.size(v).alias("dim")).distinct(), "vectors").df
+    # the limit on a class runs before the shuffle too, so a vector of many rows is few rows a task
+    smallest = members.withColumn("nth", F.expr("row_number() over (partition by code, v order by vec_id)")).where(F.col("nth") <= top + 1)
+    classes = smallest.groupBy("code", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("dim").alias("dim"))
+    classes = cut(classes.select(F.col("ids")[0].alias("class_id"), "ids", "dim", "v"), "classes").df
+    asked = members.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "dim", "v")
     n, m = classes.count(), asked.count()
     across, down = max(1, -(-n // candidates), min(8, -(-n // 1024))), max(1, -(-m // queries), min(4, -(-m // 256)))
     side = lambda df, key, own, parts, other, extent: df.withColumn(own, F.expr(f"cast(pmod(xxhash64({key}), {parts}) as int)")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(extent - 1))))
     left = side(classes, "class_id", "a", across, "d", down).groupBy("dim", "a", "d")
     right = side(asked, "query_id", "d", down, "a", across).groupBy("dim", "a", "d")
-    found = left.cogroup(right).applyInArrow(_tile, "query_id long, class_id long, score double")
-    best = found.withColumn("nth", F.expr("row_number() over (partition by query_id order by score desc, class_id)")).where(f"nth <= {top + 1}").drop("nth")
-    ids = kept.where(f"nth <= {top + 1}").select("class_id", "vec_id")
-    spread = best.join(ids, "class_id").where("vec_id <> query_id")
-    final = spread.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(F.col("rank") <= top)
+    found = left.cogroup(right).applyInArrow(_tile(top), "query_id long, vec_id long, score double")
+    final = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(F.col("rank") <= top)
     return final.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
