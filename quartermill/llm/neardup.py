@@ -249,9 +249,9 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
         left = cut(several(members, labels.df), "open").df
         if not left.limit(1).count():
             break
-        parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("c"))
+        parts = cut(left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("c")), "parts").df
         nth = F.expr("row_number() over (partition by key order by members, c)")
-        centres = parts.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("label").alias("centre_label"))
+        centres = parts.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("label").alias("centre_label"), "members")
         centres = cut(centres, "centres").df
         sketched = centres.join(bits.select(F.col("rep").alias("centre"), F.col("bits").alias("centre_bits")), "centre").withColumnRenamed("key", "of")
         apart = F.aggregate(F.zip_with("bits", "centre_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
@@ -264,8 +264,10 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-        # centres spent are taken out
-        members = left.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
+        # centres spent are taken out; a bucket that keeps members of one component only is settled
+        gone = centres.groupBy("key").agg(F.count_if(F.col("members") == 1).alias("gone"))
+        unsettled = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).join(gone, "key").where("labels - gone > 1").select("key")
+        members = left.join(unsettled, "key").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
     texts.drop()
     own = signed.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(copies, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
     placed = own.join(labels.df.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
