@@ -267,7 +267,8 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
         # centres spent are taken out; a bucket that keeps members of one component only is settled
         gone = centres.groupBy("key").agg(F.count_if(F.col("members") == 1).alias("gone"))
         unsettled = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).join(gone, "key").where("labels - gone > 1").select("key")
-        members = left.join(unsettled, "key").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
+        unsettled = cut(left.join(unsettled, "key"), "unsettled").df  # else the next join is pushed below this one
+        members = unsettled.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
     texts.drop()
     own = signed.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(copies, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
     placed = own.join(labels.df.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
