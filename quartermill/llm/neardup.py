@@ -2,7 +2,8 @@
 
 One hash of every shingle is split into BINS ranges; a range's smallest hash is its
 signature value, and an empty range borrows from one that is not, probed in a fixed
-random order (optimal densification). BANDS bands of ROWS values make buckets. Equal
+random order (optimal densification); what PROBES tries leave empty, in sets of few shingles,
+takes the element that comes first in an order of the range's own. BANDS bands of ROWS values make buckets. Equal
 shingle sets form a class first, so copies are one member of any bucket.
 
 In a bucket every member is compared with one centre only (a star), so pairs grow with the
@@ -44,6 +45,7 @@ SKETCH = 2048
 #: Bits expected to differ at SIMILARITY, and six deviations.
 UNLIKE = int(SKETCH * (1 - SIMILARITY / 100) / 2 + 6 * (SKETCH * 0.1 * 0.9) ** 0.5)
 PROBES = 512
+REST = 1 << 16  # hashes at a time for ranges that no probe filled
 SIGNATURE = "rid long, doc_id long, n long, digest binary, bands array<long>"
 
 
@@ -117,9 +119,11 @@ def signature(marks: np.ndarray, bins: int) -> np.ndarray:
         hit = full[lender]
         value[empty[hit]] = value[lender[hit]]
         empty = empty[~hit]
-    if len(empty):  # few full ranges: take one of them by the last probe
-        lenders = np.flatnonzero(full)
-        value[empty] = value[lenders[probes(bins)[-1][empty] % len(lenders)]]
+    # few full ranges: each of the rest takes the element of least hash mixed with its own number, a rule that sets of any size share
+    step = max(1, REST // len(marks))
+    for part in (empty[k : k + step] for k in range(0, len(empty), step)):
+        ranks = mixed(marks[None] ^ mixed(part.astype(np.uint64) + np.uint64(1))[:, None])
+        value[part] = marks[ranks.argmin(axis=1)]
     return value
 
 

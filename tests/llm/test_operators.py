@@ -203,6 +203,34 @@ def test_near_duplicates_of_a_chain_and_of_unlike_texts_with_a_common_passage(sp
     assert got == brute_components(texts)
 
 
+def test_sets_of_few_shingles_match_at_their_similarity():
+    rng = np.random.default_rng(5)
+    for a, b in ((4, 5), (8, 10), (12, 15), (40, 50)):
+        for bins in (neardup.ROWS * neardup.BANDS, neardup.FINE_ROWS * neardup.FINE_BANDS):
+            same = []
+            for _ in range(40):
+                marks = np.unique(rng.integers(0, 1 << 63, b, np.uint64) * np.uint64(2))
+                part = np.sort(rng.permutation(marks)[:a])
+                same.append((neardup.signature(marks, bins) == neardup.signature(part, bins)).mean())
+            assert abs(np.mean(same) - a / b) < 0.03, (a, b, bins)
+
+
+def test_near_duplicates_of_short_templates(spark):
+    rng, texts = random.Random(11), {}
+    for t in range(12):
+        base = [f"w{t}x{k}" for k in range(18)]
+        for _ in range(60):  # sets of different sizes; unlike ones have smaller ids as often as not
+            words = base[rng.randint(0, 6) : rng.randint(10, 18)]
+            if rng.random() < 0.5:
+                words[rng.choice((0, -1))] = f"v{rng.randint(0, 3)}"
+            texts[len(texts)] = " ".join(words)
+    ids = list(texts)
+    rng.shuffle(ids)
+    texts = dict(zip(ids, texts.values()))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_components(texts)
+
+
 def test_near_duplicates_of_repeated_rows(repeated):
     got = neardup.near_duplicates(repeated).collect()
     assert len(got) == 14 and sum(r.kept for r in got) == len({r.component_id for r in got if r.n_shingles} | {None}) - (0 if any(r.component_id is None for r in got) else 1)
