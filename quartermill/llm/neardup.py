@@ -12,12 +12,13 @@ members of buckets that are still in several components are hashed anew into FIN
 bands of FINE_ROWS values, where texts of middling similarity part. Such a bucket stays
 open while its members lie in more than one component: it takes a few centres more, from
 its smallest components, until one component or one member is left. Of these pairs, those
-whose sketches (one bit of each of SKETCH signature values) differ in over UNLIKE bits are
-refuted at once: at similarity 0.8 that is six standard deviations away. So every pair of a
+whose sketches (one bit of each of SKETCH signature values) differ in over unlike() bits are
+refuted at once: at the similarity asked for that is six standard deviations away. So every pair of a
 fine bucket is either in one component or has been confirmed or refuted.
 
 At similarity 0.8 a pair misses all bands with probability (1 - 0.8^ROWS)^BANDS = 5e-6,
-all fine bands with (1 - 0.8^FINE_ROWS)^FINE_BANDS = 1.3e-5.
+all fine bands with (1 - 0.8^FINE_ROWS)^FINE_BANDS = 1.3e-5. For another similarity banding()
+chooses rows and bands that miss no more.
 
 Defined results: null, empty or blank text has no shingles, links with nothing and is
 kept; a text of fewer words than a shingle is one shingle of the whole sequence; of rows
@@ -26,6 +27,7 @@ that repeat a doc_id one is kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +44,6 @@ SHINGLE, SIMILARITY = 4, 80  # words; per cent
 ROWS, BANDS, SEED = 6, 40, 41
 FINE_ROWS, FINE_BANDS, CENTRES = 14, 250, 12
 SKETCH = 2048
-#: Bits expected to differ at SIMILARITY, and six deviations.
-UNLIKE = int(SKETCH * (1 - SIMILARITY / 100) / 2 + 6 * (SKETCH * 0.1 * 0.9) ** 0.5)
 PROBES = 512
 REST = 1 << 16  # hashes at a time for ranges that no probe filled
 SIGNATURE = "rid long, doc_id long, n long, digest binary, bands array<long>"
@@ -100,6 +100,21 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(h)
 
 
+def unlike(similarity: float) -> int:
+    """Bits of a sketch expected to differ at a similarity (per cent), and six deviations."""
+    p = (1 - similarity / 100) / 2
+    return int(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+def banding(similarity: float, rows: int, count: int) -> tuple[int, int]:
+    """Rows and bands for a similarity that miss no more than these do at SIMILARITY, with the most rows for about as many values."""
+    if similarity == SIMILARITY:
+        return rows, count
+    p, miss = similarity / 100, count * math.log1p(-((SIMILARITY / 100) ** rows))
+    fits = [(r, math.ceil(miss / math.log1p(-(p**r)))) for r in range(1, rows * count + 1) if 1e-6 < p**r < 1]
+    return max(((r, n) for r, n in fits if r * n <= rows * count), default=fits[0] if fits else (rows, count))
+
+
 @lru_cache(maxsize=2)
 def probes(bins: int) -> np.ndarray:
     return np.random.default_rng([SEED, bins]).integers(0, bins, (PROBES, bins), np.int32)
@@ -141,7 +156,7 @@ def bands(values: np.ndarray, rows: int, count: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _signatures(size: int):
+def _signatures(size: int, rows: int, count: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(source):
             n, digest, keys = [], [], []
@@ -149,7 +164,7 @@ def _signatures(size: int):
                 marks = shingles(word_hashes(data), size)
                 n.append(len(marks))
                 digest.append(xxhash.xxh3_128_digest(marks.tobytes()) if len(marks) else None)
-                keys.append(bands(signature(marks, ROWS * BANDS), ROWS, BANDS) if len(marks) else None)
+                keys.append(bands(signature(marks, rows * count), rows, count) if len(marks) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("rid")), b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["rid", "doc_id", "n", "digest", "bands"],
@@ -158,15 +173,15 @@ def _signatures(size: int):
     return run
 
 
-def _fine(size: int):
+def _fine(size: int, rows: int, count: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(source):
             n, keys, bits = [], [], []
             for data in utf8(b):
                 marks = shingles(word_hashes(data), size)
-                values = signature(marks, FINE_ROWS * FINE_BANDS)
+                values = signature(marks, max(rows * count, SKETCH))
                 n.append(len(marks))
-                keys.append(bands(values, FINE_ROWS, FINE_BANDS))
+                keys.append(bands(values[: rows * count], rows, count))
                 bits.append(sketch(values))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rid")), pa.array(n, pa.int64()), pa.array(keys, longs), pa.array(bits, longs)], names=["rep", "n", "bands", "bits"])
@@ -223,8 +238,10 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARI
 
 
 def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> DataFrame:
+    if not 0 < similarity <= 100:
+        raise ValueError(f"similarity is per cent, over 0 and at most 100: {similarity}")
     bound_batches(rows.sparkSession)
-    signed = cut(rows.select("rid", "doc_id", "text").mapInArrow(_signatures(size), SIGNATURE), "signatures").df
+    signed = cut(rows.select("rid", "doc_id", "text").mapInArrow(_signatures(size, *banding(similarity, ROWS, BANDS)), SIGNATURE), "signatures").df
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # only classes of several need a lookup; all other rows stand for themselves
     copies = signed.where("n > 0").select("rid", "digest").join(classes.where("copies > 1"), "digest").select("rid", "rep")
@@ -242,7 +259,7 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
     labels = components(links)
     # who is still apart from another member of a bucket, its spent centre aside, is hashed anew
     apart = several(buckets.where("rep <> centre").select("key", "rep", "n"), labels.df).select(F.col("rep").alias("rid")).distinct()
-    fine = texts.df.join(cut(apart, "apart").df, "rid").mapInArrow(_fine(size), "rep long, n long, bands array<long>, bits array<long>")
+    fine = texts.df.join(cut(apart, "apart").df, "rid").mapInArrow(_fine(size, *banding(similarity, FINE_ROWS, FINE_BANDS)), "rep long, n long, bands array<long>, bits array<long>")
     hashed = cut(fine, "fine-signatures").df
     bits = hashed.select("rep", "bits")
     fine = hashed.select("rep", "n", F.explode("bands").alias("key"))
@@ -260,7 +277,7 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
         sketched = centres.join(bits.select(F.col("rep").alias("centre"), F.col("bits").alias("centre_bits")), "centre").withColumnRenamed("key", "of")
         apart = F.aggregate(F.zip_with("bits", "centre_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         # conditions within the join: pairs that fail them are never made
-        may = (F.col("key") == F.col("of")) & F.expr(f"label <> centre_label and {fits}") & (apart <= UNLIKE)
+        may = (F.col("key") == F.col("of")) & F.expr(f"label <> centre_label and {fits}") & (apart <= unlike(similarity))
         new = left.join(bits, "rep").join(sketched, may).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         fresh = cut(new.join(tried, ["a", "b"], "left_anti"), "pairs").df
         tried = tried.union(fresh)

@@ -231,6 +231,33 @@ def test_near_duplicates_of_short_templates(spark):
     assert got == brute_components(texts)
 
 
+def test_near_duplicates_at_another_similarity(spark, docs):
+    rng, texts = random.Random(12), {}
+    for t in range(4):
+        passage = prose(rng, 60).split()
+        for _ in range(25):  # from a fifth to two thirds of the shingles in common
+            texts[len(texts)] = " ".join(passage + prose(rng, rng.randint(14, 30)).split())
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets, want = sets_of(texts), {i: i for i in texts}
+    for i in texts:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    assert 4 < len(set(want.values())) < 60
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame, similarity=60).collect()} == want
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(docs, similarity=0)
+
+
+def test_bands_of_any_similarity_miss_no_more():
+    for rows, count in ((neardup.ROWS, neardup.BANDS), (neardup.FINE_ROWS, neardup.FINE_BANDS)):
+        assert neardup.banding(80, rows, count) == (rows, count)
+        for similarity in (10, 30, 60, 79, 81, 95, 99):
+            r, n = neardup.banding(similarity, rows, count)
+            assert r * n <= rows * count and (1 - (similarity / 100) ** r) ** n <= (1 - 0.8**rows) ** count * 1.000001
+
+
 def test_near_duplicates_of_repeated_rows(repeated):
     got = neardup.near_duplicates(repeated).collect()
     assert len(got) == 14 and sum(r.kept for r in got) == len({r.component_id for r in got if r.n_shingles} | {None}) - (0 if any(r.component_id is None for r in got) else 1)
