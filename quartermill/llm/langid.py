@@ -186,8 +186,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose prediction isn't rejected."""
+    """The rows of docs, all columns, whose prediction isn't rejected; all rows where no lang is known to train on."""
     model = fit(docs)
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -33,6 +33,7 @@ from .shared import batches, bound_batches, cut, utf8
 WORDS, SHAPES, DIM, NONZERO, SPAN = 1 << 14, 1 << 8, 48, 6, 2
 SAMPLE, HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 12_000, 24, 60, 128, 0.01, 1e-4, 5
 KEEP_FROM = 0.7
+UNKNOWN = 0.5  # every score where no label can be used
 #: Words whose features a task remembers; the memory is emptied when full.
 REMEMBERED = 200_000
 MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -131,7 +132,7 @@ class Model:
     spread: np.ndarray
     layers: tuple[np.ndarray, ...]  # hidden weights and bias, output weights and bias
     temperature: float
-    constant: float | None = None  # the score where the labels are of one kind
+    constant: float | None = None  # the score where the labels are of one kind, UNKNOWN where there are none
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -206,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample.drop()
     kinds = {r[1] for r in rows}
     if len(kinds) < 2:
-        return Model(vectors, np.zeros(2 * DIM), np.ones(2 * DIM), (), 1.0, float(kinds.pop()) if kinds else 0.5)
+        return Model(vectors, np.zeros(2 * DIM), np.ones(2 * DIM), (), 1.0, float(kinds.pop()) if kinds else UNKNOWN)
     return train(vectors, np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float64), np.array([r[1] for r in rows]))
 
 
@@ -232,8 +233,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are predicted to be of quality."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    """The rows of docs, all columns, that are predicted to be of quality; all rows where no label can be used."""
+    model = fit(docs, labels)
+    if model.constant == UNKNOWN:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

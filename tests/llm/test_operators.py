@@ -152,6 +152,13 @@ def test_languages(spark, nothing):
     assert kept.columns == docs.columns and not {900, 901, 902} & {r.doc_id for r in kept.collect()}
 
 
+def test_filters_without_a_model_keep_their_documents(spark):
+    docs = spark.createDataFrame([(1, "some words of a text", None), (2, None, None), (None, "more words", None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(77, 0), (78, 1)], "doc_id long, quality int")  # of documents that are gone
+    for kept in (langid.accepted(docs), quality.accepted(docs, labels), quality.accepted(docs, labels.limit(0))):
+        assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted(docs.collect(), key=str)
+
+
 # 3 -------------------------------------------------------------------------------------
 
 
