@@ -10,10 +10,10 @@ In a bucket every member is compared with one centre only (a star), so pairs gro
 bucket, not with its square. Links are confirmed on full shingle sets. To lose none,
 members of buckets that are still in several components are hashed anew into FINE_BANDS
 bands of FINE_ROWS values, where texts of middling similarity part. Such a bucket stays
-open while its members lie in more than one component: it takes a few centres more, from
-its smallest components, until one component or one member is left. Of these pairs, those
-whose sketches (one bit of each of SKETCH signature values) differ in over unlike() bits are
-refuted at once: at the similarity asked for that is six standard deviations away. So every pair of a
+open while its members lie in more than one component: it takes the smallest ids of its
+smallest components as centres, until one component or one member is left. A pair arises in
+the first of its common buckets alone. Those whose sketches (one bit of each of SKETCH signature values) differ in over
+unlike() bits are refuted at once: at the similarity asked for that is six standard deviations away. So every pair of a
 fine bucket is either in one component or has been confirmed or refuted.
 
 At similarity 0.8 a pair misses all bands with probability (1 - 0.8^ROWS)^BANDS = 5e-6,
@@ -21,8 +21,10 @@ all fine bands with (1 - 0.8^FINE_ROWS)^FINE_BANDS = 1.3e-5. For another similar
 chooses rows and bands that miss no more.
 
 Defined results: null, empty or blank text has no shingles, links with nothing and is
-kept; a text of fewer words than a shingle is one shingle of the whole sequence; of rows
-that repeat a doc_id one is kept; an empty table gives no rows.
+kept; a text of fewer words than a shingle is one shingle of the whole sequence; rows that
+repeat a doc_id are documents of their own, and kept says doc_id = component_id of each; null
+doc_ids come after all others, so one is a component_id only where its component has no other;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import batches, bound_batches, cut, keyed, restored, utf8
+from .shared import batches, bound_batches, cut, keyed, part_rows, restored, utf8
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent
 ROWS, BANDS, SEED = 6, 40, 41
 FINE_ROWS, FINE_BANDS, CENTRES = 14, 250, 12
-SKETCH = 2048
+SKETCH = 4096
+CENTRE_PAIRS = 1_000  # pairs with one centre that a task takes
 PROBES = 512
 REST = 1 << 16  # hashes at a time for ranges that no probe filled
 SIGNATURE = "rid long, doc_id long, n long, digest binary, bands array<long>"
@@ -212,10 +215,21 @@ def _confirm(size: int, similarity: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets are similar enough."""
-    one = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.mapInArrow(_confirm(size, similarity), "a long, b long")
+    """Those of pairs (a, b) whose shingle sets are similar enough; a centre b of many pairs meets them in parts of CENTRE_PAIRS."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CENTRE_PAIRS).cast("int").alias("parts"))
+    centres = parts.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = pairs.join(parts, "b").select("a", "b", F.expr("cast(pmod(xxhash64(a), parts) as int)").alias("part"))
+    one = dealt.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
+    return one.join(centres.select("b", "part", "text_b"), ["b", "part"]).mapInArrow(_confirm(size, similarity), "a long, b long")
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """(rid, rep) of rows (rid, digest) whose digest others share: the smallest rid, found per share of the rows first so that no digest is one task's."""
+    shares = rows.withColumn("share", F.expr(f"cast(pmod(xxhash64(rid), {part_rows(rows.sparkSession)}) as int)"))
+    least = shares.groupBy("digest", "share").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = least.groupBy("digest").agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies")).where("copies > 1")
+    spread = least.select("digest", "share").join(classes, "digest")
+    return shares.join(spread, ["digest", "share"]).select("rid", "rep")
 
 
 def several(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,14 +240,14 @@ def several(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id and kept for every document."""
+    """rid, doc_id, n_shingles, component_id, kept and first (the one row of its component that stays) for every document."""
     return grouped(*keyed(docs), size, similarity)
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """docs with one document of each component, all columns."""
     rows, renumbered = keyed(docs, carry=True)
-    kept = grouped(rows, renumbered, size, similarity).where("kept").select("rid")
+    kept = grouped(rows, renumbered, size, similarity).where("first").select("rid")
     return restored(rows.join(kept, "rid"), docs.columns)
 
 
@@ -242,10 +256,8 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
         raise ValueError(f"similarity is per cent, over 0 and at most 100: {similarity}")
     bound_batches(rows.sparkSession)
     signed = cut(rows.select("rid", "doc_id", "text").mapInArrow(_signatures(size, *banding(similarity, ROWS, BANDS)), SIGNATURE), "signatures").df
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # only classes of several need a lookup; all other rows stand for themselves
-    copies = signed.where("n > 0").select("rid", "digest").join(classes.where("copies > 1"), "digest").select("rid", "rep")
-    copies = cut(copies, "copies").df
+    copies = cut(copied(signed.where("n > 0").select("rid", "digest")), "copies").df
     lone = signed.join(copies.where("rid <> rep").select("rid"), "rid", "left_anti")
     keys = lone.where("n > 0").select(F.col("rid").alias("rep"), "n", F.explode("bands").alias("key"))
     # a centre is the smallest id: the same one in most buckets of a group
@@ -261,44 +273,52 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
     apart = several(buckets.where("rep <> centre").select("key", "rep", "n"), labels.df).select(F.col("rep").alias("rid")).distinct()
     fine = texts.df.join(cut(apart, "apart").df, "rid").mapInArrow(_fine(size, *banding(similarity, FINE_ROWS, FINE_BANDS)), "rep long, n long, bands array<long>, bits array<long>")
     hashed = cut(fine, "fine-signatures").df
-    bits = hashed.select("rep", "bits")
     fine = hashed.select("rep", "n", F.explode("bands").alias("key"))
     shared = fine.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = cut(fine.join(shared, "key"), "fine").df.select("key", "rep", "n")
-    tried = pairs.df
+    members = cut(fine.join(shared, "key"), "fine")
+    # a text's keys that others share: a pair arises in the least key that both have
+    traits = cut(members.df.groupBy("rep").agg(F.collect_list("key").alias("keys")).join(hashed.select("rep", "bits"), "rep"), "traits")
+    members, tried, spent = members.df.select("key", "rep", "n"), [pairs], []
+    differ = F.aggregate(F.zip_with("bits", "centre_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    first = F.array_min(F.array_intersect("keys", "centre_keys")) == F.col("key")
+    # conditions within the join: pairs that fail them are never made
+    may = (F.col("key") == F.col("of")) & F.expr(f"label <> centre_label and {fits}") & (differ <= unlike(similarity)) & first
     while True:
-        left = cut(several(members, labels.df), "open").df
-        if not left.limit(1).count():
+        left = cut(several(members, labels.df), "open")
+        if not left.df.limit(1).count():
             break
-        parts = cut(left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("c")), "parts").df
+        parts = cut(left.df.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("c")), "parts")
         nth = F.expr("row_number() over (partition by key order by members, c)")
-        centres = parts.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("label").alias("centre_label"), "members")
-        centres = cut(centres, "centres").df
-        sketched = centres.join(bits.select(F.col("rep").alias("centre"), F.col("bits").alias("centre_bits")), "centre").withColumnRenamed("key", "of")
-        apart = F.aggregate(F.zip_with("bits", "centre_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        # conditions within the join: pairs that fail them are never made
-        may = (F.col("key") == F.col("of")) & F.expr(f"label <> centre_label and {fits}") & (apart <= unlike(similarity))
-        new = left.join(bits, "rep").join(sketched, may).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
-        fresh = cut(new.join(tried, ["a", "b"], "left_anti"), "pairs").df
-        tried = tried.union(fresh)
-        more = cut(confirmed(fresh, texts.df, size, similarity), "confirmed").df
+        centres = parts.df.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("label").alias("centre_label"), "members")
+        centres = cut(centres, "centres")
+        sketched = centres.df.join(traits.df.select(F.col("rep").alias("centre"), F.col("keys").alias("centre_keys"), F.col("bits").alias("centre_bits")), "centre").withColumnRenamed("key", "of")
+        new = left.df.join(traits.df, "rep").join(sketched, may).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+        for old in tried:
+            new = new.join(old.df, ["a", "b"], "left_anti")
+        fresh = cut(new, "pairs")
+        tried.append(fresh)
+        more = cut(confirmed(fresh.df, texts.df, size, similarity), "confirmed").df
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
         # centres spent are taken out; a bucket that keeps members of one component only is settled
-        gone = centres.groupBy("key").agg(F.count_if(F.col("members") == 1).alias("gone"))
-        unsettled = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).join(gone, "key").where("labels - gone > 1").select("key")
-        unsettled = cut(left.join(unsettled, "key"), "unsettled").df  # else the next join is pushed below this one
-        members = unsettled.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
-    texts.drop()
+        gone = centres.df.groupBy("key").agg(F.count_if(F.col("members") == 1).alias("gone"))
+        unsettled = parts.df.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).join(gone, "key").where("labels - gone > 1").select("key")
+        unsettled = cut(left.df.join(unsettled, "key"), "unsettled")  # else the next join is pushed below this one
+        rest = cut(unsettled.df.join(centres.df.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n"), "rest")
+        for old in (left, parts, centres, unsettled, *spent):
+            old.drop()
+        members, spent = rest.df, [rest]
+    for old in (left, traits, texts, *spent):
+        old.drop()
     own = signed.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(copies, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
     placed = own.join(labels.df.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
     if renumbered:
         placed = placed.join(signed.select(F.col("rid").alias("component"), F.col("doc_id").alias("component_id")), "component")
     else:
         placed = placed.withColumn("component_id", F.col("component"))
-    return placed.select("rid", "doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("component")).alias("kept"))
+    return placed.select("rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("rid") == F.col("component")).alias("first"))
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid", "first")

@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a test-only default."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -72,7 +74,7 @@ def keyed(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, bool]:
     """docs as (rid, doc_id, text) and whether rows were numbered: rid is unique per row and sorts as doc_id does.
 
     rid is doc_id itself when doc_ids are distinct and not null (checked by a count over
-    the id column alone). Otherwise rows are numbered in the order of doc_id (null first),
+    the id column alone). Otherwise rows are numbered in the order of doc_id (null last),
     then the text's hash, and the numbering is written out so that retries agree. With
     carry, the struct `others` holds all columns but text, so that no names clash.
     """
@@ -83,7 +85,7 @@ def keyed(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, bool]:
     repeated = base.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not repeated:
         return base.withColumn("rid", F.col("doc_id")), False
-    order = base.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    order = base.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
     return cut(order.withColumn("rid", F.monotonically_increasing_id()), "keyed").df, True
 
 

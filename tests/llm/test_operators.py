@@ -267,9 +267,16 @@ def test_bands_of_any_similarity_miss_no_more():
 
 def test_near_duplicates_of_repeated_rows(repeated):
     got = neardup.near_duplicates(repeated).collect()
-    assert len(got) == 14 and sum(r.kept for r in got) == len({r.component_id for r in got if r.n_shingles} | {None}) - (0 if any(r.component_id is None for r in got) else 1)
+    rows = repeated.select("doc_id", "text").collect()
+    # rows as documents of their own, null ids last: a component's id is the smallest doc_id of its rows
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0))
+    parts = brute_components({k: rows[i].text for k, i in enumerate(order)})
+    want = sorted((str(rows[i].doc_id), parts[k][0], str(rows[order[parts[k][1]]].doc_id)) for k, i in enumerate(order))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert sum(r.first for r in got) == len({c for _, c in parts.values()})
     kept = neardup.one_of_each(repeated)
-    assert kept.columns == repeated.columns and kept.count() == sum(r.kept for r in got)
+    assert kept.columns == repeated.columns and kept.count() == sum(r.first for r in got)
 
 
 # 4 -------------------------------------------------------------------------------------
