@@ -5,10 +5,11 @@ Pieces are dealt to groups of bounded size; each group packs best-fit decreasing
 compares its bin count with the best lower bound of two families of dual feasible
 functions. A group that meets the bound is certified optimal and gives up only its least
 filled bin; a group with a gap gives up every bin with room. What was given up is dealt
-anew to fewer groups, so that documents of different groups meet, and packed again.
+anew to fewer groups, so that documents of different groups meet, and packed again, until
+the bin count meets the bound of all pieces together or an exchange saves no bin.
 
 ids are those of the tokenizer file (no special tokens added). They are computed with
-the file's own vocabulary as ranks; a text that holds one of the file's special strings,
+the file's own vocabulary as ranks, if its merges are in the order of their ranks; a text that holds one of the file's special strings,
 or characters outside the blocks where both libraries' tables are known to agree, goes
 through the tokenizer library itself.
 
@@ -19,6 +20,7 @@ by one; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .shared import batches, bound_batches, cut, strings
 
-CAPACITY, GROUP_ROWS, ROUNDS = 2048, 50_000, 4
+CAPACITY, GROUP_ROWS = 2048, 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long, given_up boolean"
+PACKED = PIECES + ", row long, sequence_id long, offset long, given_up boolean"
 #: Blocks where the libraries agree on letters, digits and spaces; control characters are left out.
 PLAIN = r"\t\n\r\x20-\x7e\xa0-\u0377\u0388-\u03ff\u0400-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001\u3002\u3041-\u3096\u4e00-\u9fa5\uac00-\ud7a3"
 
@@ -55,7 +57,10 @@ class Ids:
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.slow = re.compile("|".join([f"[^{PLAIN}]", *map(re.escape, special)])).search
+        made = [spec["model"]["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        ordered = None not in made and all(a < b for a, b in zip(made, made[1:]))
+        # merges in another order than their ranks: all texts go through the library
+        self.slow = re.compile("|".join([f"[^{PLAIN}]", *map(re.escape, special)]) if ordered else "").search
 
     def encode(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids if self.slow(text) else self.fast.encode_ordinary(text)
@@ -88,9 +93,13 @@ def _tokenise(path: str, capacity: int):
     return run
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bin count that dual feasible functions prove necessary."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+def lower_bound(lengths: np.ndarray | dict[int, int], capacity: int) -> int:
+    """The best bin count that dual feasible functions prove necessary, from lengths or from their counts."""
+    if isinstance(lengths, dict):
+        count = np.zeros(capacity + 1, np.int64)
+        count[list(lengths)] = list(lengths.values())
+    else:
+        count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1)
     total = int((count * x).sum())
     best = -(-total // capacity)
@@ -131,16 +140,16 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, room
 
 
-def _pack(capacity: int, turn: int, last: bool):
+def _pack(capacity: int, turn: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("length", "descending"), ("row", "ascending")])
         lengths = table.column("length").to_numpy()
         bins, offsets, room = best_fit(lengths.tolist(), capacity)
         certified = len(room) == lower_bound(lengths, capacity)
         least = max(range(len(room)), key=room.__getitem__)
-        give = [not last and (b == least or not certified and room[b] > 0) and room[b] > 0 for b in range(len(room))]
+        give = [(b == least or not certified) and room[b] > 0 for b in range(len(room))]
         base = (turn << 56) + (key[0].as_py() << 28)
-        out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        out = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "row"])
         return out.append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).append_column("given_up", pa.array([give[b] for b in bins]))
 
     return run
@@ -150,19 +159,27 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group_rows: int =
     """Pieces of all documents with their place in a sequence."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = cut(rows.mapInArrow(_tokenise(path, capacity), PIECES), "pack-pieces").df
-    full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out, left = full, pieces.where(F.col("length") < capacity)
-    for turn in range(1, ROUNDS + 1):
-        groups = max(1, -(-left.count() // group_rows))
-        last = turn == ROUNDS or (turn > 1 and groups == 1)
-        dealt = left.withColumn("g", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32, {turn}), {groups}) as long)"))
-        packed = cut(dealt.groupBy("g").applyInArrow(_pack(capacity, turn, last), PACKED), f"pack-{turn}").df
-        out = out.unionByName(packed.where("not given_up").drop("given_up"))
-        left = packed.where("given_up").select("doc_id", "piece", "start", "length", "ids_crc32")
-        if last:
-            break
-    return out
+    numbered = rows.mapInArrow(_tokenise(path, capacity), PIECES).withColumn("row", F.monotonically_increasing_id())
+    pieces = cut(numbered, "pack-pieces").df
+    # one row a length: at most `capacity`
+    lengths = {r.length: r.n for r in pieces.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bound = lower_bound(lengths, capacity)
+    full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out, left, count = full, pieces.where(F.col("length") < capacity), sum(lengths.values())
+    turn, settled, before, more = 0, 0, None, count > 0
+    while more:
+        turn += 1
+        groups = -(-count // group_rows)
+        # a row's own number deals it, so rows that repeat don't meet in one group
+        dealt = left.withColumn("g", F.expr(f"cast(pmod(xxhash64(row, {turn}), {groups}) as long)"))
+        packed = cut(dealt.groupBy("g").applyInArrow(_pack(capacity, turn), PACKED), f"pack-{turn}").df
+        # a bin's first piece stands for it
+        bins, gave, count = packed.selectExpr("count_if(offset = 0)", "count_if(offset = 0 and given_up)", "count_if(given_up)").first()
+        more = groups > 1 and gave > 0 and settled + bins > bound and (before is None or bins < before)
+        out = out.unionByName((packed.where("not given_up") if more else packed).drop("given_up"))
+        left, before, settled = packed.where("given_up").drop("given_up", "sequence_id", "offset"), gave, settled + bins - (gave if more else 0)
+    logging.getLogger(__name__).info("packing: %d sequences besides the full ones, at least %d needed, %d turns", settled, bound, turn)
+    return out.drop("row")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
