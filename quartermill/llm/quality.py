@@ -1,7 +1,7 @@
 """Operator 2: quality classifier on random-indexing word vectors and a two-layer network.
 
 Every hashed word and every pseudo-word has a sparse ternary index vector. A word's
-vector is the sum of the index vectors around it over the sample, its length made one:
+vector is the sum of the index vectors around it over all documents, its length made one:
 random indexing, one pass, and sums of tasks merge by adding. Pseudo-words carry what a
 spelling cannot: a word's shape (case, digits, the marks around it) and whether a word or
 a run of three words has been seen before in the text. A document is the mean of its
@@ -9,7 +9,7 @@ words' vectors beside the mean of its pseudo-words' vectors. A network with one
 layer, in numpy, gives the odds; one temperature, fitted on rows the network hasn't
 seen, calibrates them.
 
-Only the fit is on a bounded sample: at most SAMPLE labelled documents, picked by the
+Only the fit of the network is on a bounded sample: at most SAMPLE labelled documents, one row an id, picked by the
 hash of doc_id among those whose crc32(doc_id) mod 4 is not 2. The vectors have a fixed
 size (WORDS + SHAPES rows), so broadcasting them doesn't grow with the data.
 
@@ -32,6 +32,7 @@ from .shared import batches, bound_batches, cut, utf8
 
 WORDS, SHAPES, DIM, NONZERO, SPAN = 1 << 14, 1 << 8, 48, 6, 2
 SAMPLE, HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 12_000, 24, 60, 128, 0.01, 1e-4, 5
+FAN, FEW = 16, 4  # partial sums added in one task; partial sums that the driver adds
 KEEP_FROM = 0.7
 UNKNOWN = 0.5  # every score where no label can be used
 #: Words whose features a task remembers; the memory is emptied when full.
@@ -103,8 +104,8 @@ def pooled(vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _contexts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sum of the index vectors around each word; one row."""
-    index, total, reader = index_vectors(), np.zeros((WORDS + SHAPES, DIM), np.float32), Reader()
+    """A task's sum of the index vectors around each word; one row. Sums are whole numbers, so their order is of no account."""
+    index, total, reader = index_vectors(), np.zeros((WORDS + SHAPES, DIM)), Reader()
     pad = np.zeros((SPAN, DIM), np.float32)
     for b in batches(source):
         for data in utf8(b):
@@ -125,6 +126,25 @@ def _contexts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
 
+def _added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of a task's rows; one row."""
+    total = np.zeros((WORDS + SHAPES) * DIM)
+    for b in batches(source):
+        for x in b.column(0).to_pylist():
+            total += np.frombuffer(x)
+    yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def word_vectors(texts: DataFrame) -> np.ndarray:
+    """Random-indexing vectors from the contexts of all texts: each task gives one sum of fixed size, which are added FAN at a time until FEW are left."""
+    sums = cut(texts.select("text").mapInArrow(_contexts, "sums binary"), "quality-sums")
+    while (n := sums.df.count()) > FEW:
+        sums, spent = cut(sums.df.repartition(-(-n // FAN)).mapInArrow(_added, "sums binary"), "quality-sums"), sums
+        spent.drop()
+    total = sum((np.frombuffer(bytes(r.sums)) for r in sums.df.collect()), np.zeros((WORDS + SHAPES) * DIM)).reshape(-1, DIM)
+    return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Model:
     vectors: np.ndarray
@@ -196,12 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("int").alias("quality")).where("id is not null and quality in (0, 1) and crc32(cast(id as binary)) % 4 != 2")
     texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
     # ids first, so that at most SAMPLE texts are kept; labels of documents that are gone don't count
-    picked = known.groupBy("id").agg(F.max("quality").alias("quality")).join(texts.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    # at most SAMPLE rows
-    sample = cut(texts.join(F.broadcast(cut(picked, "quality-ids").df), "id").repartition(8, "id"), "quality-sample")
-    sums = sum((np.frombuffer(bytes(r.sums), np.float32).astype(np.float64) for r in sample.df.mapInArrow(_contexts, "sums binary").collect()), np.zeros((WORDS + SHAPES) * DIM))
-    vectors = sums.reshape(-1, DIM)
-    vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    usable = cut(known.groupBy("id").agg(F.max("quality").alias("quality")).join(texts.select("id").distinct(), "id"), "quality-ids")
+    # those of smallest hash: no more than about twice as many as wanted are sorted
+    under = F.xxhash64("id") / F.lit(2.0**64) + 0.5 <= 2.0 * SAMPLE / max(1, usable.df.count())
+    picked = cut(usable.df.where(under).orderBy(F.xxhash64("id"), "id").limit(SAMPLE), "quality-picked")
+    # at most SAMPLE rows; of rows that repeat an id one is learned from
+    one = texts.join(F.broadcast(picked.df), "id").groupBy("id").agg(F.max("quality").alias("quality"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = cut(one, "quality-sample")
+    vectors = word_vectors(texts)
     shared = spark.sparkContext.broadcast(vectors)
     rows = sorted((r.id, r.quality, bytes(r.x)) for r in sample.df.mapInArrow(_pooler(shared), "id string, quality int, x binary").collect())
     sample.drop()
