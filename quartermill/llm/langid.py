@@ -3,8 +3,8 @@
 A text's words (runs of letters, lower-cased, with their boundaries) give character
 n-grams, hashed to BUCKETS rows of an embedding. A document is the mean of its rows; a
 linear softmax on it gives the language. Both are trained by mini-batch stochastic
-gradient descent in numpy on a bounded sample: at most PER_LANGUAGE labelled documents a
-language, picked by the hash of doc_id. A quarter of the sample calibrates: a temperature
+gradient descent in numpy on a bounded sample: at most PER_LANGUAGE labelled documents of each of
+the LANGUAGES most frequent languages, one row an id, picked by the hash of doc_id. A quarter of the sample calibrates: a temperature
 for the score and the score under which a prediction is rejected. For prediction the
 embedding and the softmax fold into one row of logits per bucket, so every whole text is
 one pass of lookups.
@@ -30,7 +30,7 @@ from .shared import batches, bound_batches, cut, strings
 
 BUCKETS, DIM, NGRAMS, PER_LANGUAGE = 1 << 14, 16, (2, 3), 750
 EPOCHS, BATCH, RATE, SEED = 12, 32, 20.0, 11
-SLICES, BROADCAST_ROWS = 16, 100_000
+LANGUAGES = 64  # most languages learned, so PER_LANGUAGE * LANGUAGES documents at most are learned from
 #: Rejected: scores below this quantile of the rightly predicted calibration rows, and never above REJECT_AT_MOST.
 REJECT_QUANTILE, REJECT_AT_MOST = 0.002, 0.5
 #: Code points worked on at once: bounds memory whatever the length of a text.
@@ -52,15 +52,20 @@ def letters() -> np.ndarray:
 
 
 def subwords(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of a text's words, slice by slice; n-grams of boundaries alone are left out."""
+    """Buckets of the n-grams of a text's words, those that end in a slice with each; n-grams of boundaries alone are left out."""
+    text, most = f" {text.lower()} ", max(NGRAMS) - 1
     for at in range(0, len(text), SLICE):
-        points = np.frombuffer((" " + text[at : at + SLICE].lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        base = max(0, at - most)
+        points = np.frombuffer(text[base : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letters()[points]
         codes = np.where(is_letter, points, 0).astype(np.uint64)
         for n in NGRAMS:
-            h = np.zeros(len(codes) - n + 1, np.uint64)
+            skip = at - base - min(at, n - 1)
+            if len(codes) - skip < n:
+                continue
+            h = np.zeros(len(codes) - skip - n + 1, np.uint64)
             some = np.zeros(len(h), bool)
-            for i in range(n):
+            for i in range(skip, skip + n):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(h)] + np.uint64(n)
                 some |= is_letter[i : i + len(h)]
             h ^= h >> np.uint64(29)
@@ -138,15 +143,16 @@ def fit(docs: DataFrame) -> Model | None:
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = rows.where("id is not null and lang is not null and crc32(cast(id as binary)) % 5 != 0")
-    # at most PER_LANGUAGE ids a language, chosen before any text is read: first within slices of ids, then overall,
-    # so that the last step sees at most SLICES * PER_LANGUAGE rows a language however many rows there are
-    ids = known.select("id", "lang", F.expr(f"pmod(xxhash64(id, 1), {SLICES})").alias("slice"))
-    for within in ("lang, slice", "lang"):
-        ids = ids.withColumn("nth", F.expr(f"row_number() over (partition by {within} order by xxhash64(id), id)")).where(f"nth <= {PER_LANGUAGE}")
-    ids = cut(ids.select("id", "lang").distinct(), "langid-sample").df
-    if ids.count() <= BROADCAST_ROWS:  # else Spark's own choice of join
-        ids = F.broadcast(ids)
-    sample = known.join(ids, ["id", "lang"]).select("lang", "text").mapInArrow(_features, "lang string, at binary, share binary").collect()
+    # the languages with most ids, and about how many ids each has: at most LANGUAGES rows
+    ids = known.select("id", "lang")
+    languages = cut(ids.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES), "langid-languages").df
+    # ids of smallest hash: those under a bound that twice as many as wanted fall under, then the first of them, so the ranking sees about 2 * PER_LANGUAGE rows a language
+    share = (F.xxhash64("id") / F.lit(2.0**64) + 0.5) <= F.lit(2.0 * PER_LANGUAGE) / F.col("n")
+    near = ids.join(F.broadcast(languages), "lang").where(share).select("id", "lang").distinct()
+    chosen = near.withColumn("nth", F.expr("row_number() over (partition by lang order by xxhash64(id), id)")).where(f"nth <= {PER_LANGUAGE}").select("id", "lang")
+    # at most PER_LANGUAGE * LANGUAGES rows; of rows that repeat an id one is learned from
+    rows = known.join(F.broadcast(cut(chosen, "langid-sample").df), ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = rows.select("lang", "text").mapInArrow(_features, "lang string, at binary, share binary").collect()
     picked = sorted((r.lang, bytes(r.at), bytes(r.share)) for r in sample)
     return train([(a, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for a, b, c in picked])
 
@@ -200,4 +206,4 @@ def accepted(docs: DataFrame) -> DataFrame:
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rejected")
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
