@@ -3,8 +3,8 @@
 Base columns come from one pass over the bytes of every whole text. Each derived ratio
 then goes into a quantile sketch per (lang, source): counts of integer buckets with a
 relative width of at most 1/512, so sketches of parts merge by adding counts and do not
-depend on the order of rows or tasks. A group too small to speak for itself takes its
-language's merged sketch. Thresholds (Tukey fences with slack) replace fixed cutoffs and
+depend on the order of rows or tasks. A group's quartiles are drawn towards those of its
+language's merged sketch, which weighs as much as PRIOR_ROWS rows, so a small group is judged mostly by its language. Thresholds (Tukey fences with slack) replace fixed cutoffs and
 are joined back; the join key is salted, as one source may hold a third of all rows.
 
 Defined results: null text counts as no words (base_failed, not kept); null lang or
@@ -36,8 +36,8 @@ METRICS = {
     "dup_lines": ("n_dup_lines", "n_words", 1000, 50, False),
     "repeats": ("n_repeat_words", "n_words", 1000, 350, False),
 }
-#: Fences lie this many quartile ranges outside the quartiles; groups under MIN_ROWS use their language's sketch.
-FENCE, MIN_ROWS, SALTS = 4, 200, 32
+#: Fences lie this many quartile ranges outside the quartiles; rows that a language's sketch counts for beside a source's own.
+FENCE, PRIOR_ROWS, SALTS = 4, 200, 32
 
 
 def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
@@ -98,7 +98,7 @@ def fences(sketch: DataFrame) -> DataFrame:
         F.min(F.expr("case when 4 * upto >= total then bucket end")).alias("q1"), F.min(F.expr("case when 4 * upto >= 3 * total then bucket end")).alias("q3"), F.max("total").alias("total")
     )
     own = quartiles.where("level = 0").alias("o").join(quartiles.where("level = 1").alias("l"), F.expr("o.lang <=> l.lang and o.metric = l.metric"))
-    use = own.select("o.lang", "o.source", "o.metric", *[F.expr(f"case when o.total >= {MIN_ROWS} then o.{q} else l.{q} end").alias(q) for q in ("q1", "q3")])
+    use = own.select("o.lang", "o.source", "o.metric", *[F.expr(f"(o.total * o.{q} + {PRIOR_ROWS} * l.{q}) div (o.total + {PRIOR_ROWS})").alias(q) for q in ("q1", "q3")])
     slack = F.expr("case metric " + " ".join(f"when '{m}' then {METRICS[m][3]}" for m in METRICS) + " end")
     bounds = use.select("lang", "source", "metric", (F.col("q1") - FENCE * (F.col("q3") - F.col("q1")) - slack).alias("low"), (F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack).alias("high"))
     picks = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in (("low", "high") if METRICS[m][4] else ("high",))]
@@ -148,7 +148,7 @@ sk as (select lang, source, metric, bucket, count(*) as n from ({pairs}) group b
 lv as (select 0 as level, lang, source, metric, bucket, n from sk union all select 1, lang, null, metric, bucket, sum(n) from sk group by lang, metric, bucket),
 rk as (select *, sum(n) over (partition by level, lang, source, metric order by bucket) as upto, sum(n) over (partition by level, lang, source, metric) as total from lv),
 q as (select level, lang, source, metric, min(case when 4 * upto >= total then bucket end) as q1, min(case when 4 * upto >= 3 * total then bucket end) as q3, max(total) as total from rk group by all),
-u as (select o.lang, o.source, o.metric, case when o.total >= {MIN_ROWS} then o.q1 else l.q1 end as q1, case when o.total >= {MIN_ROWS} then o.q3 else l.q3 end as q3
+u as (select o.lang, o.source, o.metric, (o.total * o.q1 + {PRIOR_ROWS} * l.q1) // (o.total + {PRIOR_ROWS}) as q1, (o.total * o.q3 + {PRIOR_ROWS} * l.q3) // (o.total + {PRIOR_ROWS}) as q3
   from q o join q l on o.level = 0 and l.level = 1 and o.lang is not distinct from l.lang and o.metric = l.metric),
 b as (select lang, source, metric, q1 - {FENCE} * (q3 - q1) - {slack} as low, q3 + {FENCE} * (q3 - q1) + {slack} as high from u),
 f as (select lang, source, {picks} from b group by lang, source)
