@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batches, bound_batches, fresh_path, utf8
+from .shared import batches, bound_batches, fresh_path, part_rows, utf8
 
 #: Bytes a reading task owns; bytes a step of the scan holds.
 RANGE, STEP = 32 << 20, 1 << 20
@@ -53,13 +53,19 @@ def _writer(folder: str, when: str):
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"{root}/part-{context.partitionId():06d}.warc.gz"
         temporary, size, out = f"{name}.{context.taskAttemptId()}", 0, None
-        for b in batches(source):
-            if out is None:
-                fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(temporary, compression=None)
-            ids, urls, kinds, refers = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "kind", "refers_to"))
-            for row in zip(ids, urls, utf8(b, "html"), kinds, refers):
-                size += out.write(member := record(*row, when)) or len(member)
+        try:
+            for b in batches(source):
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(temporary, compression=None)
+                ids, urls, kinds, refers = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "kind", "refers_to"))
+                for row in zip(ids, urls, utf8(b, "html"), kinds, refers):
+                    size += out.write(member := record(*row, when)) or len(member)
+        except BaseException:
+            if out is not None:
+                out.close()
+                fs.delete_file(temporary)
+            raise
         if out is not None:
             out.close()
             fs.move(temporary, name)
@@ -72,9 +78,11 @@ def classified(pages: DataFrame) -> DataFrame:
     """pages with kind and refers_to: the largest page_id of equal payloads is the response."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    # partial maxima meet in the shuffle; only this small side knows a group's size
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("first"))
-    joined = rows.join(first, "digest")
+    # largest ids of shares of the rows first, then of digests: the html of a common page is dealt over as many tasks as it has shares
+    rows = rows.withColumn("share", F.expr(f"cast(pmod(xxhash64(page_id, url), {part_rows(pages.sparkSession)}) as int)"))
+    shares = rows.groupBy("digest", "share").agg(F.max("page_id").alias("first"))
+    first = shares.groupBy("digest").agg(F.max("first").alias("first"))
+    joined = rows.join(shares.select("digest", "share").join(first, "digest"), ["digest", "share"])
     is_first = F.expr("page_id <=> first")
     return joined.select("page_id", "url", "html", F.when(is_first, "response").otherwise("revisit").alias("kind"), F.when(~is_first, F.col("first")).alias("refers_to"))
 
@@ -112,8 +120,10 @@ def parsed(raw: bytes) -> tuple:
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     number = lambda x: int(n) if (n := x.rpartition(":")[2].rstrip(">")) not in ("", "None") else None
-    kind = fields["WARC-Type"]
-    return number(fields["WARC-Record-ID"]), length, fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, number(fields["WARC-Refers-To"]) if kind == "revisit" else None, fields["WARC-Target-URI"], payload if kind == "response" else None
+    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and (length, digest) != (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()):
+        raise ValueError(f"{fields['WARC-Record-ID']}: the payload isn't what its record says")
+    return number(fields["WARC-Record-ID"]), length, digest, kind, number(fields["WARC-Refers-To"]) if kind == "revisit" else None, fields["WARC-Target-URI"], payload if kind == "response" else None
 
 
 def member_at(window: Window) -> tuple[bytes, int] | None:
