@@ -90,6 +90,20 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_of_repeated_rows_and_many_groups(spark):
+    rng = random.Random(8)
+    rows = [(7, prose(rng, 30))] * 400 + [(None, None)] * 3 + [(i, prose(rng, rng.randint(1, 60))) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), P.path("byte_bpe_50k.json"), capacity=512, group_rows=60).collect()
+    assert sum(r.piece == 0 for r in got) == len(rows) and sum(r.doc_id is None for r in got) == 3
+    seq = defaultdict(list)
+    for r in got:
+        seq[r.sequence_id].append((r.offset, r.length))
+    for part in seq.values():
+        part.sort()
+        assert [o for o, _ in part] == [sum(n for _, n in part[:k]) for k in range(len(part))] and sum(n for _, n in part) <= 512
+    assert len(seq) <= -(-sum(r.length for r in got) // 512) + 3
+
+
 def test_special_strings_and_odd_characters_go_through_the_library(spark):
     texts = {0: "a <|endoftext|> b", 1: "tab\x1fsep\x85next", 2: "\U0001f600 ok กำ"}
     check_packing(packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect(), texts, 2048)
@@ -152,6 +166,26 @@ def test_languages(spark, nothing):
     assert kept.columns == docs.columns and not {900, 901, 902} & {r.doc_id for r in kept.collect()}
 
 
+def test_ngrams_of_long_texts_are_those_of_the_whole(monkeypatch):
+    text = "Ærøskøbing 7 straße, ".join("abcdefg hij".split()) * 20
+    whole = np.sort(np.concatenate(list(langid.subwords(text))))
+    for size in (2, 3, 7, 100):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert np.array_equal(np.sort(np.concatenate(list(langid.subwords(text)))), whole)
+
+
+def test_samples_stay_bounded_whatever_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(len(rows)))
+    monkeypatch.setattr(quality, "train", lambda v, x, y: seen.append(len(x)))
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, f"text {k}", "en") for k in range(3000)] + [(i, "other words", f"l{i % 200}") for i in range(1000, 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit(docs)
+    quality.fit(docs, spark.createDataFrame([(one, 1), (one, 1), *((i, i % 2) for i in range(1000, 1100))], "doc_id long, quality int"))
+    assert seen[0] <= 64 * 10 and seen[1] <= 101
+
+
 def test_filters_without_a_model_keep_their_documents(spark):
     docs = spark.createDataFrame([(1, "some words of a text", None), (2, None, None), (None, "more words", None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(77, 0), (78, 1)], "doc_id long, quality int")  # of documents that are gone
@@ -297,6 +331,21 @@ def test_sharding(docs, nothing):
     assert sharding.shard_by_bytes(nothing).count() == 0
 
 
+def test_lumps_of_many_groups_and_a_heavy_one(spark):
+    rng = random.Random(2)
+    rows = [(5, "q" * rng.randint(1, 900) + str(i)) for i in range(1500)] + [(None, "heavy " * 40)] * 1200
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 6, items_at_once=200, lumps=20).collect()
+    assert len(got) == len(rows)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and len({r.shard for r in got if r.doc_id is None}) == 1
+    heavy = sum(r.size for r in got if r.doc_id is None)
+    rest = sorted(v for v in sizes.values())
+    assert sum(sizes.values()) / 6 < heavy == rest[-1] or rest[-1] - rest[0] < 2000
+
+
 def test_differencing_balances_better_than_greedy():
     rng = random.Random(3)
     items = [(i, rng.randint(1, 10_000)) for i in range(400)]
