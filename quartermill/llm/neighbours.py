@@ -13,7 +13,8 @@ others whose upper bound reaches it are reranked by the exact product in double
 Equal vectors are one candidate (a class), scored once; its TOP + 1 smallest ids are all
 that a ranking with ties to smaller ids can use, and travel with it. Candidates and queries
 meet in tiles of bounded size: CANDIDATES x QUERIES vectors; each tile gives TOP rows a
-query, merged by a ranking whose first step runs before the shuffle.
+query, merged by a ranking whose first step runs before the shuffle. Codes are made once and
+travel with their vectors in the table's own type, so that a tile reranks without a join.
 
 Defined results: null or zero vectors and those holding null or non-finite components take
 no part; vectors of different length don't meet; rows that repeat vec_id and vector count
@@ -34,7 +35,7 @@ from .shared import batches, cut
 
 TOP, EVERY, QUERY_BITS, LEAST_BITS, SEED = 20, 20, 4, 256, 23
 #: Width of the bound in standard deviations of the code's error; vectors of a tile.
-WIDTH, CANDIDATES, QUERIES = 2.5, 65_536, 4_096
+WIDTH, CANDIDATES, QUERIES = 2.5, 65_536, 16_384
 
 
 @lru_cache(maxsize=4)
@@ -81,9 +82,9 @@ def bounds(codes: np.ndarray, ones: np.ndarray, norm: np.ndarray, along: np.ndar
     return norm * product / (root * along), WIDTH * norm / along * np.hypot(residual, query.off / root)
 
 
-def rank_tile(ids: list[list[int]], x: np.ndarray, queries: list[tuple[int, np.ndarray]], top: int = TOP) -> Iterator[tuple[int, int, float]]:
-    """(query, vec_id, score): each query's best rows among the classes x, whose smallest ids are given."""
-    codes, norm, along = encode(x)
+def rank_tile(ids: list[list[int]], x: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray], queries: list[tuple[int, np.ndarray]], top: int = TOP) -> Iterator[tuple[int, int, float]]:
+    """(query, vec_id, score): each query's best rows among the classes x, whose codes and smallest ids are given."""
+    codes, norm, along = coded
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
     wanted = top + 1  # a query's own class may hold nothing but itself
     for query_id, q in queries:
@@ -104,6 +105,25 @@ def rank_tile(ids: list[list[int]], x: np.ndarray, queries: list[tuple[int, np.n
             yield query_id, i, -s
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.array(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def _encoded(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the codes (binary), norms and products to classes; a batch may hold vectors of several lengths."""
+    for b in batches(source):
+        dims = b.column(b.schema.get_field_index("dim")).to_numpy()
+        bits, norm, along = [b""] * len(dims), np.zeros(len(dims)), np.zeros(len(dims))
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            codes, norm[at], along[at] = encode(matrix(b.column(b.schema.get_field_index("v")).take(pa.array(at))))
+            for i, c in zip(at, codes):
+                bits[i] = c.tobytes()
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary()), pa.array(norm), pa.array(along)], names=[*b.schema.names, "bits", "norm", "along"])
+
+
 def _tile(top: int):
     names = ["query_id", "vec_id", "score"]
     kinds = [pa.int64(), pa.int64(), pa.float64()]
@@ -111,9 +131,10 @@ def _tile(top: int):
     def run(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         if not candidates.num_rows or not queries.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        matrix = lambda t: np.array(t.column("v").combine_chunks().values.to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
-        asked = list(zip(queries.column("query_id").to_pylist(), matrix(queries)))
-        rows = list(rank_tile(candidates.column("ids").to_pylist(), matrix(candidates), asked, top))
+        codes = np.frombuffer(b"".join(candidates.column("bits").to_pylist()), np.uint64).reshape(candidates.num_rows, -1)
+        coded = codes, candidates.column("norm").to_numpy(), candidates.column("along").to_numpy()
+        asked = list(zip(queries.column("query_id").to_pylist(), matrix(queries.column("v"))))
+        rows = list(rank_tile(candidates.column("ids").to_pylist(), matrix(candidates.column("v")), coded, asked, top))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
@@ -121,16 +142,18 @@ def _tile(top: int):
 
 def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of each row whose vec_id is divisible by `every`."""
-    v = F.col("v")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
+    v, own = F.col("v"), vectors.schema["embedding"].dataType.simpleString()
+    kind = own if own == "array<float>" else "array<double>"  # floats are doubles in half the bytes
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v")).where(
         v.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     )
-    code = F.xxhash64(F.transform(v, lambda x: x + F.lit(0.0)))
+    code = F.xxhash64(F.transform(v, lambda x: x.cast("double") + F.lit(0.0)))
     members = cut(rows.select("vec_id", "v", code.alias("code"), F.size(v).alias("dim")).distinct(), "vectors").df
     # the limit on a class runs before the shuffle too, so a vector of many rows is few rows a task
     smallest = members.withColumn("nth", F.expr("row_number() over (partition by code, v order by vec_id)")).where(F.col("nth") <= top + 1)
     classes = smallest.groupBy("code", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("dim").alias("dim"))
-    classes = cut(classes.select(F.col("ids")[0].alias("class_id"), "ids", "dim", "v"), "classes").df
+    shape = f"class_id long, ids array<long>, dim int, v {kind}"
+    classes = cut(classes.select(F.col("ids")[0].alias("class_id"), "ids", "dim", "v").mapInArrow(_encoded, f"{shape}, bits binary, norm double, along double"), "classes").df
     asked = members.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "dim", "v")
     n, m = classes.count(), asked.count()
     across, down = max(1, -(-n // candidates), min(8, -(-n // 1024))), max(1, -(-m // queries), min(4, -(-m // 256)))
@@ -138,7 +161,7 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, candidates:
     left = side(classes, "class_id", "a", across, "d", down).groupBy("dim", "a", "d")
     right = side(asked, "query_id", "d", down, "a", across).groupBy("dim", "a", "d")
     found = left.cogroup(right).applyInArrow(_tile(top), "query_id long, vec_id long, score double")
-    final = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(F.col("rank") <= top)
+    final = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(F.col("rank") <= top)
     return final.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
