@@ -7,7 +7,7 @@ anchor form a context.
 
 1. A pass over the texts gives, per anchor, its hash and a hash of its whole context
    (48 bits each; contexts count as equal if all 96 agree). Equal contexts are a class: all but the earliest hold only repeated windows. A task
-   settles its own repeats before anything is shuffled.
+   settles its own repeats before anything is shuffled: of a class it sends its earliest context on, and the others' ranges, run together, as marks.
 2. The classes' earliest contexts meet by anchor hash. Where an anchor has several
    different contexts, their bytes are fetched and indexed in blocks: a run-compressed
    Burrows-Wheeler transform with sampled ends. Matching statistics are streamed through
@@ -39,6 +39,7 @@ LENGTH, K = 100, 24
 SPAN = LENGTH - K + 1
 #: Bytes of text a task settles at once; bytes of a block; contexts of an anchor that a block takes; windows worked on at once.
 FLUSH, BLOCK, HOT, SLICE = 12 << 20, 1 << 18, 8_000, 1 << 19
+BUCKET = 64 << 20  # bytes of text whose contexts meet in one bucket
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 FOUND = "rid long, h long, s int, e int, members int"
 MARKS = "rid long, s int, e int"
@@ -96,60 +97,64 @@ def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, new
 
 
-def packed(rows: np.ndarray, kept: bool) -> bytes:
-    """Records in text order, column by column in as few bytes as they need; repeats that are settled go without hashes."""
+def packed(rows: np.ndarray) -> bytes:
+    """Records in text order, column by column in as few bytes as they need."""
     six = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
     steps = np.diff(rows["rid"], prepend=rows["rid"][:1])
-    wide = bool(len(steps) and steps.max() >= 1 << 31)
-    return b"".join(
-        [
-            bytes([kept, wide]),
-            int(rows["rid"][0]).to_bytes(8, "little", signed=True),
-            steps.astype("<i8" if wide else "<i4").tobytes(),
-            np.ascontiguousarray(rows["s"]).tobytes(),
-            (rows["e"] - rows["s"] - LENGTH).astype(np.uint8).tobytes(),
-            six(rows["h"]) + six(rows["c"]) if kept else b"",
-        ]
-    )
+    wide = bool(steps.max() >= 1 << 31)
+    head = bytes([wide]) + int(rows["rid"][0]).to_bytes(8, "little", signed=True)
+    places = steps.astype("<i8" if wide else "<i4").tobytes() + np.ascontiguousarray(rows["s"]).tobytes() + (rows["e"] - rows["s"] - LENGTH).astype(np.uint8).tobytes()
+    return head + places + six(rows["h"]) + six(rows["c"])
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    kept, wide = blob[0], blob[1]
-    step = 8 if wide else 4
-    n = (len(blob) - 10) // (step + 5 + 12 * kept)
-    rows, at = np.zeros(n, RECORD), 10
-    rows["rid"] = int.from_bytes(blob[2:10], "little", signed=True) + np.cumsum(np.frombuffer(blob, f"<i{step}", n, at).astype(np.int64))
+    step = 8 if blob[0] else 4
+    n = (len(blob) - 9) // (step + 17)
+    rows, at = np.zeros(n, RECORD), 9
+    rows["rid"] = int.from_bytes(blob[1:9], "little", signed=True) + np.cumsum(np.frombuffer(blob, f"<i{step}", n, at).astype(np.int64))
     at += step * n
     rows["s"] = np.frombuffer(blob, "<i4", n, at)
     at += 4 * n
     rows["e"] = rows["s"] + LENGTH + np.frombuffer(blob, np.uint8, n, at)
     at += n
-    if kept:
-        for x in ("h", "c"):
-            wide_ = np.zeros((n, 8), np.uint8)
-            wide_[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-            rows[x] = wide_.view("<i8").ravel()
-            at += 6 * n
+    for x in ("h", "c"):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
+        rows[x] = wide.view("<i8").ravel()
+        at += 6 * n
     return rows
 
 
+def run_together(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rid, start and end of the ranges that records cover; ends grow with starts in a text."""
+    rows = rows[np.lexsort((rows["s"], rows["rid"]))]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows["rid"][1:] != rows["rid"][:-1]) | (rows["s"][1:] > rows["e"][:-1])
+    last = np.append(first[1:], True)[: len(rows)]
+    return rows["rid"][first], rows["s"][first], rows["e"][last]
+
+
 def _anchors(buckets: int):
+    kinds = [("bucket", pa.int32()), ("blob", pa.binary()), ("rid", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
+        def sent(columns):
+            n = next(len(c) for c in columns if c is not None)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[k for k, _ in kinds])
+
         def flush():
             rows, new = settle(np.concatenate(held))
-            at, blobs = [], []
-            for kept, part in ((True, rows[new]), (False, rows[~new])):
-                bucket = part["h"] % buckets
-                order = np.lexsort((part["s"], part["rid"], bucket))
-                part, edges = part[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    if edges[b] < edges[b + 1]:
-                        at.append(b)
-                        blobs.append(packed(part[edges[b] : edges[b + 1]], kept))
+            yield sent([None, None, *run_together(rows[~new])])
+            rows = rows[new]
+            bucket = rows["h"] % buckets
+            order = np.lexsort((rows["s"], rows["rid"], bucket))
+            rows, edges = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            at = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
             for i in range(0, len(at), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], names=["bucket", "blob"])
+                part = at[i : i + 64]
+                yield sent([part, [packed(rows[edges[b] : edges[b + 1]]) for b in part], None, None, None])
 
         for b in batches(source):
             for rid, data in zip(b.column(b.schema.get_field_index("rid")).to_pylist(), utf8(b)):
@@ -170,15 +175,12 @@ def _anchors(buckets: int):
 
 def _classes(key: tuple, table: pa.Table) -> pa.Table:
     """Marks of repeated contexts (members 0), and the contexts of anchors that have several."""
-    kept, done = [], []
-    for blob in table.column("blob").to_pylist():
-        (kept if blob[0] else done).append(unpacked(blob))
-    rows, new = settle(np.concatenate([*kept, np.empty(0, RECORD)]))
+    rows, new = settle(np.concatenate([unpacked(x) for x in table.column("blob").to_pylist()]))
     head = np.flatnonzero(np.diff(rows["h"], prepend=~rows["h"][:1]))
     count = np.add.reduceat(new.astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
     classes = np.repeat(count, np.diff(head, append=len(rows)))
     several = new & (classes > 1)
-    marks = np.concatenate([rows[~new], *done])
+    marks = rows[~new]
     out = np.concatenate([marks, rows[several]])
     members = np.concatenate([np.zeros(len(marks), np.int64), classes[several]])
     return pa.Table.from_arrays([pa.array(out["rid"]), pa.array(out["h"]), pa.array(out["s"]), pa.array(out["e"]), pa.array(members.astype(np.int32))], names=["rid", "h", "s", "e", "members"])
@@ -257,11 +259,13 @@ def in_text_order(rid, start, data):
 def marks(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(rid, s, e): byte ranges of rows (rid, text) to remove; they may overlap."""
     parts = part_rows(rows.sparkSession)
-    blobs = rows.select("rid", "text").mapInArrow(_anchors(parts), "bucket int, blob binary")
-    found = cut(blobs.groupBy("bucket").applyInArrow(_classes, FOUND), "contexts").df
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sent = cut(rows.select("rid", "text").mapInArrow(_anchors(max(parts, -(-size // BUCKET))), "bucket int, blob binary, rid long, s int, e int"), "anchors").df
+    found = cut(sent.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_classes, FOUND), "contexts").df
+    own = sent.where("bucket is null").select("rid", "s", "e")
     still = found.where("members > 0")
     size, most = still.agg(F.sum(F.col("e") - F.col("s")), F.max("members")).first()
-    settled = found.where("members = 0").select("rid", "s", "e")
+    settled = own.unionByName(found.where("members = 0").select("rid", "s", "e"))
     if not size:
         return settled
     blocks = max(parts, -(-size // (4 * BLOCK)))
@@ -273,7 +277,9 @@ def marks(rows: DataFrame, hot: int = HOT) -> DataFrame:
         windows = opened.mapInArrow(_fetch(blocks, True, hot), "w binary, rid long, p int")
         first = windows.groupBy("w").agg(F.min(F.struct("rid", "p")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "f")
         later = windows.join(first, "w").where("struct(rid, p) <> f")
-        out = out.unionByName(later.select("rid", F.col("p").alias("s"), (F.col("p") + LENGTH).alias("e")))
+        # neighbouring windows run together before any text's ranges are collected
+        runs = later.select("rid", "p", F.expr("p - row_number() over (partition by rid order by p)").alias("run")).groupBy("rid", "run").agg(F.min("p").alias("s"), (F.max("p") + LENGTH).alias("e"))
+        out = out.unionByName(runs.select("rid", "s", "e"))
     return out
 
 
