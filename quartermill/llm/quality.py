@@ -32,6 +32,7 @@ from .shared import batches, bound_batches, cut, utf8
 
 WORDS, SHAPES, DIM, NONZERO, SPAN = 1 << 14, 1 << 8, 48, 6, 2
 SAMPLE, HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 12_000, 24, 60, 128, 0.01, 1e-4, 5
+CHUNK = 3_000  # words worked on at once: each adds 10 at most to a field, of 2^15
 FAN, FEW = 16, 4  # partial sums added in one task; partial sums that the driver adds
 KEEP_FROM = 0.7
 UNKNOWN = 0.5  # every score where no label can be used
@@ -103,27 +104,56 @@ def pooled(vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.concatenate([vectors[ids[:, 0]].mean(axis=0), shapes / len(ids)])
 
 
+def in_fields(vectors: np.ndarray) -> np.ndarray:
+    """Rows of small whole numbers, four to an int64: sums of rows are sums of fields while these stay within 16 bits."""
+    wide = vectors.astype(np.int64).reshape(len(vectors), -1, 4)
+    return (wide << np.array([0, 16, 32, 48])).sum(axis=2)
+
+
+def from_fields(rows: np.ndarray) -> np.ndarray:
+    out, left = np.empty((*rows.shape, 4), np.int64), rows.copy()
+    for k in range(4):
+        out[..., k] = left.astype(np.int16)  # the lowest field, with its sign
+        left = (left - out[..., k]) >> 16
+    return out.reshape(len(rows), -1)
+
+
+def added_contexts(total: np.ndarray, index: np.ndarray, ids: np.ndarray) -> None:
+    """Adds to each row of total the index vectors (in fields) around its words; ids are texts with SPAN gaps (the last row of index) around each."""
+    for at in range(SPAN, len(ids) - SPAN, CHUNK):
+        part = ids[at - SPAN : min(at + CHUNK, len(ids) - SPAN) + SPAN]
+        own, n = index[part[:, 0]] + index[part[:, 1]], len(part) - 2 * SPAN
+        around = sum(own[SPAN + k : SPAN + k + n] for k in range(-SPAN, SPAN + 1) if k)
+        middle = part[SPAN : SPAN + n].astype(np.uint16)
+        for column, values in ((0, around + index[middle[:, 1]]), (1, around)):
+            order = np.argsort(middle[:, column], kind="stable")
+            rows = middle[order, column]
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            total[rows[first]] += from_fields(np.add.reduceat(values[order], first, axis=0))
+
+
 def _contexts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's sum of the index vectors around each word; one row. Sums are whole numbers, so their order is of no account."""
-    index, total, reader = index_vectors(), np.zeros((WORDS + SHAPES, DIM)), Reader()
-    pad = np.zeros((SPAN, DIM), np.float32)
+    index = np.concatenate([index_vectors(), np.zeros((1, DIM), np.float32)])
+    fields = in_fields(index)
+    total, reader, gap = np.zeros(index.shape), Reader(), np.full((SPAN, 2), len(index) - 1)
+    held, size = [gap], 0
     for b in batches(source):
         for data in utf8(b):
             ids = reader.ids(data)
-            n = len(ids)
-            if not n:
+            if not len(ids):
                 continue
-            own = index[ids[:, 0]] + index[ids[:, 1]]
-            padded = np.concatenate([pad, own, pad])
-            around = sum(padded[SPAN + k : SPAN + k + n] for k in range(-SPAN, SPAN + 1) if k)
-            for column, extra in ((0, index[ids[:, 1]]), (1, 0)):
-                order = np.argsort(ids[:, column], kind="stable")
-                rows, first = np.unique(ids[order, column], return_index=True)
-                total[rows] += np.add.reduceat((around + extra)[order], first, axis=0)
+            held += [ids, gap]
+            size += len(ids)
             again, triple = repeats(ids[:, 0])
             total[AGAIN] += again * index[AGAIN]
             total[TRIPLE] += triple * index[TRIPLE]
-    yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+            if size >= 32 * CHUNK:
+                added_contexts(total, fields, np.concatenate(held))
+                held, size = [gap], 0
+    if size:
+        added_contexts(total, fields, np.concatenate(held))
+    yield pa.RecordBatch.from_pydict({"sums": pa.array([total[:-1].tobytes()], pa.binary())})
 
 
 def _added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
