@@ -16,15 +16,34 @@ def row_sum(names: Sequence[str]) -> Column:
     return out
 
 
-def accounting(df: DataFrame, headline: str, parts: Sequence[str], coarse: Sequence[str], tolerance: float = 0.10, exact: float = 1e-10) -> DataFrame:
-    """Adds the sum of parts, the rounding residual and whether it is small, and whether parts plus residual restore the headline.
+def accounting(df: DataFrame, headline: str, published: Sequence[str], splits: dict[str, str], tolerance: float = 0.10, exact: float = 1e-10, strict: bool = False) -> DataFrame:
+    """The sum of published parts, what rounding leaves of the headline, and whether the drivers restore it.
 
-    coarse names the parts that the headline's "all other" effect leaves out.
+    splits names, for a published part, the detail that is shown on its own; the drivers are
+    the parts that aren't split, these details, what they leave of their parts (`<part>_other`)
+    and the residual. With strict, a row whose residual is over tolerance or whose drivers miss
+    the headline by over exact fails the query.
     """
-    out = df.withColumn("sum_of_parts", row_sum(parts)).withColumn("residual", F.col(headline) - F.col("sum_of_parts"))
-    out = out.withColumn("other", F.col(headline) - row_sum(coarse))
-    out = out.withColumn("residual_ok", F.abs("residual") <= tolerance)
-    return out.withColumn("reconciles", F.abs(F.col("sum_of_parts") + F.col("residual") - F.col(headline)) <= exact)
+    others = {f"{part}_other": F.coalesce(F.col(part), F.lit(0.0)) - F.coalesce(F.col(detail), F.lit(0.0)) for part, detail in splits.items()}
+    out = df.withColumns(others).withColumn("sum_of_parts", row_sum(published)).withColumn("residual", F.col(headline) - F.col("sum_of_parts"))
+    drivers = [*[x for x in published if x not in splits], *splits.values(), *others, "residual"]
+    out = out.withColumn("error", F.abs(row_sum(drivers) - F.col(headline)))
+    out = out.withColumn("residual_ok", F.abs("residual") <= tolerance).withColumn("reconciles", F.col("error") <= exact)
+    if strict:
+        text = F.concat(F.lit("accounting fails: residual "), F.col("residual").cast("string"), F.lit(", error "), F.col("error").cast("string"))
+        fine = F.when(F.col("residual_ok") & F.col("reconciles"), F.lit(None)).otherwise(F.raise_error(text))
+        out = out.withColumn("_fault", fine.cast("string")).where("_fault is null").drop("_fault")
+    return out
+
+
+def largest_errors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The largest absolute value of each column; one row."""
+    return df.agg(*[F.max(F.abs(x)).alias(x) for x in columns])
+
+
+def stale(df: DataFrame, quarter: str, wanted: int) -> DataFrame:
+    """The last quarter of a table and whether it comes before the one wanted."""
+    return df.agg(F.max(quarter).alias("last")).withColumn("stale", F.coalesce(F.col("last") < wanted, F.lit(True)))
 
 
 def detail_residuals(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:

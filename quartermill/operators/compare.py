@@ -40,10 +40,12 @@ def compare_names(actual: DataFrame, desired: DataFrame, key: str = "array") ->
     return a.join(d, key, "full").select(key, status.alias("status"))
 
 
-def speedups(results: DataFrame, group: Sequence[str], machine: str | None = None) -> DataFrame:
-    """Elapsed time of the group's baseline over each row's: the named machine's if it is there, else the fastest usable row."""
+def speedups(results: DataFrame, group: Sequence[str], machine: str | None = None, backend: str | None = None) -> DataFrame:
+    """Elapsed time of the group's baseline over each row's: the named machine's (and backend's) if it is there, else the fastest usable row."""
     usable = results.where("available and not skipped and elapsed > 0")
     named = (F.col("machine") == machine) if machine else F.lit(False)
+    if backend:
+        named &= F.col("backend") == backend
     w = Window.partitionBy(*group).orderBy(F.when(named, 0).otherwise(1), "elapsed", "machine").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return usable.withColumn("baseline", F.first_value("elapsed").over(w)).withColumn("speedup", F.try_divide("baseline", F.col("elapsed")))
 
@@ -56,6 +58,8 @@ def matched_baseline(results: DataFrame, baselines: DataFrame, exact: Sequence[s
         match &= F.col(x) == F.col(f"b_{x}")
     for x in wild:
         match &= F.col(f"b_{x}").isNull() | (F.col(x) == F.col(f"b_{x}"))
-    joined = results.join(b, match, "left")
-    best = joined.groupBy(*results.columns).agg(F.min_by("baseline", "ord").alias("baseline"))
+    # a row's own number keeps rows that repeat apart
+    joined = results.withColumn("_row", F.monotonically_increasing_id()).join(b, match, "left")
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.col("ord").asc_nulls_last()))
+    best = joined.withColumn("_nth", nth).where("_nth = 1").select(*results.columns, "baseline")
     return best.withColumn("speedup", F.when(F.col("baseline") > 0, F.try_divide("baseline", F.col("elapsed"))))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,22 +39,59 @@ def split_rhat(draws: DataFrame, keys: Sequence[str], order: str, value: str) ->
     return draws.select(*keys).distinct().join(out, list(keys), "left")
 
 
-def effective_size(draws: DataFrame, keys: Sequence[str], order: str, value: str, lags: int) -> DataFrame:
-    """Effective sample size: autocorrelations are summed up to the first that isn't positive, over at most `lags` lags.
+def _chain_size(keys: Sequence[str], order: str, value: str):
+    def run(chain: pd.DataFrame) -> pd.DataFrame:
+        x = chain.sort_values(order)[value].to_numpy(np.float64)
+        n, x = len(x), x - x.mean()
+        var, total = float(x @ x) / n, 0.0
+        if n > 1 and np.isfinite(var) and var > np.finfo(float).eps:
+            for lag in range(1, n):
+                rho = float(x[:-lag] @ x[lag:]) / ((n - lag) * var)
+                if not rho > 0:
+                    break
+                total += rho
+        time = max(1.0, 1 + 2 * total)
+        return pd.DataFrame({**{k: [chain[k].iloc[0]] for k in keys}, "n": [n], "iat": [time], "ess": [min(float(n), n / time)]})
 
-    One row a draw meets one row a lag by an equi-join on place + lag, so work is draws
-    times lags, all of it in shuffles by series.
+    return run
+
+
+def effective_size(draws: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Autocorrelation time and effective sample size: autocorrelations are summed up to the first that isn't positive.
+
+    A chain without spread, or of one draw, counts in full. A chain is one task's, in memory
+    in proportion to its length; lags are computed only as far as they are summed.
     """
-    w = Window.partitionBy(*keys)
-    rows = draws.select(*keys, (F.col(value) - F.avg(value).over(w)).alias("x"), F.row_number().over(w.orderBy(order)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    ahead = rows.select(*keys, "i", "n", "x", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
-    other = rows.select(*keys, F.col("i").alias("j"), F.col("x").alias("y"))
-    lagged = ahead.join(other, [*keys, "j"]).groupBy(*keys, "lag").agg((F.sum(F.col("x") * F.col("y")) / F.first(F.col("n") - F.col("lag"))).alias("cov"))
-    var = rows.groupBy(*keys).agg(F.avg(F.col("x") * F.col("x")).alias("var"), F.first("n").alias("n"))
-    rho = lagged.join(var, list(keys)).withColumn("rho", F.try_divide("cov", F.col("var")))
-    stop = F.max(F.when(F.col("rho") <= 0, 1).otherwise(0)).over(w.orderBy("lag"))
-    time = rho.withColumn("_stop", stop).groupBy(*keys).agg(F.greatest(F.lit(1.0), 1 + 2 * F.sum(F.when(F.col("_stop") == 0, F.col("rho")).otherwise(0.0))).alias("iat"))
-    return var.join(time, list(keys), "left").select(*keys, "n", F.least(F.col("n").cast("double"), F.col("n") / F.coalesce("iat", F.lit(1.0))).alias("ess"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in draws.select(*keys).schema)
+    return draws.select(*keys, order, value).groupBy(*keys).applyInPandas(_chain_size(keys, order, value), f"{kinds}, n long, iat double, ess double")
+
+
+def parameter_diagnostics(draws: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Moments per key with the effective size and the standard error of the mean it implies."""
+    sizes = effective_size(draws, keys, order, value).select(*keys, "iat", "ess")
+    return moments(draws, keys, value).join(sizes, list(keys)).withColumn("mcse", F.col("sd") / F.sqrt("ess"))
+
+
+def chain_summary(trace: DataFrame, keys: Sequence[str], logpost: str) -> DataFrame:
+    """Per chain: draws, acceptance, and mean and extremes of the log posterior."""
+    return trace.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("accepted").cast("double")).alias("acceptance"), F.avg(logpost).alias("logpost_mean"), F.min(logpost).alias("logpost_min"), F.max(logpost).alias("logpost_max")
+    )
+
+
+def covariance_health(matrices: DataFrame, key: str) -> DataFrame:
+    """Per symmetric matrix of cells (key, i, j, value): smallest and largest eigenvalue, condition number, and whether it is positive semidefinite."""
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        n = int(max(cells.i.max(), cells.j.max())) + 1
+        m = np.zeros((n, n))
+        m[cells.i, cells.j] = cells.value
+        values = np.linalg.eigvalsh((m + m.T) / 2)
+        low, high = float(values[0]), float(values[-1])
+        return pd.DataFrame({key: [cells[key].iloc[0]], "n": [n], "low": [low], "high": [high], "condition": [high / low if low > 0 else np.inf], "semidefinite": [low >= -1e-12]})
+
+    kind = matrices.schema[key].dataType.simpleString()
+    return matrices.select(key, "i", "j", "value").groupBy(key).applyInPandas(run, f"`{key}` {kind}, n long, low double, high double, condition double, semidefinite boolean")
 
 
 def replayed(trace: DataFrame) -> DataFrame:

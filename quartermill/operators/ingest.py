@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,15 +15,22 @@ class CoverageError(ValueError):
     """A source lacks rows or values that a model needs."""
 
 
-def quarterly(df: DataFrame, keys: Sequence[str], date: str, value: str, how: str = "mean", tie: str | None = None) -> DataFrame:
+def exact_mean(value: str | Column, places: int = 2) -> Column:
+    """The mean of numbers of so many decimal places, whose sum doesn't hang on the order of rows."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.try_divide(F.sum(c.cast(f"decimal(18,{places})")).cast("double"), F.count(c))
+
+
+def quarterly(df: DataFrame, keys: Sequence[str], date: str, value: str, how: str = "mean", tie: str | None = None, places: int | None = None) -> DataFrame:
     """One row per key and quarter: the mean or the last of the values that aren't null.
 
     "Last" is by date (then tie), never by the order of rows. All-null quarters stay, null.
+    With places, the mean is exact for values of so many decimal places.
     """
     if how not in ("mean", "last"):
         raise ValueError(f"unknown aggregation: {how}")
     present = F.when(F.col(value).isNotNull(), F.struct(date, *([tie] if tie else [])))
-    out = F.avg(value) if how == "mean" else F.max_by(value, present)
+    out = (F.avg(value) if places is None else exact_mean(value, places)) if how == "mean" else F.max_by(value, present)
     return df.groupBy(*keys, quarter_index(date).alias("quarter_idx")).agg(out.alias("value"))
 
 
@@ -38,10 +45,12 @@ def quarter_grid(spark: SparkSession, first: int, last: int) -> DataFrame:
 
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df, or an error if a key repeats: joins and pivots below would multiply or mix such rows."""
-    if repeated := df.groupBy(*keys).count().where("count > 1").limit(5).collect():
-        raise CoverageError(f"repeated keys: {[tuple(r)[:-1] for r in repeated]}")
-    return df
+    """df, which fails when it runs if a key repeats: joins and pivots below would multiply or mix such rows."""
+    repeated = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    # the error is a column that must be null, so nothing runs before the plan does
+    fault = F.when(repeated, F.raise_error(F.concat(F.lit("repeated keys: "), shown)).cast("string"))
+    return df.withColumn("_fault", fault).where("_fault is null").drop("_fault")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,7 +78,8 @@ def missing_quarters(grid: DataFrame, df: DataFrame) -> DataFrame:
 
 def value_coverage(grid: DataFrame, long: DataFrame) -> DataFrame:
     """Quarters of the grid without a value, per name of a long (name, quarter_idx, value) table."""
-    wanted = grid.crossJoin(F.broadcast(long.select("name").distinct()))
+    quarters = grid.agg(F.collect_list("quarter_idx").alias("quarters"))  # one row: the grid is a parameter
+    wanted = long.select("name").distinct().crossJoin(F.broadcast(quarters)).select("name", F.explode("quarters").alias("quarter_idx"))
     return wanted.join(long.where(F.col("value").isNotNull()), ["name", "quarter_idx"], "left_anti")
 
 
@@ -82,16 +92,20 @@ def ragged(long: DataFrame) -> DataFrame:
     return spans.groupBy("name").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.when(inside, 1).otherwise(0)).alias("interior_nulls"))
 
 
-def quality_report(long: DataFrame, last_quarter: int) -> DataFrame:
-    """Per series: observed cells, share, last value's quarter, and a status."""
+def quality_report(long: DataFrame, last_quarter: int | None = None) -> DataFrame:
+    """Per series: observed cells, share, last value's quarter, and a status; a series should reach last_quarter, or else the last of the table's quarters."""
     out = long.groupBy("name").agg(
         F.count(F.lit(1)).alias("cells"),
         F.count("value").alias("observed"),
         F.max(F.when(F.col("value").isNotNull(), F.col("quarter_idx"))).alias("latest"),
         F.max_by("value", F.when(F.col("value").isNotNull(), F.col("quarter_idx"))).alias("latest_value"),
+        F.max("quarter_idx").alias("_last"),
     )
-    status = F.when(F.col("observed") == 0, "all missing").when(F.col("latest") < last_quarter, "missing at end").otherwise("ok")
-    return out.withColumn("share", F.col("observed") / F.col("cells")).withColumn("status", status)
+    # one row a series reaches the window over all
+    last = F.max("_last").over(Window.partitionBy()) if last_quarter is None else F.lit(last_quarter)
+    status = F.when(F.col("observed") == 0, "all missing").when(F.col("latest") < last, "missing at end").otherwise("ok")
+    out = out.withColumn("status", status).drop("_last")
+    return out.withColumn("share", F.col("observed") / F.col("cells"))
 
 
 def sample(df: DataFrame, start: int | None, forecast_start: int, inside: bool = True) -> DataFrame:

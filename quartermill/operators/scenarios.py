@@ -56,8 +56,15 @@ def summary(rows: DataFrame, variables: Sequence[str], key: str = "scenario") ->
 
 
 def domain_flag(single: Column, joint: Column) -> Column:
-    """Whether shocks stay where a linear model can be trusted."""
-    return F.when((single > 4) | (joint > 8), "outside").otherwise("inside")
+    """How far shocks, in deviations, leave the range where a linear model can be trusted: one alone or a quarter's together."""
+    beyond = lambda n: (single > n) | (joint > n)
+    return F.when(beyond(8), "extreme_extrapolation").when(beyond(4), "stress_extrapolation").otherwise("within_4sd")
+
+
+def standardised(shocks: DataFrame, scales: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Shocks with z, the value over its shock's scale; 0 where the scale is next to nothing."""
+    z = F.when(F.col("scale") > 1e-12, F.col("value") / F.col("scale")).otherwise(F.lit(0.0))
+    return shocks.join(scales, list(on)).withColumn("z", z)
 
 
 def joint_norm(shocks: DataFrame, key: str = "scenario") -> DataFrame:

@@ -38,14 +38,14 @@ def split_rhat(spark, sf_dir):
 @query(
     f"""with t as ({TRACE}), r as (select chain, value - avg(value) over (partition by chain) as x, row_number() over (partition by chain order by draw) as i, count(*) over (partition by chain) as n from t),
 v as (select chain, avg(x * x) as var, max(n) as n from r group by chain),
-l as (select a.chain, b.i - a.i as lag, sum(a.x * b.x) / max(a.n - b.i + a.i) as cov from r a join r b on a.chain = b.chain and b.i - a.i between 1 and 20 group by all),
+l as (select a.chain, b.i - a.i as lag, sum(a.x * b.x) / max(a.n - b.i + a.i) as cov from r a join r b on a.chain = b.chain and b.i > a.i group by all),
 rho as (select chain, lag, cov / var as rho from l join v using (chain)),
 s as (select *, max(case when rho <= 0 then 1 else 0 end) over (partition by chain order by lag) as stop from rho),
 k as (select chain, greatest(1, 1 + 2 * sum(case when stop = 0 then rho else 0 end)) as iat from s group by chain)
 select chain, v.n, round(least(v.n, v.n / iat), 4) as ess from v join k using (chain)"""
 )
 def ess_autocorr(spark, sf_dir):
-    return diagnostics.effective_size(trace(spark, sf_dir), ["chain"], "draw", "value", 20).withColumn("ess", F.round("ess", 4))
+    return diagnostics.effective_size(trace(spark, sf_dir), ["chain"], "draw", "value").select("chain", "n", F.round("ess", 4).alias("ess"))
 
 
 @query(

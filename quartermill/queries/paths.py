@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.quarters import quarter_index
-from ..operators import scenarios
+from ..operators import ingest, scenarios
 from .registry import query, table
 
 Q = "(year(o_orderdate) * 4 + quarter(o_orderdate))::int"
@@ -35,12 +35,14 @@ def structural_shock_path(spark, sf_dir):
 
 
 @query(
-    f"""{PATH}, q as (select scenario, h, max(abs(value)) as single, sqrt(sum(value * value)) as joint from p group by all),
+    f"""{PATH}, z as (select scenario, shock, h, case when scale > 1e-12 then value / scale else 0 end as z from p join (select distinct scenario, shock, scale from c) using (scenario, shock)),
+q as (select scenario, h, max(abs(z)) as single, sqrt(sum(z * z)) as joint from z group by all),
 m as (select scenario, max(single) as max_single, max(joint) as max_joint from q group by 1)
-select scenario, round(max_single, 6) as max_single, round(max_joint, 6) as max_joint, case when max_single > 4 or max_joint > 8 then 'outside' else 'inside' end as domain from m"""
+select scenario, round(max_single, 6) as max_single, round(max_joint, 6) as max_joint, case when max_single > 8 or max_joint > 8 then 'extreme_extrapolation' when max_single > 4 or max_joint > 4 then 'stress_extrapolation' else 'within_4sd' end as domain from m"""
 )
 def joint_norm(spark, sf_dir):
-    z = scenarios.structural_path(components(spark, sf_dir), 6).withColumnRenamed("value", "z")
+    c = components(spark, sf_dir)
+    z = scenarios.standardised(scenarios.structural_path(c, 6), c.select("scenario", "shock", "scale").distinct(), ["scenario", "shock"])
     return scenarios.joint_norm(z).withColumns({"max_single": F.round("max_single", 6), "max_joint": F.round("max_joint", 6)})
 
 
@@ -86,8 +88,8 @@ def scenario_summary(spark, sf_dir):
     return out.select("scenario", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
-@query(f"with h as (select {Q} as quarter_idx, avg(o_totalprice) as value from orders group by 1) select n_nationkey as draw, quarter_idx, round(value, 4) as value from h, nation")
+@query(f"with h as (select {Q} as quarter_idx, sum(o_totalprice::decimal(18,2))::double / count(o_totalprice) as value from orders group by 1) select n_nationkey as draw, quarter_idx, round(value, 4) as value from h, nation")
 def history_broadcast(spark, sf_dir):
     """One history beside every draw: both sides are dimension tables (quarters and draws)."""
-    h = table(spark, sf_dir, "orders").groupBy(quarter_index("o_orderdate").alias("quarter_idx")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    h = table(spark, sf_dir, "orders").groupBy(quarter_index("o_orderdate").alias("quarter_idx")).agg(F.round(ingest.exact_mean("o_totalprice"), 4).alias("value"))
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("draw")).crossJoin(h)

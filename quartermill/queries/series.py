@@ -11,16 +11,17 @@ from .registry import query, table
 
 Q = "(year(o_orderdate) * 4 + quarter(o_orderdate))::int"
 LQ = "(year(l_shipdate) * 4 + quarter(l_shipdate))::int"
-BY_PRIORITY = f"select o_orderpriority, {Q} as quarter_idx, avg(o_totalprice) as value from orders group by all"
+MEAN = lambda c: f"sum({c}::decimal(18,2))::double / count({c})"  # noqa: E731  exact: money has two places
+BY_PRIORITY = f"select o_orderpriority, {Q} as quarter_idx, {MEAN('o_totalprice')} as value from orders group by all"
 FIRST, LAST = 1995 * 4 + 1, 2002 * 4 + 4
 GRID = f"select i::int as quarter_idx from generate_series({FIRST}, {LAST}) as g(i)"
 
 
 def orders_by_priority(spark, sf_dir):
-    return ingest.quarterly(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice")
+    return ingest.quarterly(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", places=2)
 
 
-def total(spark, sf_dir, name, date, value, how=F.avg):
+def total(spark, sf_dir, name, date, value, how=ingest.exact_mean):
     return table(spark, sf_dir, name).groupBy(quarter_index(date).alias("quarter_idx")).agg(how(value).alias("value"))
 
 
@@ -94,8 +95,8 @@ def per_capita_real(spark, sf_dir):
 
 
 @query(
-    f"""with a as (select {Q} as quarter_idx, avg(o_totalprice) as base from orders group by 1),
-b as (select {LQ} as quarter_idx, avg(l_extendedprice) as repl from lineitem group by 1)
+    f"""with a as (select {Q} as quarter_idx, {MEAN('o_totalprice')} as base from orders group by 1),
+b as (select {LQ} as quarter_idx, {MEAN('l_extendedprice')} as repl from lineitem group by 1)
 select quarter_idx, round((case when quarter_idx >= 7992 and repl is not null then repl else base end - 100) / 4, 4) as spread from a full join b using (quarter_idx)"""
 )
 def spread_splice(spark, sf_dir):
@@ -103,8 +104,8 @@ def spread_splice(spark, sf_dir):
     return merged.select("quarter_idx", F.round((T.spliced("base", "repl", "quarter_idx", 7992) - 100) / 4, 4).alias("spread"))
 
 
-MERGED = f"""with a as (select {Q} as quarter_idx, avg(o_totalprice) as orders from orders group by 1),
-b as (select {LQ} as quarter_idx, avg(l_extendedprice) as items from lineitem group by 1),
+MERGED = f"""with a as (select {Q} as quarter_idx, {MEAN('o_totalprice')} as orders from orders group by 1),
+b as (select {LQ} as quarter_idx, {MEAN('l_extendedprice')} as items from lineitem group by 1),
 m as (select quarter_idx, orders, items from a full join b using (quarter_idx))"""
 
 
@@ -166,9 +167,7 @@ select name, cells, observed, latest, round(latest_value, 4) as latest_value, ro
  case when observed = 0 then 'all missing' when latest < (select max(quarter_idx) from m) then 'missing at end' else 'ok' end as status from r"""
 )
 def quality_report(spark, sf_dir):
-    rows = long(spark, sf_dir)
-    last = rows.agg(F.max("quarter_idx")).first()[0] or 0
-    return ingest.quality_report(rows, last).withColumns({"latest_value": F.round("latest_value", 4), "share": F.round("share", 6)})
+    return ingest.quality_report(long(spark, sf_dir)).withColumns({"latest_value": F.round("latest_value", 4), "share": F.round("share", 6)})
 
 
 @query(f"select o_custkey, {Q} as quarter_idx, count(*) as n from orders group by all having count(*) > 1")

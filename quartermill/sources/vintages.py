@@ -31,20 +31,30 @@ def read_levels_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> D
 
 
 def newest_key(item: Column, mnemonic: str) -> Column:
-    """The newest of an item's vintage keys, `MNEMONIC_YYYYMMDD` or `_MNEMONIC_YYYYMMDD`, that has a value."""
-    own = F.map_filter(item, lambda k, v: k.rlike(f"^_?{mnemonic}_[0-9]{{8}}$") & parsed_number(v).isNotNull())
-    stamps = F.transform(F.map_keys(own), lambda k: F.struct(F.substring(k, -8, 8).alias("stamp"), k.alias("key")))
-    return F.array_max(stamps)
+    """The newest of an item's vintage keys, `MNEMONIC_YYYYMMDD` or `_MNEMONIC_YYYYMMDD`, whatever its value: struct of stamp and key."""
+    tail = lambda k: F.substring(k, -8, 8)
+    named = lambda k: (F.ltrim(k, F.lit("_")) == F.concat(F.lit(f"{mnemonic}_"), tail(k))) & (F.length(k) <= len(mnemonic) + 10) & tail(k).rlike("^[0-9]{8}$")
+    own = F.filter(F.map_keys(item), named)
+    return F.array_max(F.transform(own, lambda k: F.struct(tail(k).alias("stamp"), k.alias("key"))))
 
 
 def parse_observations(payloads: DataFrame, payload: str, mnemonic: str) -> DataFrame:
-    """Rows (date, value, realtime_start, realtime_end) of API payloads: plain `value`s, or wide vintages of which the newest counts."""
-    body = F.from_json(F.col(payload), PAYLOAD)
-    items = payloads.select(F.explode(body["observations"]).alias("o"))
-    newest = newest_key(F.col("o"), mnemonic)
-    value = F.coalesce(parsed_number(F.col("o")["value"]), parsed_number(F.try_element_at(F.col("o"), newest["key"])))
-    start = F.coalesce(F.col("o")["realtime_start"].try_cast("date"), F.try_to_date(newest["stamp"], "yyyyMMdd"))
-    return items.select(F.col("o")["date"].try_cast("date").alias("obs_date"), value.alias("value"), start.alias("realtime_start"), F.col("o")["realtime_end"].try_cast("date").alias("realtime_end")).where("obs_date is not null")
+    """Rows (obs_date, value, realtime_start, realtime_end) of API payloads.
+
+    A payload where any observation has a plain `value` is read by these; any other is a wide
+    one, where the newest vintage of each row counts, missing or not, and dates both ends. A
+    payload with observations but neither fails when it is read.
+    """
+    body = F.from_json(F.col(payload), PAYLOAD)["observations"]
+    plain = F.exists(body, lambda o: F.map_contains_key(o, "value"))
+    wide = F.exists(body, lambda o: newest_key(o, mnemonic).isNotNull())
+    fault = F.when(~plain & ~wide & (F.size(body) > 0), F.raise_error(F.lit(f"no value columns for {mnemonic}")).cast("string"))
+    items = payloads.select(body.alias("b"), plain.alias("plain"), fault.alias("fault")).where("fault is null").select("plain", F.explode("b").alias("o"))
+    rows = items.withColumn("newest", F.when(~F.col("plain"), newest_key(F.col("o"), mnemonic)))
+    stamp = F.try_to_date("newest.stamp", "yyyyMMdd")
+    pick = lambda name: F.when(F.col("plain"), F.try_element_at("o", F.lit(name)).try_cast("date")).otherwise(stamp).alias(name)
+    value = parsed_number(F.when(F.col("plain"), F.try_element_at("o", F.lit("value"))).otherwise(F.try_element_at("o", F.col("newest.key"))))
+    return rows.select(F.try_element_at("o", F.lit("date")).try_cast("date").alias("obs_date"), value.alias("value"), pick("realtime_start"), pick("realtime_end")).where("obs_date is not null")
 
 
 def payload_errors(payloads: DataFrame, payload: str) -> DataFrame:

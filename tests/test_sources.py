@@ -29,7 +29,7 @@ def test_payload_revisions_and_wide_vintages(spark):
     ]
     df = spark.createDataFrame([(json.dumps(r),) for r in rows], "p string")
     got = ingest.latest_revision(vintages.parse_observations(df, "p", "GDP"), ["obs_date"], "realtime_start")
-    assert {str(r.obs_date): r.value for r in got.collect()} == {"2016-07-01": 3.0, "2016-10-01": 5.0}
+    assert {str(r.obs_date): r.value for r in got.collect()} == {"2016-07-01": 3.0, "2016-10-01": None}  # the newest vintage counts, missing or not
     assert [r.optional for r in vintages.payload_errors(df, "p").collect()] == [True]
 
 
@@ -45,8 +45,9 @@ def test_coverage_and_ragged_edges(spark):
     assert sorted(map(tuple, ingest.value_coverage(grid, long).collect())) == [("a", 2), ("b", 1), ("b", 3)]
     assert {r.name: r.interior_nulls for r in ingest.ragged(long).collect()} == {"a": 1, "b": 0}
     assert {r.name: r.status for r in ingest.quality_report(long, 3).collect()} == {"a": "ok", "b": "missing at end"}
-    with pytest.raises(ingest.CoverageError):
-        ingest.require_unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
+    with pytest.raises(Exception, match="repeated keys: 1"):
+        ingest.require_unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"]).collect()
+    assert ingest.require_unique(long, ["name", "quarter_idx"]).columns == long.columns
     with pytest.raises(ingest.CoverageError):
         ingest.with_optional(long, ["absent"], [])
 
@@ -87,4 +88,4 @@ def test_arrays_round_trip_and_compare(spark, tmp_path):
 def test_chain_diagnostics_of_constant_and_short_chains(spark):
     df = spark.createDataFrame([("c", i, 1.0) for i in range(6)] + [("s", i, float(i)) for i in range(3)], "chain string, draw int, value double")
     assert {r.chain: r.rhat for r in diagnostics.split_rhat(df, ["chain"], "draw", "value").collect()} == {"c": 1.0, "s": None}
-    assert {r.chain: r.ess for r in diagnostics.effective_size(df, ["chain"], "draw", "value", 3).collect()}["c"] == 6.0
+    assert {r.chain: r.ess for r in diagnostics.effective_size(df, ["chain"], "draw", "value").collect()}["c"] == 6.0
