@@ -156,6 +156,28 @@ def log_prior(name, x, a, b, log_norm) -> Column:
     return kernel + c(log_norm)
 
 
+def by_moments(name: str, mean: float, std: float) -> tuple[str, float, float]:
+    """A gamma or beta prior given by its mean and deviation, as (name, a, b) of log_prior."""
+    if mean <= 0 or std <= 0:
+        raise ValueError("mean and deviation are positive")
+    if name == "gamma":
+        return "gamma", (mean / std) ** 2, std**2 / mean
+    if name == "beta":
+        weight = mean * (1 - mean) / std**2 - 1
+        if weight <= 0:
+            raise ValueError("no beta has this mean and deviation")
+        return "beta", mean * weight, (1 - mean) * weight
+    raise ValueError(f"not a gamma or beta: {name}")
+
+
+def horizons(values: Column, fallback: Column) -> Column:
+    """Sorted distinct horizons of a map regime -> horizons, or of fallback where there are none; one that isn't positive fails the query."""
+    own = F.flatten(F.map_values(values))
+    used = F.when(F.coalesce(F.size(own), F.lit(0)) > 0, own).otherwise(F.coalesce(fallback, F.array().cast("array<int>")))
+    sound = F.when(F.exists(used, lambda h: h <= 0), F.raise_error(F.lit("horizons are positive")).cast("boolean")).otherwise(F.lit(True))
+    return F.when(sound, F.array_sort(F.array_distinct(used)))
+
+
 def prior_normaliser(name: str, a: float, b: float) -> float:
     """The part of a log prior that doesn't depend on the value; once per parameter, on the driver."""
     from math import lgamma, log, pi

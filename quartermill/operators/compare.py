@@ -63,3 +63,63 @@ def matched_baseline(results: DataFrame, baselines: DataFrame, exact: Sequence[s
     nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.col("ord").asc_nulls_last()))
     best = joined.withColumn("_nth", nth).where("_nth = 1").select(*results.columns, "baseline")
     return best.withColumn("speedup", F.when(F.col("baseline") > 0, F.try_divide("baseline", F.col("elapsed"))))
+
+
+#: Tolerances by name, (absolute, relative).
+TOLERANCES = {"strict": (1e-10, 1e-10), "cpu-oracle": (1e-10, 1e-10), "forecast": (1e-8, 1e-8), "accelerator": (1e-5, 1e-5)}
+#: Arrays that a sampler's fixtures must hold, by profile.
+SAMPLER = ("sampler/mhparams", "sampler/fixed", "sampler/proposal_covariance")
+TRACE = (*SAMPLER, "sampler/accepted", "sampler/log_posterior")
+PROPOSALS = (*TRACE, "sampler/proposal_parameters", "sampler/previous_parameters", "sampler/proposal_log_posterior", "sampler/previous_log_posterior", "sampler/uniform_draw", "sampler/log_acceptance")
+COVERAGE = {"sampler": SAMPLER, "sampler-trace": TRACE, "sampler-proposal-trace": PROPOSALS}
+
+
+def tolerance(profile: str = "strict", atol: float | None = None, rtol: float | None = None) -> tuple[float, float]:
+    """(absolute, relative) tolerance of a profile, each of which may be given instead."""
+    if profile.casefold() not in TOLERANCES:
+        raise ValueError(f"unknown tolerance profile {profile!r}, known are {sorted(TOLERANCES)}")
+    a, r = TOLERANCES[profile.casefold()]
+    a, r = a if atol is None else atol, r if rtol is None else rtol
+    if a < 0 or r < 0:
+        raise ValueError("tolerances are at least 0")
+    return a, r
+
+
+def compare_folders(oracle: DataFrame, candidate: DataFrame, required: Sequence[str] = (), profile: str = "strict") -> DataFrame:
+    """Per array name: missing_oracle (required, in neither the oracle), missing_candidate, extra_candidate, mismatch or match, with the largest difference."""
+    atol, rtol = tolerance(profile)
+    both = compare_arrays(candidate, oracle, ["i", "j"], rtol, atol).select("array", "max_abs", "passed")
+    names = compare_names(candidate, oracle).select("array", F.col("status").alias("_s")).join(both, "array", "left")
+    needed = oracle.sparkSession.createDataFrame([(n,) for n in required], "array string").withColumn("_needed", F.lit(True))
+    rows = names.join(F.broadcast(needed), "array", "full")  # required names are a parameter
+    status = (
+        F.when(F.col("_s").isNull() | ((F.col("_s") == "extra") & F.coalesce("_needed", F.lit(False))), "missing_oracle" if required else "extra_candidate")
+        .when(F.col("_s") == "missing", "missing_candidate")
+        .when(F.col("_s") == "extra", "extra_candidate")
+        .when(F.col("passed"), "match")
+        .otherwise("mismatch")
+    )
+    return rows.select("array", status.alias("status"), F.when(F.col("_s") == "both", F.col("max_abs")).alias("max_abs"))
+
+
+def coverage(arrays: DataFrame, profiles: dict[str, Sequence[str]] = COVERAGE) -> DataFrame:
+    """Required arrays that aren't there: (profile, array)."""
+    needed = arrays.sparkSession.createDataFrame([(p, a) for p, names in profiles.items() for a in names], "profile string, array string")
+    return needed.join(arrays.select("array").distinct(), "array", "left_anti").select("profile", "array")
+
+
+def compare_traces(actual: DataFrame, desired: DataFrame, keys: Sequence[str], fields: Sequence[str], profile: str = "strict") -> DataFrame:
+    """Draw by draw comparison of sampler traces, one row a field."""
+    atol, rtol = tolerance(profile)
+    cells = lambda df: df.select(*keys, *[F.col(f).cast("double").alias(f) for f in fields]).unpivot(list(keys), list(fields), "array", "value")
+    return compare_arrays(cells(actual), cells(desired), keys, rtol, atol)
+
+
+def bench_rows(reports: DataFrame, kernel: str | None = None, check: bool = True) -> DataFrame:
+    """Results of all reports, flat; reports whose command differs from the others fail the query."""
+    command = F.to_json("command")
+    one = F.min(command).over(Window.partitionBy()) == F.max(command).over(Window.partitionBy())  # one row a report
+    fault = F.when(~one, F.raise_error(F.lit("commands of the reports differ"))).cast("string") if check else F.lit(None).cast("string")
+    rows = reports.withColumn("_f", fault).where("_f is null").select("machine", F.explode("results").alias("r")).select("machine", "r.*")
+    rows = rows.where(F.col("kernel") == kernel) if kernel else rows
+    return rows.orderBy("kernel", "backend", "device", "horizon", "repeats", "dtype", "machine")

@@ -89,12 +89,12 @@ def smoothed(m: System, f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarra
 
 
 def simulated(m: System, s0: np.ndarray, shocks: np.ndarray) -> np.ndarray:
-    """States of the periods that the rows of shocks (or of a batch of them, leading axis) make."""
-    s, out = np.broadcast_to(s0, (*shocks.shape[:-2], len(s0))), []
+    """States of the periods that the rows of shocks (or of a batch of them, leading axis, with one start or a batch of these) make."""
+    s, out = np.broadcast_to(s0, (*shocks.shape[:-2], np.shape(s0)[-1])), []
     for h in range(shocks.shape[-2]):
         s = s @ m.T.T + shocks[..., h, :] @ m.R.T + m.C
         out.append(s)
-    return np.stack(out, axis=-2) if out else np.zeros((*shocks.shape[:-2], 0, len(s0)))
+    return np.stack(out, axis=-2) if out else np.zeros((*shocks.shape[:-2], 0, np.shape(s0)[-1]))
 
 
 def responses(m: System, horizon: int, one_sd: bool = True) -> np.ndarray:

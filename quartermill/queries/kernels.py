@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def ar1_forecast(spark, sf_dir):
 
     def kernel(parts):
         for pdf in parts:
-            y = np.stack([statespace.simulated(AR, np.array([s]), np.zeros((12, 1)))[:, 0] for s in pdf["s0"]])
+            y = statespace.simulated(AR, pdf["s0"].to_numpy(float)[:, None], np.zeros((len(pdf), 12, 1)))[..., 0]
             n, h = np.meshgrid(pdf["n_nationkey"], np.arange(12), indexing="ij")
             yield type(pdf)({"n_nationkey": n.ravel(), "h": h.ravel(), "value": y.ravel()})
 
@@ -70,11 +72,21 @@ def ar1_forecast(spark, sf_dir):
     return starts.mapInPandas(kernel, "n_nationkey int, h int, value double").withColumn("value", F.round("value", 6))
 
 
-@query("select h::int as h, 0 as variable, 0 as shock, round(0.5 * 0.8 ** h, 6) as response from generate_series(0, 11) as g(h)")
+@query("select p_partkey, h::int as h, 0 as variable, 0 as shock, round(0.5 * (p_size / 61.7::double) ** h, 6) as response from part, generate_series(0, 11) as g(h)")
 def ar1_irf(spark, sf_dir):
-    r = statespace.responses(AR, 12)
-    rows = [(h, v, k, float(r[h, v, k])) for h in range(12) for v in range(r.shape[1]) for k in range(r.shape[2])]
-    return spark.createDataFrame(rows, "h int, variable int, shock int, response double").withColumn("response", F.round("response", 6))
+    """Responses to one deviation of the shock, a system a part."""
+
+    def kernel(batches):
+        for pdf in batches:
+            out = []
+            for key, rho in zip(pdf["p_partkey"], pdf["rho"]):
+                r = statespace.responses(replace(AR, T=np.array([[rho]])), 12)
+                out += [(key, h, v, k, float(r[h, v, k])) for h in range(12) for v in range(r.shape[1]) for k in range(r.shape[2])]
+            yield type(pdf)(out, columns=["p_partkey", "h", "variable", "shock", "response"])
+
+    systems = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 61.7).alias("rho"))
+    kind = systems.schema["p_partkey"].dataType.simpleString()
+    return systems.mapInPandas(kernel, f"p_partkey {kind}, h int, variable int, shock int, response double").withColumn("response", F.round("response", 6))
 
 
 def pairs(spark, sf_dir):
@@ -126,13 +138,23 @@ def mh_chain(spark, sf_dir):
     return estimation.chains(spark, _quadratic, [0.0, 0.0, 0.0], 0.5 * np.eye(3), 500, 4, 7)
 
 
-@query("select 0 as i, 0 as j, 0.5::double as t, round(1 / (1 - 0.9 * 0.5), 6) as r")
+@query("select p_partkey, round(p_size / 60.0::double, 6) as t, round(1 / (1 - 0.9 * p_size / 60.0::double), 6) as r from part")
 def forward_looking_solve(spark, sf_dir):
-    """x = 0.9 E[x(+1)] + z, z = 0.5 z(-1) + e: x responds 1 / (1 - 0.45) to e."""
-    g0 = np.array([[1.0, -0.9, -1.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
-    g1 = np.array([[0.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 0.5]])
-    t, r, _ = rational_expectations(g0, g1, np.zeros(3), np.array([[0.0], [0.0], [1.0]]), np.array([[0.0], [1.0], [0.0]]))
-    return spark.createDataFrame([(0, 0, round(float(t[2, 2]), 6), round(float(r[0, 0]), 6))], "i int, j int, t double, r double")
+    """x = 0.9 E[x(+1)] + z, z = rho z(-1) + e, a system a part: x responds 1 / (1 - 0.9 rho) to e."""
+
+    def kernel(batches):
+        g0 = np.array([[1.0, -0.9, -1.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
+        for pdf in batches:
+            out = []
+            for key, rho in zip(pdf["p_partkey"], pdf["rho"]):
+                g1 = np.array([[0.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, rho]])
+                t, r, _ = rational_expectations(g0, g1, np.zeros(3), np.array([[0.0], [0.0], [1.0]]), np.array([[0.0], [1.0], [0.0]]))
+                out.append((key, float(t[2, 2]), float(r[0, 0])))
+            yield type(pdf)(out, columns=["p_partkey", "t", "r"])
+
+    systems = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 60.0).alias("rho"))
+    kind = systems.schema["p_partkey"].dataType.simpleString()
+    return systems.mapInPandas(kernel, f"p_partkey {kind}, t double, r double").withColumns({"t": F.round("t", 6), "r": F.round("r", 6)})
 
 
 @query("select p_partkey, round(0.5 * 2.0 * (p_size - 25) / 10.0, 6) as z, round(exp(-0.5 * ((p_size - 25) / 10.0) ** 2) / sqrt(2 * pi()), 6) as density from part")
