@@ -6,14 +6,49 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.transforms import by_name, missing_as_null
 
 
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Per key: mean, and linearly interpolated quantiles of the values that aren't null, by name; keys without a value stay, null.
+
+    Values are counted first, then the counts of value ranges (by logarithm, the same for all
+    data) say which ranges hold the wanted ranks, and only these are put in order. So no task
+    holds a key's values in memory, however many there are.
+    """
+    v = F.col("_v")
+    place = F.floor(F.signum(v) * F.ln(1 + F.abs(v)) * 64)
+    counted = rows.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, place.alias("_range"), "_v").agg(F.count("_v").alias("_c"))
+    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"), F.sum(v * F.col("_c")).alias("_sum"))
+    own = Window.partitionBy(*keys)
+    n = F.sum("_in").over(own)
+    before = F.coalesce(F.sum("_in").over(own.orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = ranges.select(*keys, "_range", "_in", n.alias("_n"), (F.sum("_sum").over(own) / n).alias("mean"), before.alias("_before"))
+    rank = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
+    inside = F.col("_n") == 0
+    for r in rank.values():
+        inside |= (F.ceil(r) >= F.col("_before")) & (F.floor(r) < F.col("_before") + F.col("_in"))
+    renamed = [F.col(k).alias(f"_k_{k}") for k in (*keys, "_range")]
+    wanted = spans.where(inside).select(*renamed, "_n", "mean", "_before")
+    on = F.lit(True)
+    for k in (*keys, "_range"):
+        on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    near = counted.join(wanted, on)
+    to = F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v")) + F.col("_before")
+    ends = near.select(*keys, "_v", "_n", "mean", to.alias("_to"), (to - F.col("_c")).alias("_from"))
+    picks = []
+    for name, r in rank.items():
+        hit = lambda at: F.max(F.when((at >= F.col("_from")) & (at < F.col("_to")), v))
+        picks += [hit(F.floor(r)).alias(f"_lo_{name}"), hit(F.ceil(r)).alias(f"_hi_{name}"), F.max(r - F.floor(r)).alias(f"_w_{name}")]
+    found = ends.groupBy(*keys).agg(F.max("mean").alias("mean"), *picks)
+    return found.select(*keys, "mean", *[(F.col(f"_lo_{x}") + F.col(f"_w_{x}") * (F.col(f"_hi_{x}") - F.col(f"_lo_{x}"))).alias(x) for x in probabilities])
+
+
 def bands(samples: DataFrame, keys: Sequence[str], value: str, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
     """Per key: mean, and linearly interpolated quantiles of the values that aren't missing."""
-    v = missing_as_null(value)
-    return samples.groupBy(*keys).agg(F.avg(v).alias("mean"), F.percentile(v, lower).alias("lower"), F.percentile(v, upper).alias("upper"))
+    return exact_quantiles(samples.select(*keys, missing_as_null(value).alias("_value")), keys, "_value", {"lower": lower, "upper": upper})
 
 
 def transformed_bands(samples: DataFrame, keys: Sequence[str], value: str, transform: str, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
@@ -37,3 +72,34 @@ def grouped_contributions(rows: DataFrame, groups: DataFrame, keys: Sequence[str
     summed = rows.join(groups, "shock").groupBy(*keys, "driver").agg(F.sum("value").alias("value"))
     total = summed.groupBy(*keys).agg(F.sum("value").alias("total"))
     return summed.join(total, list(keys)).select(*keys, "driver", (F.col("value") * allocation_scale(F.col("total"), f)).alias("contribution"))
+
+
+def group_faults(shocks: DataFrame, groups: DataFrame) -> DataFrame:
+    """Shocks that aren't in exactly one group: (shock, groups)."""
+    return shocks.select("shock").distinct().join(groups, "shock", "left").groupBy("shock").agg(F.count("driver").alias("groups")).where("groups <> 1")
+
+
+def report_decomposition(contributions: DataFrame, groups: DataFrame, paths: DataFrame, f, tail: int | None = None, trend: str = "Initial conditions and trend", residual: str = "Observed-model residual") -> DataFrame:
+    """(t, variable, driver, contribution, smoothed, observed) in report units.
+
+    contributions has (t, variable, shock, value), paths (t, variable, baseline, smoothed,
+    observed) in model units. Groups of shocks and the baseline share f(smoothed) in proportion;
+    the residual is f(observed) - f(smoothed), so that drivers add up to f(observed). With tail,
+    only the last so many periods are shown.
+    """
+    grouped = contributions.join(groups, "shock").groupBy("t", "variable", "driver").agg(F.sum("value").alias("value"))
+    scale = allocation_scale(F.col("smoothed"), f)
+    report = paths.select("t", "variable", "baseline", scale.alias("_scale"), f(F.col("smoothed")).alias("smoothed"), f(F.col("observed")).alias("observed"))
+    if tail is not None:
+        last = report.agg(F.max("t").alias("_last"))  # one row
+        report = report.crossJoin(F.broadcast(last)).where(F.col("t") > F.col("_last") - tail).drop("_last")
+    own = grouped.join(report, ["t", "variable"]).select("t", "variable", "driver", (F.col("value") * F.col("_scale")).alias("contribution"), "smoothed", "observed")
+    both = F.array(F.struct(F.lit(trend).alias("driver"), (F.col("baseline") * F.col("_scale")).alias("contribution")), F.struct(F.lit(residual).alias("driver"), (F.col("observed") - F.col("smoothed")).alias("contribution")))
+    rest = report.select("t", "variable", F.explode(both).alias("d"), "smoothed", "observed").select("t", "variable", "d.driver", "d.contribution", "smoothed", "observed")
+    return own.unionByName(rest)
+
+
+def reconciliation(decomposition: DataFrame) -> DataFrame:
+    """The largest distance between drivers added up and what was observed; one row."""
+    sums = decomposition.groupBy("t", "variable").agg(F.abs(F.sum("contribution") - F.first("observed")).alias("error"))
+    return sums.agg(F.max("error").alias("max_error"))

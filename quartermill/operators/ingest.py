@@ -142,3 +142,17 @@ def bridge(df: DataFrame, y: str, x: str, weights: dict[str, str] | None = None)
         cond = F.expr(condition)
         aggs += [F.regr_slope(pick(y, cond), pick(x, cond)).alias(f"slope_{name}"), F.count(pick(y, cond)).alias(f"n_{name}")]
     return df.agg(*aggs)
+
+
+def hours_bridge(df: DataFrame, keys: Sequence[str], order: str, hours: str, unemployment: str, early: int, late: int, least: int = 20) -> DataFrame:
+    """Least squares of the change of hours on the change of unemployment, one row: the whole sample and the slopes before `early` and from `late` on.
+
+    A slope with under `least` quarters behind it is null; under `least` in all fails the query.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    change = lambda x: F.col(x) - F.lag(x).over(w)
+    d = df.select(order, change(hours).alias("y"), change(unemployment).alias("x"))
+    out = bridge(d, "y", "x", {"early": f"{order} < {early}", "late": f"{order} >= {late}"})
+    fault = F.when(F.col("n") < least, F.raise_error(F.concat(F.lit("too few quarters: "), F.col("n").cast("string"))).cast("string"))
+    slopes = {f"slope_{p}": F.when(F.col(f"n_{p}") >= least, F.col(f"slope_{p}")) for p in ("early", "late")}
+    return out.withColumn("_f", fault).where("_f is null").drop("_f").withColumns(slopes)

@@ -206,3 +206,36 @@ def condition_groups(targets: DataFrame, key: str, system: System, s0: np.ndarra
         return pd.DataFrame({key: pdf[key].iloc[0], "h": h.ravel(), "shock": j.ravel(), "value": e.ravel()})
 
     return targets.groupBy(key).applyInPandas(kernel, f"{key} {kind}, h int, shock int, value double")
+
+
+def forecast_groups(df: DataFrame, key: str, order: str, columns: Sequence[str], system: System, horizon: int, method: str = "filtered") -> DataFrame:
+    """Per group: observables forecast from the end of its history, whose last state is the filtered or the smoothed one (key, h, variable, value)."""
+    if method not in ("filtered", "smoothed"):
+        raise ValueError(f"unknown history method: {method}")
+    kind = df.schema[key].dataType.simpleString()
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        f = filtered(system, _matrix(pdf, columns))
+        last = (smoothed(system, f)[0] if method == "smoothed" else f["state"])[-1]
+        states = simulated(system, last, np.zeros((horizon, system.R.shape[1])))
+        y = states @ system.Z.T + system.D
+        h, v = np.indices(y.shape)
+        return pd.DataFrame({key: pdf[key].iloc[0], "h": h.ravel(), "variable": v.ravel(), "value": y.ravel()})
+
+    return df.select(key, order, *columns).groupBy(key).applyInPandas(kernel, f"{key} {kind}, h int, variable int, value double")
+
+
+def scenario_paths(shocks: DataFrame, key: str, names: Sequence[str], system: System, s0: np.ndarray, horizon: int) -> DataFrame:
+    """Per scenario: observables with its shocks (key, h, shock, value) and without (key, h, variable, value, baseline, deviation); a shock that isn't named fails the query."""
+    kind, place = shocks.schema[key].dataType.simpleString(), {n: i for i, n in enumerate(names)}
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = np.zeros((2, horizon, system.R.shape[1]))
+        inside = pdf[pdf["h"] < horizon]
+        np.add.at(e, (1, inside["h"].to_numpy(int), [place[s] for s in inside["shock"]]), inside["value"].to_numpy(float))
+        base, y = simulated(system, s0, e) @ system.Z.T + system.D
+        h, v = np.indices(y.shape)
+        return pd.DataFrame({key: pdf[key].iloc[0], "h": h.ravel(), "variable": v.ravel(), "value": y.ravel(), "baseline": base.ravel(), "deviation": (y - base).ravel()})
+
+    return shocks.select(key, "h", "shock", "value").groupBy(key).applyInPandas(kernel, f"{key} {kind}, h int, variable int, value double, baseline double, deviation double")

@@ -161,3 +161,28 @@ def forward_looking_solve(spark, sf_dir):
 def standard_normal(spark, sf_dir):
     z = (F.col("p_size") - 25) / 10.0
     return table(spark, sf_dir, "part").select("p_partkey", F.round(z, 6).alias("z"), F.round(F.exp(-0.5 * z * z) / T.c(F.sqrt(F.lit(2 * np.pi))), 6).alias("density"))
+
+
+@query(FILTER + ", n as (select series, max(t) as n from f group by 1) select f.series, h::int as h, 0 as variable, round(f.s, 5) as value from f join n on f.series = n.series and f.t = n.n, generate_series(0, 5) as g(h)")
+def history_forecast(spark, sf_dir):
+    """Every series forecast from its last filtered state (a level stays where it is)."""
+    out = statespace.forecast_groups(observed(spark, sf_dir), "series", "quarter_idx", ["y"], LEVEL, 6)
+    return out.withColumn("value", F.round("value", 5))
+
+
+def _scenario_sql() -> str:
+    from .paths import PATH
+
+    return f"""{PATH}, z as (select scenario, h, sum(value) as e from p group by all), g as (select distinct scenario, x::int as h from c, generate_series(0, 5) as t(x))
+select g.scenario, g.h, 0 as variable, round(0.8 ** (g.h + 1), 6) as baseline, round(coalesce(sum(z.e * 0.8 ** (g.h - z.h)), 0), 6) + 0.0::double as deviation from g left join z on z.scenario = g.scenario and z.h <= g.h group by all"""
+
+
+@query(_scenario_sql())
+def scenario_paths(spark, sf_dir):
+    """Structural scenarios run through an autoregression, beside their baseline."""
+    from ..operators import scenarios
+    from .paths import components
+
+    shocks = scenarios.structural_path(components(spark, sf_dir), 6).withColumn("shock", F.lit("e"))
+    out = statespace.scenario_paths(shocks, "scenario", ["e"], AR, np.array([1.0]), 6)
+    return out.select("scenario", "h", "variable", F.round("baseline", 6).alias("baseline"), (F.round("deviation", 6) + F.lit(0.0)).alias("deviation"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms as T
 from ..functions.quarters import quarter_index
-from ..operators import compare, frames, ingest
+from ..operators import bands, compare, frames, ingest
+from ..sources import archives
 from .registry import query, table
 from .series import BY_PRIORITY, orders_by_priority
 from .tables import STACK, by_priority
@@ -129,3 +130,79 @@ def bench_report_rows(spark, sf_dir):
     )
     reports = s.groupBy(F.col("n_name").alias("machine")).agg(F.collect_list(result).alias("results")).withColumn("command", F.create_map(F.lit("draws"), F.lit("8")))
     return compare.bench_rows(reports, "k1").select("machine", "kernel", "backend", "elapsed_seconds", "available")
+
+
+DECOMPOSED = """with d as (select n_regionkey as t, c_mktsegment as variable, n_name as shock, avg(c_acctbal) / 1e4 as value from customer join nation on c_nationkey = n_nationkey group by all),
+b as (select t, variable, 0.1 * (t + 1) as baseline, sum(value) as sv from d group by all), p as (select t, variable, baseline, baseline + sv as smoothed, baseline + sv + 0.05 * t as observed from b),
+r as (select t, variable, baseline, 400 * (exp(smoothed / 100) - 1) / smoothed as scale, 400 * (exp(smoothed / 100) - 1) as smoothed, 400 * (exp(observed / 100) - 1) as observed from p where t > 1),
+g as (select t, variable, case when shock < 'NATION_15' then 'demand' else 'supply' end as driver, sum(value) as value from d group by all)"""
+
+
+def _decomposition(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+    d = c.groupBy(F.col("n_regionkey").alias("t"), F.col("c_mktsegment").alias("variable"), F.col("n_name").alias("shock")).agg((F.avg("c_acctbal") / 1e4).alias("value"))
+    groups = table(spark, sf_dir, "nation").select(F.col("n_name").alias("shock"), F.expr("case when n_name < 'NATION_15' then 'demand' else 'supply' end").alias("driver"))
+    paths = d.groupBy("t", "variable").agg(F.sum("value").alias("sv")).select("t", "variable", F.expr("0.1D * (t + 1)").alias("baseline"), F.expr("0.1D * (t + 1) + sv").alias("smoothed"), F.expr("0.1D * (t + 1) + sv + 0.05D * t").alias("observed"))
+    return bands.report_decomposition(d, groups, paths, T.growth_to_annual_percent, tail=3)
+
+
+@query(
+    f"""{DECOMPOSED} select t, variable, driver, round(value * scale, 6) as contribution, round(smoothed, 6) as smoothed, round(observed, 6) as observed from g join r using (t, variable)
+union all select t, variable, 'Initial conditions and trend', round(baseline * scale, 6), round(smoothed, 6), round(observed, 6) from r
+union all select t, variable, 'Observed-model residual', round(observed - smoothed, 6), round(smoothed, 6), round(observed, 6) from r"""
+)
+def report_decomposition(spark, sf_dir):
+    return _decomposition(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("contribution", "smoothed", "observed")})
+
+
+@query(
+    f"""{DECOMPOSED}, a as (select t, variable, value * scale as x from g join r using (t, variable) union all select t, variable, baseline * scale from r union all select t, variable, observed - smoothed from r),
+s as (select t, variable, sum(x) as x from a group by all) select max(abs(s.x - r.observed)) < 1e-5 as reconciled from s join r using (t, variable)"""
+)
+def decomposition_reconciled(spark, sf_dir):
+    return bands.reconciliation(_decomposition(spark, sf_dir)).select((F.col("max_error") < 1e-5).alias("reconciled"))
+
+
+@query("select n_name as shock, case n_nationkey % 4 when 0 then 0 else 2 end::bigint as groups from nation where n_nationkey % 4 in (0, 1)")
+def shock_group_faults(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    one = n.where("n_nationkey % 4 <> 0").select(F.col("n_name").alias("shock"), F.lit("a").alias("driver"))
+    two = n.where("n_nationkey % 4 = 1").select(F.col("n_name").alias("shock"), F.lit("b").alias("driver"))
+    return bands.group_faults(n.select(F.col("n_name").alias("shock")), one.unionByName(two))
+
+
+@query(
+    """with t as (select c_mktsegment as chain, c_custkey as draw, case when c_custkey % 50 = 3 then null else c_acctbal end as logpost from customer where c_custkey % 40 <> 7),
+b as (select chain, count(*) filter (where logpost is null) as bad, max(draw) - min(draw) + 1 - count(*) as gaps from t group by 1) select chain, bad::bigint as bad, 0::bigint as repeated, gaps::bigint as gaps from b where bad > 0 or gaps > 0"""
+)
+def trace_faults(spark, sf_dir):
+    t = table(spark, sf_dir, "customer").where("c_custkey % 40 <> 7").select(F.col("c_mktsegment").alias("chain"), F.col("c_custkey").alias("draw"), F.expr("case when c_custkey % 50 <> 3 then c_acctbal end").alias("logpost"), F.lit(True).alias("accepted"))
+    return archives.trace_faults(t).withColumn("repeated", F.col("repeated").cast("long"))
+
+
+@query("select n_name as array, 0 as ord, case when n_nationkey % 2 = 0 then 'new' else 'old' end as label from nation union all select n_name, 1, 'old2' from nation where n_nationkey % 2 = 1")
+def manifest_merge(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    label = lambda df, i, x: df.select(F.col("n_name").alias("array"), F.lit(i).alias("ord"), F.lit(x).alias("label"))
+    return archives.merged_labels(label(n, 0, "old").unionByName(label(n, 1, "old2")), label(n.where("n_nationkey % 2 = 0"), 0, "new"))
+
+
+@query(
+    "select p_partkey, try_cast(p_brand as double) as number, case when p_size % 3 = 0 then true when p_size % 3 = 1 then false end as flag, p_size::bigint as whole from part"
+)
+def metadata_scalars(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("t", F.expr("case p_size % 3 when 0 then 'True' when 1 then '0' else 'maybe' end"))
+    return p.select("p_partkey", archives.scalar("p_brand", "double").alias("number"), archives.scalar("t", "boolean").alias("flag"), archives.scalar(F.concat(F.col("p_size").cast("string"), F.lit(".0")), "bigint").alias("whole"))
+
+
+@query(
+    """with o as (select (year(o_orderdate) * 4 + quarter(o_orderdate))::int as q, sum(o_totalprice::decimal(18,2))::double / count(*) / 1000 as y from orders group by 1), l as (select (year(l_shipdate) * 4 + quarter(l_shipdate))::int as q, sum(l_extendedprice::decimal(18,2))::double / count(*) / 1000 as x from lineitem group by 1),
+d as (select q, y - lag(y) over (order by q) as y, x - lag(x) over (order by q) as x from o join l using (q))
+select round(regr_intercept(y, x), 6) as intercept, round(regr_slope(y, x), 6) as slope, round(regr_r2(y, x), 6) as r2, regr_count(y, x)::bigint as n, case when count(*) filter (where q < 7996 and y is not null) >= 20 then round(regr_slope(y, x) filter (where q < 7996), 6) end as slope_early,
+ (regr_count(y, x) filter (where q < 7996))::bigint as n_early, case when count(*) filter (where q >= 7984 and y is not null) >= 20 then round(regr_slope(y, x) filter (where q >= 7984), 6) end as slope_late, (regr_count(y, x) filter (where q >= 7984))::bigint as n_late from d"""
+)
+def hours_bridge(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(quarter_index("o_orderdate").alias("q")).agg((ingest.exact_mean("o_totalprice") / 1000).alias("y"))
+    l = table(spark, sf_dir, "lineitem").groupBy(quarter_index("l_shipdate").alias("q")).agg((ingest.exact_mean("l_extendedprice") / 1000).alias("x"))  # noqa: E741
+    out = ingest.hours_bridge(o.join(l, "q").withColumn("s", F.lit(1)), ["s"], "q", "y", "x", 7996, 7984)
+    return out.select(*[F.round(c, 6).alias(c) if not c.startswith("n") else c for c in out.columns])

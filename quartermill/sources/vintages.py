@@ -33,11 +33,17 @@ def read_levels_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> D
 def newest_key(item: Column, mnemonic: str) -> Column:
     """The newest of an item's vintage keys, `MNEMONIC_YYYYMMDD` or `_MNEMONIC_YYYYMMDD`, whatever its value: struct of stamp and key."""
     tail = lambda k: F.substring(k, -8, 8)
-    named = lambda k: (F.ltrim(k, F.lit("_")) == F.concat(F.lit(f"{mnemonic}_"), tail(k))) & (F.length(k) <= len(mnemonic) + 10) & tail(k).rlike("^[0-9]{8}$")
+    head = lambda k: (k.startswith(f"{mnemonic}_") & (F.length(k) == len(mnemonic) + 9)) | (k.startswith(f"_{mnemonic}_") & (F.length(k) == len(mnemonic) + 10))
+    named = lambda k: head(k) & tail(k).rlike("^[0-9]{8}$")
     own = F.filter(F.map_keys(item), named)
     return F.array_max(F.transform(own, lambda k: F.struct(tail(k).alias("stamp"), k.alias("key"))))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The named columns, each computed once a row: behind a generator the optimiser doesn't repeat them where they are used."""
+    return df.select(F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")).select("_once.*")
+
+
 def parse_observations(payloads: DataFrame, payload: str, mnemonic: str) -> DataFrame:
     """Rows (obs_date, value, realtime_start, realtime_end) of API payloads.
 
@@ -45,12 +51,13 @@ def parse_observations(payloads: DataFrame, payload: str, mnemonic: str) -> Data
     one, where the newest vintage of each row counts, missing or not, and dates both ends. A
     payload with observations but neither fails when it is read.
     """
-    body = F.from_json(F.col(payload), PAYLOAD)["observations"]
-    plain = F.exists(body, lambda o: F.map_contains_key(o, "value"))
-    wide = F.exists(body, lambda o: newest_key(o, mnemonic).isNotNull())
-    fault = F.when(~plain & ~wide & (F.size(body) > 0), F.raise_error(F.lit(f"no value columns for {mnemonic}")).cast("string"))
-    items = payloads.select(body.alias("b"), plain.alias("plain"), fault.alias("fault")).where("fault is null").select("plain", F.explode("b").alias("o"))
-    rows = items.withColumn("newest", F.when(~F.col("plain"), newest_key(F.col("o"), mnemonic)))
+    bodies = once(payloads, body=F.from_json(F.col(payload), PAYLOAD)["observations"])
+    kinds = once(bodies, body=F.col("body"), plain=F.exists("body", lambda o: F.map_contains_key(o, "value")))
+    items = F.transform("body", lambda o: F.struct(o.alias("o"), F.when(~F.col("plain"), newest_key(o, mnemonic)).alias("newest")))
+    found = once(kinds, plain=F.col("plain"), items=items)
+    neither = ~F.col("plain") & (F.size("items") > 0) & ~F.exists("items", lambda x: x["newest"].isNotNull())
+    fault = F.when(neither, F.raise_error(F.lit(f"no value columns for {mnemonic}")).cast("string"))
+    rows = found.where(fault.isNull()).select("plain", F.explode("items").alias("x")).select("plain", "x.o", "x.newest")
     stamp = F.try_to_date("newest.stamp", "yyyyMMdd")
     pick = lambda name: F.when(F.col("plain"), F.try_element_at("o", F.lit(name)).try_cast("date")).otherwise(stamp).alias(name)
     value = parsed_number(F.when(F.col("plain"), F.try_element_at("o", F.lit("value"))).otherwise(F.try_element_at("o", F.col("newest.key"))))
