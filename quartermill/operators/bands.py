@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from ..functions.transforms import by_name, missing_as_null
 
 
-def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], places: int | None = None) -> DataFrame:
     """Per key: mean, and linearly interpolated quantiles of the values that aren't null, by name; keys without a value stay, null.
 
+    With places, values have so many decimal places and the mean is exact.
+
     Values are counted first, then the counts of value ranges (by logarithm, the same for all
     data) say which ranges hold the wanted ranks, and only these are put in order. So no task
     holds a key's values in memory, however many there are.
@@ -21,11 +23,12 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilit
     v = F.col("_v")
     place = F.floor(F.signum(v) * F.ln(1 + F.abs(v)) * 64)
     counted = rows.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, place.alias("_range"), "_v").agg(F.count("_v").alias("_c"))
-    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"), F.sum(v * F.col("_c")).alias("_sum"))
+    times = v * F.col("_c") if places is None else v.cast(f"decimal(18,{places})") * F.col("_c").cast("decimal(12,0)")
+    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"), F.sum(times).alias("_sum"))
     own = Window.partitionBy(*keys)
     n = F.sum("_in").over(own)
     before = F.coalesce(F.sum("_in").over(own.orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = ranges.select(*keys, "_range", "_in", n.alias("_n"), (F.sum("_sum").over(own) / n).alias("mean"), before.alias("_before"))
+    spans = ranges.select(*keys, "_range", "_in", n.alias("_n"), (F.sum("_sum").over(own).cast("double") / n).alias("mean"), before.alias("_before"))
     rank = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
     inside = F.col("_n") == 0
     for r in rank.values():
@@ -46,9 +49,9 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilit
     return found.select(*keys, "mean", *[(F.col(f"_lo_{x}") + F.col(f"_w_{x}") * (F.col(f"_hi_{x}") - F.col(f"_lo_{x}"))).alias(x) for x in probabilities])
 
 
-def bands(samples: DataFrame, keys: Sequence[str], value: str, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
-    """Per key: mean, and linearly interpolated quantiles of the values that aren't missing."""
-    return exact_quantiles(samples.select(*keys, missing_as_null(value).alias("_value")), keys, "_value", {"lower": lower, "upper": upper})
+def bands(samples: DataFrame, keys: Sequence[str], value: str, lower: float = 0.05, upper: float = 0.95, places: int | None = None) -> DataFrame:
+    """Per key: mean (exact for values of so many decimal places), and linearly interpolated quantiles of the values that aren't missing."""
+    return exact_quantiles(samples.select(*keys, missing_as_null(value).alias("_value")), keys, "_value", {"lower": lower, "upper": upper}, places)
 
 
 def transformed_bands(samples: DataFrame, keys: Sequence[str], value: str, transform: str, lower: float = 0.05, upper: float = 0.95) -> DataFrame:

@@ -96,9 +96,9 @@ def stacked_bar_bases(spark, sf_dir):
     return reshape.stacked(rows, ["quarter_idx"], "o_orderpriority", "value").select("quarter_idx", "o_orderpriority", F.round("value", 4).alias("value"), F.round("base", 3).alias("base"))
 
 
-@query("select l_returnflag, l_linenumber, round(avg(l_extendedprice), 4) as mean, round(quantile_cont(l_extendedprice, 0.05), 4) as lower, round(quantile_cont(l_extendedprice, 0.95), 4) as upper from lineitem group by all")
+@query("select l_returnflag, l_linenumber, round(sum(l_extendedprice::decimal(18,2))::double / count(l_extendedprice), 4) as mean, round(quantile_cont(l_extendedprice, 0.05), 4) as lower, round(quantile_cont(l_extendedprice, 0.95), 4) as upper from lineitem group by all")
 def mean_bands(spark, sf_dir):
-    b = bands.bands(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_extendedprice")
+    b = bands.bands(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_extendedprice", places=2)
     return b.select("l_returnflag", "l_linenumber", *[F.round(x, 4).alias(x) for x in ("mean", "lower", "upper")])
 
 
