@@ -57,33 +57,40 @@ def shape_id(name: bytes) -> int:
 AGAIN, TRIPLE = shape_id(b"again"), shape_id(b"triple again")
 
 
+def word_rows(word: bytes) -> int:
+    """A word's row and, in the lowest 16 bits, its shape's row."""
+    core = word.strip(MARKS)
+    text = core if core.isascii() else core.decode("utf-8", "replace")  # bytes know the case of ASCII letters
+    case = b"none" if not core else b"digit" if text.isdigit() else b"upper" if text.isupper() and len(text) > 1 else b"title" if text[:1].isupper() else b"lower" if text.islower() else b"mixed"
+    at = word.find(core) if core else len(word)
+    before, after = word[:at], word[at + len(core) :]
+    inner = b"i" if not core.isalnum() and core.translate(None, MARKS) != core else b""
+    length = b"%d" % min(4, len(text) // 6)
+    low = text.lower()
+    return zlib.crc32(low if text is core else low.encode()) % WORDS << 16 | shape_id(b" ".join((case, before[:3], after[-3:], inner, length)))
+
+
+class Known(dict):
+    """Rows of the words met so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = word_rows(word)
+        return got
+
+
 class Reader:
     """Words of texts as row numbers of the vectors."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    def one(self, word: bytes) -> tuple[int, int]:
-        core = word.strip(MARKS)
-        text = core.decode("utf-8", "replace")
-        case = b"none" if not core else b"digit" if text.isdigit() else b"upper" if text.isupper() and len(text) > 1 else b"title" if text[:1].isupper() else b"lower" if text.islower() else b"mixed"
-        before, after = word[: len(word) - len(word.lstrip(MARKS))], word[len(word.rstrip(MARKS)) :] if core else b""
-        inner = b"i" if core.translate(None, MARKS) != core else b""
-        length = b"%d" % min(4, len(text) // 6)
-        return zlib.crc32(text.lower().encode()) % WORDS, shape_id(b" ".join((case, before[:3], after[-3:], inner, length)))
+        self.known = Known()
 
     def ids(self, data: bytes) -> np.ndarray:
         """words x 2: the word's row and its shape's row."""
-        words, known = data.split(), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = self.one(w)
-            out.append(got)
-        return np.array(out, np.int32).reshape(-1, 2)
+        words = data.split()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        rows = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        return np.stack((rows >> 16, rows & 0xFFFF), axis=1)
 
 
 def repeats(words: np.ndarray) -> tuple[int, int]:
