@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .schur import solved
+
 
 class NoStableSolution(ValueError):
     """The equations have no stable solution, or more than one."""
@@ -29,61 +31,9 @@ def initial_state(t: np.ndarray, c: np.ndarray, v: np.ndarray) -> tuple[np.ndarr
     return c.copy(), 1e6 * np.eye(n)
 
 
-def rational_expectations(g0: np.ndarray, g1: np.ndarray, c: np.ndarray, psi: np.ndarray, pi: np.ndarray, edge: float = 1.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """T, R, C of s = T s(-1) + R e + C from g0 s = g1 s(-1) + c + psi e + pi eta.
-
-    The explosive left deflating subspace is found by iterating the pencil's spectral
-    projector (matrix sign function of a Cayley transform at radius `edge`), which needs no
-    eigenvectors and so copes with the repeated zero roots of lagged states. The forecast
-    errors eta must keep the explosive part still; the states then follow by least squares.
-    """
-    n = len(g0)
-    if np.abs(pi).max(initial=0.0) < 1e-12 and np.linalg.matrix_rank(g0) == n:
-        return np.linalg.solve(g0, g1), np.linalg.solve(g0, psi), np.linalg.solve(g0, c)
-    # z g0 - g1 with roots |z| against edge: w = (z - edge) / (z + edge) puts the inside on the left half plane
-    a, b = g1 - edge * g0, g1 + edge * g0
-    if np.linalg.cond(b) > 1e14:
-        raise NoStableSolution("the pencil is singular")
-    w = a @ np.linalg.inv(b)  # acts on the left: rows q with q w = lambda q
-    s = w
-    for _ in range(100):
-        inverse = np.linalg.inv(s)
-        scale = np.sqrt(np.linalg.norm(inverse) / np.linalg.norm(s))
-        nxt = (scale * s + inverse / scale) / 2
-        done = np.abs(nxt - s).max() <= 1e-13 * np.abs(nxt).max()
-        s = nxt
-        if done:
-            break
-    outside = (np.eye(n) + s) / 2  # projects on the explosive roots
-    k = int(round(np.trace(outside)))
-    u, _, vt = np.linalg.svd(outside)
-    q2 = np.linalg.svd(outside.T)[0][:, :k].T if k else np.zeros((0, n))
-    # explosive block: q2 (g0 s - g1 s(-1) - c - psi e - pi eta) = 0 must hold with its part of s at rest
-    need, give = q2 @ psi, q2 @ pi
-    if k:
-        solved = np.linalg.lstsq(give, -need, rcond=None)[0]
-        if np.abs(give @ solved + need).max(initial=0.0) > 1e-8 * max(1.0, np.abs(need).max(initial=0.0)):
-            raise NoStableSolution("no stable solution")
-    if np.linalg.matrix_rank(give, tol=1e-9) < pi.shape[1] and np.linalg.matrix_rank(np.vstack([give, _beside(q2) @ pi]), tol=1e-9) > np.linalg.matrix_rank(give, tol=1e-9):
-        raise NoStableSolution("more than one stable solution")
-    # remaining equations have eta removed by the rows that are free of it
-    stable = _beside(q2)
-    phi = stable @ pi @ np.linalg.pinv(give) if k else np.zeros((n, 0))
-    rows = stable - phi @ q2 if k else stable
-    still = q2 @ g0
-    left = np.vstack([rows @ g0, still])
-    rest = np.vstack([rows @ g1, np.zeros((k, n))])
-    level = np.linalg.lstsq(still - q2 @ g1, q2 @ c, rcond=None)[0] if k else np.zeros(n)
-    t = np.linalg.solve(left, rest)
-    r = np.linalg.solve(left, np.vstack([rows @ psi, np.zeros((k, psi.shape[1]))]))
-    const = np.linalg.solve(left, np.concatenate([rows @ c, still @ level]))
-    return t, r, const
-
-
-def _beside(q: np.ndarray) -> np.ndarray:
-    """Orthonormal rows that complete q's."""
-    n = q.shape[1]
-    if not len(q):
-        return np.eye(n)
-    _, _, vt = np.linalg.svd(q)
-    return vt[len(q) :]
+def rational_expectations(g0: np.ndarray, g1: np.ndarray, c: np.ndarray, psi: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """T, R, C of s = T s(-1) + R e + C from g0 s = g1 s(-1) + c + psi e + pi eta, the one stable solution."""
+    found = solved(g0, g1, c, psi, pi)
+    if found.codes != (1, 1):
+        raise NoStableSolution("no stable solution" if found.codes[0] != 1 else "more than one stable solution")
+    return found.t, found.r, found.c

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms as T
 from ..functions.quarters import quarter_index
-from ..plans import estimation, statespace
+from ..plans import statespace
 from ..plans.linear import rational_expectations
 from .registry import query, table
 
@@ -122,22 +122,6 @@ def conditioning_lstsq(spark, sf_dir):
     return statespace.condition_groups(t, "scenario", PAIR, np.zeros(2))
 
 
-def _quadratic(x: np.ndarray) -> float:
-    return float(-0.5 * (2 * x[0] ** 2 + x[1] ** 2 + 3 * x[2] ** 2 + x[0] * x[1]))
-
-
-@query("select * from (values (0, 0, -2.0::double), (0, 1, -0.5), (0, 2, 0.0), (1, 0, -0.5), (1, 1, -1.0), (1, 2, 0.0), (2, 0, 0.0), (2, 1, 0.0), (2, 2, -3.0)) as t(i, j, value)")
-def hessian_stencil(spark, sf_dir):
-    h = estimation.hessian(spark, _quadratic, [0.3, -0.2, 0.5], 1e-3)
-    return h.withColumn("value", F.round("value", 4) + 0.0)
-
-
-@query()
-def mh_chain(spark, sf_dir):
-    """Four chains on a known density; tests hold their moments against it."""
-    return estimation.chains(spark, _quadratic, [0.0, 0.0, 0.0], 0.5 * np.eye(3), 500, 4, 7)
-
-
 @query("select p_partkey, round(p_size / 60.0::double, 6) as t, round(1 / (1 - 0.9 * p_size / 60.0::double), 6) as r from part")
 def forward_looking_solve(spark, sf_dir):
     """x = 0.9 E[x(+1)] + z, z = rho z(-1) + e, a system a part: x responds 1 / (1 - 0.9 rho) to e."""

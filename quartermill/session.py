@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "quartermill") -> SparkSession:
@@ -16,3 +18,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "qu
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df from a table in the folder that driver and executors share (spark.checkpoint.dir): ends the lineage, survives lost executors.
+
+    Where the setting is missing, a local session takes its warehouse folder; any other fails.
+    The files go when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
