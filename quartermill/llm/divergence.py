@@ -1,9 +1,8 @@
 """Operator 11: how far each source's use of terms lies from that of its language's other sources.
 
-Terms of whole texts are counted per (lang, source) in one pass: words and a text's
-distinct words are exploded together, so that counts and document counts come out of one
-partial aggregation, which meets a common term once a task. Each kept term is then one
-wide row: its counts pivoted into an array indexed by the language's sources. Higher-order
+Terms of whole texts are counted per (lang, source) in one pass over their bytes: tasks give
+out sums of bounded size, which meet a common term a few times a task. Each kept term is then
+one wide row: its counts pivoted into an array indexed by the language's sources. Higher-order
 functions turn the row into what each pair of sources differs by, and partial sums add it.
 A pair of sources of which neither has the term differs by the same for all such terms, so
 that share is added once from the totals, and a term emits pairs only for sources that have
@@ -19,27 +18,56 @@ empty table gives none; columns but text, lang and source are never looked at.
 
 from __future__ import annotations
 
+import re
 import string
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import batches, bound_batches, cut, strings, utf8
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+WORDS = re.compile(TERM.encode())
 #: Documents of a language that a term must occur in; parts of a probability of one; added to each count; ranks of terms that are returned.
 LEAST_DOCS, UNIT, ADDED, TOP = 30, 1_000_000_000, 5, 50
+#: Terms that a task holds before it gives them out.
+FLUSH = 400_000
 #: Copies of a language's totals, as one language may hold most terms.
 SALTS = 32
 
 
+def _counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's rows, given out whenever over FLUSH terms are held."""
+    held: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+
+    def given() -> pa.RecordBatch:
+        keys = [(*group, term, n, docs[term]) for group, (counts, docs) in held.items() for term, n in counts.items()]
+        lang, name, term, count, docs = zip(*keys)
+        held.clear()
+        columns = [pa.array(lang, pa.string()), pa.array(name, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(docs, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count", "docs"])
+
+    for b in batches(source):
+        for lang, name, text in zip(strings(b, "lang"), strings(b, "source"), utf8(b)):
+            words = WORDS.findall(text.lower())  # of bytes, lower() changes A-Z alone
+            if words:
+                counts, docs = held[lang, name]
+                counts.update(words)
+                docs.update(set(words))
+        if sum(len(counts) for counts, _ in held.values()) > FLUSH:
+            yield given()
+    if held:
+        yield given()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term: its occurrences and the documents that hold it."""
-    text = F.translate(F.coalesce(F.col("`text`").cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    words = docs.select(*_names(), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("words"))
-    both = words.select("lang", "source", F.size("words").alias("size"), F.concat("words", F.array_distinct("words")).alias("both"))
-    each = both.select("lang", "source", "size", F.posexplode("both").alias("at", "term"))
-    return each.groupBy("lang", "source", "term").agg(F.sum(F.expr("if(at < size, 1L, 0L)")).alias("count"), F.sum(F.expr("if(at < size, 0L, 1L)")).alias("docs"))
+    bound_batches(docs.sparkSession)
+    rows = docs.select(*_names(), F.col("`text`").cast("string").alias("text")).mapInArrow(_counts, "lang string, source string, term string, count long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def _names() -> list:
