@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import chains, kernels, levels, models, paths, posterior, reports, series, tables  # noqa: F401  (registers)
+from .queries import bundles, chains, forecasts, kernels, levels, models, paths, posterior, reports, series, tables  # noqa: F401  (registers)
 from .queries.registry import ORACLES, QUERIES
 
 

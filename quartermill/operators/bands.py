@@ -11,36 +11,46 @@ from pyspark.sql.window import Window
 from ..functions.transforms import by_name, missing_as_null
 
 
+#: Ranges of an octave of values, and equal parts that a range is cut into where a rank lies.
+OCTAVE, PARTS = 16, 4_096
+
+
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], places: int | None = None) -> DataFrame:
     """Per key: mean, and linearly interpolated quantiles of the values that aren't null, by name; keys without a value stay, null.
 
     With places, values have so many decimal places and the mean is exact.
 
-    Values are counted first, then the counts of value ranges (by logarithm, the same for all
-    data) say which ranges hold the wanted ranks, and only these are put in order. So no task
-    holds a key's values in memory, however many there are.
+    Values are counted first. The counts of value ranges, OCTAVE an octave, say which ranges
+    hold the wanted ranks; these are cut into PARTS between their own least and largest value,
+    and only the parts that hold a rank are put in order. So what a task orders is a small
+    part of a key's values, however close together they lie.
     """
     v = F.col("_v")
-    place = F.floor(F.signum(v) * F.ln(1 + F.abs(v)) * 64)
-    counted = rows.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, place.alias("_range"), "_v").agg(F.count("_v").alias("_c"))
+    place = F.signum(v) * (20_000 + F.floor(F.log2(F.abs(v)) * OCTAVE))
+    counted = rows.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, F.when(v == 0, 0.0).otherwise(place).cast("int").alias("_range"), "_v").agg(F.count("_v").alias("_c"))
     times = v * F.col("_c") if places is None else v.cast(f"decimal(18,{places})") * F.col("_c").cast("decimal(12,0)")
-    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"), F.sum(times).alias("_sum"))
     own = Window.partitionBy(*keys)
+    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"), F.sum(times).alias("_sum"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     n = F.sum("_in").over(own)
-    before = F.coalesce(F.sum("_in").over(own.orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = ranges.select(*keys, "_range", "_in", n.alias("_n"), (F.sum("_sum").over(own).cast("double") / n).alias("mean"), before.alias("_before"))
+    spans = ranges.select(*keys, "_range", "_in", "_least", "_most", n.alias("_n"), (F.sum("_sum").over(own).cast("double") / n).alias("mean"), _before(own, "_range").alias("_before"))
     rank = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
-    inside = F.col("_n") == 0
-    for r in rank.values():
-        inside |= (F.ceil(r) >= F.col("_before")) & (F.floor(r) < F.col("_before") + F.col("_in"))
-    renamed = [F.col(k).alias(f"_k_{k}") for k in (*keys, "_range")]
-    wanted = spans.where(inside).select(*renamed, "_n", "mean", "_before")
-    on = F.lit(True)
-    for k in (*keys, "_range"):
-        on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    near = counted.join(wanted, on)
-    to = F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v")) + F.col("_before")
-    ends = near.select(*keys, "_v", "_n", "mean", to.alias("_to"), (to - F.col("_c")).alias("_from"))
+
+    def holds(df: DataFrame) -> DataFrame:
+        inside = F.col("_n") == 0
+        for r in rank.values():
+            inside |= (F.ceil(r) >= F.col("_before")) & (F.floor(r) < F.col("_before") + F.col("_in"))
+        return df.where(inside)
+
+    near = _matched(counted, holds(spans).select(*keys, "_range", "_n", "mean", "_before", "_least", "_most"), [*keys, "_range"])
+    share = (v - F.col("_least")) / (F.col("_most") - F.col("_least"))
+    part = F.when(F.col("_most") > F.col("_least"), F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    near = near.withColumn("_part", part.cast("int"))
+    within = Window.partitionBy(*keys, "_range")
+    parts = near.groupBy(*keys, "_range", "_part").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"), F.max("_before").alias("_base"))
+    parts = holds(parts.withColumn("_before", F.col("_base") + _before(within, "_part"))).select(*keys, "_range", "_part", F.col("_before").alias("_from_here"))
+    last = _matched(near, parts, [*keys, "_range", "_part"])
+    to = F.sum("_c").over(Window.partitionBy(*keys, "_range", "_part").orderBy("_v")) + F.col("_from_here")
+    ends = last.select(*keys, "_v", "_n", "mean", to.alias("_to"), (to - F.col("_c")).alias("_from"))
     picks = []
     for name, r in rank.items():
         hit = lambda at: F.max(F.when((at >= F.col("_from")) & (at < F.col("_to")), v))
@@ -49,6 +59,18 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilit
     return found.select(*keys, "mean", *[(F.col(f"_lo_{x}") + F.col(f"_w_{x}") * (F.col(f"_hi_{x}") - F.col(f"_lo_{x}"))).alias(x) for x in probabilities])
 
 
+def _before(window, by: str) -> Column:
+    return F.coalesce(F.sum("_in").over(window.orderBy(F.col(by).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _matched(rows: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
+    """rows beside what was found of their (possibly null) columns `on`."""
+    same = F.lit(True)
+    for k in on:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(found.withColumnsRenamed({k: f"_k_{k}" for k in on}), same).drop(*[f"_k_{k}" for k in on])
+
+
 def bands(samples: DataFrame, keys: Sequence[str], value: str, lower: float = 0.05, upper: float = 0.95, places: int | None = None) -> DataFrame:
     """Per key: mean (exact for values of so many decimal places), and linearly interpolated quantiles of the values that aren't missing."""
     return exact_quantiles(samples.select(*keys, missing_as_null(value).alias("_value")), keys, "_value", {"lower": lower, "upper": upper}, places)

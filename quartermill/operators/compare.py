@@ -8,28 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.transforms import missing_as_null
+
 
 def compare_arrays(actual: DataFrame, desired: DataFrame, at: Sequence[str], rtol: float, atol: float, eps: float = 2.220446049250313e-16) -> DataFrame:
-    """Per array: cells, cells of one side, largest absolute and relative difference, the coordinate of the largest, and whether all are close.
+    """Per array: status (passed, failed, shape_mismatch), cells, cells of one side, largest absolute and relative difference, the coordinate of the largest, and whether all are close.
 
-    Missing equals missing; a cell that only one side has, or that only one side misses,
-    is never close. The tolerance scales with the desired value.
+    Shapes differ where the largest coordinates do; then nothing else is compared (null).
+    Missing equals missing and an infinity itself; a number differs from a missing or absent
+    cell by infinity. The tolerance scales with the actual value, relative differences are
+    over the desired one.
     """
-    a = actual.select("array", *at, F.col("value").alias("x"), F.lit(True).alias("in_actual"))
-    d = desired.select("array", *at, F.col("value").alias("y"), F.lit(True).alias("in_desired"))
+    a = actual.select("array", *at, missing_as_null("value").alias("x"), F.lit(True).alias("in_actual"))
+    d = desired.select("array", *at, missing_as_null("value").alias("y"), F.lit(True).alias("in_desired"))
     both = a.join(d, ["array", *at], "full")
-    present = F.col("in_actual").isNotNull() & F.col("in_desired").isNotNull()
-    diff = F.when(F.col("x").eqNullSafe(F.col("y")), F.lit(0.0)).otherwise(F.abs(F.col("x") - F.col("y")))
-    rows = both.withColumn("diff", diff).withColumn("rel", F.col("diff") / F.greatest(F.abs("y"), F.lit(eps)))
-    close = present & F.coalesce(F.col("diff") <= atol + rtol * F.abs(F.coalesce("y", F.lit(0.0))), F.lit(False))
-    return rows.groupBy("array").agg(
+    here, there = F.col("in_actual").isNotNull(), F.col("in_desired").isNotNull()
+    apart, endless = F.col("x").isNull() | F.col("y").isNull(), F.lit(float("inf"))
+    diff = F.when(F.col("x").eqNullSafe(F.col("y")), F.lit(0.0)).when(apart, endless).otherwise(F.abs(F.col("x") - F.col("y")))
+    rows = both.withColumn("diff", diff).withColumn("rel", F.when(F.col("diff") == endless, endless).otherwise(F.col("diff") / F.greatest(F.abs("y"), F.lit(eps))))
+    close = here & there & F.coalesce((F.col("diff") == 0) | ((F.col("diff") < endless) & (F.col("diff") <= atol + rtol * F.abs("x"))), F.lit(False))
+    shapes = [(F.max(F.when(here, F.col(c))).alias(f"_a_{c}"), F.max(F.when(there, F.col(c))).alias(f"_d_{c}")) for c in at]
+    found = rows.groupBy("array").agg(
         F.count(F.lit(1)).alias("cells"),
-        F.sum(F.when(present, 0).otherwise(1)).alias("one_sided"),
+        F.sum(F.when(here & there, 0).otherwise(1)).alias("one_sided"),
         F.max("diff").alias("max_abs"),
         F.max("rel").alias("max_rel"),
         F.max_by(F.concat_ws(",", *at), F.struct("diff", *[-F.col(x) for x in at])).alias("worst_at"),
         F.min(close.cast("int")).cast("boolean").alias("passed"),
+        *[c for pair in shapes for c in pair],
     )
+    same = F.lit(True)
+    for c in at:
+        same &= F.col(f"_a_{c}").eqNullSafe(F.col(f"_d_{c}"))
+    status = F.when(~same, "shape_mismatch").when(F.col("passed"), "passed").otherwise("failed")
+    return found.select("array", status.alias("status"), "cells", "one_sided", *[F.when(same, F.col(c)).alias(c) for c in ("max_abs", "max_rel", "worst_at")], (same & F.col("passed")).alias("passed"))
 
 
 def compare_names(actual: DataFrame, desired: DataFrame, key: str = "array") -> DataFrame:
@@ -75,20 +87,18 @@ COVERAGE = {"sampler": SAMPLER, "sampler-trace": TRACE, "sampler-proposal-trace"
 
 
 def tolerance(profile: str = "strict", atol: float | None = None, rtol: float | None = None) -> tuple[float, float]:
-    """(absolute, relative) tolerance of a profile, each of which may be given instead."""
-    if profile.casefold() not in TOLERANCES:
-        raise ValueError(f"unknown tolerance profile {profile!r}, known are {sorted(TOLERANCES)}")
-    a, r = TOLERANCES[profile.casefold()]
-    a, r = a if atol is None else atol, r if rtol is None else rtol
-    if a < 0 or r < 0:
-        raise ValueError("tolerances are at least 0")
-    return a, r
+    """(absolute, relative) tolerance: what is given, else the profile's."""
+    own = TOLERANCES.get(profile.casefold(), (None, None))
+    chosen = tuple(mine if given is None else given for given, mine in zip((atol, rtol), own))
+    if None in own or min(chosen) < 0:
+        raise ValueError(f"profiles are {', '.join(TOLERANCES)}, tolerances at least 0: {profile}, {chosen}")
+    return chosen
 
 
 def compare_folders(oracle: DataFrame, candidate: DataFrame, required: Sequence[str] = (), profile: str = "strict") -> DataFrame:
-    """Per array name: missing_oracle (required, in neither the oracle), missing_candidate, extra_candidate, mismatch or match, with the largest difference."""
+    """Per array name: missing_oracle (required, in neither the oracle), missing_candidate, extra_candidate, shape_mismatch, mismatch or match, with the largest difference."""
     atol, rtol = tolerance(profile)
-    both = compare_arrays(candidate, oracle, ["i", "j"], rtol, atol).select("array", "max_abs", "passed")
+    both = compare_arrays(candidate, oracle, ["i", "j"], rtol, atol).select("array", F.col("status").alias("_c"), "max_abs", "passed")
     names = compare_names(candidate, oracle).select("array", F.col("status").alias("_s")).join(both, "array", "left")
     needed = oracle.sparkSession.createDataFrame([(n,) for n in required], "array string").withColumn("_needed", F.lit(True))
     rows = names.join(F.broadcast(needed), "array", "full")  # required names are a parameter
@@ -96,6 +106,7 @@ def compare_folders(oracle: DataFrame, candidate: DataFrame, required: Sequence[
         F.when(F.col("_s").isNull() | ((F.col("_s") == "extra") & F.coalesce("_needed", F.lit(False))), "missing_oracle" if required else "extra_candidate")
         .when(F.col("_s") == "missing", "missing_candidate")
         .when(F.col("_s") == "extra", "extra_candidate")
+        .when(F.col("_c") == "shape_mismatch", "shape_mismatch")
         .when(F.col("passed"), "match")
         .otherwise("mismatch")
     )

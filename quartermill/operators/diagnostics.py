@@ -6,15 +6,41 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
+
+
+#: Draws of a block whose lagged products a task forms; lags looked at first, and by how much more each turn.
+BLOCK, LAGS, FURTHER = 1 << 16, 256, 16
+
+
+def numbered(draws: DataFrame, keys: Sequence[str], order: str, *columns: str | Column) -> DataFrame:
+    """keys, i (from 0, by order), n (draws of the key) and the columns: a global sort and the rows before each part of it, so that a chain may lie in many tasks."""
+    named = [F.col(k).alias(f"_k{x}") for x, k in enumerate(keys)]
+    own = [f"_k{x}" for x in range(len(keys))]
+    ordered = draws.select(*named, F.col(order).alias("_order"), *columns).orderBy(*own, "_order")
+    rows = written(ordered.drop("_order").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    parts = rows.groupBy(*own, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    chain = Window.partitionBy(*own)
+    before = F.sum("_rows").over(chain.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    places = parts.select(*[F.col(k).alias(f"_p{k}") for k in own], F.col("_part").alias("_p_part"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_rows").over(chain).alias("n"))
+    same = F.col("_part") == F.col("_p_part")
+    for k in own:
+        same &= F.col(k).eqNullSafe(F.col(f"_p{k}"))
+    names = [c for c in rows.columns if c not in (*own, "_part", "_at")]
+    return rows.join(places, same).select(*[F.col(o).alias(k) for o, k in zip(own, keys)], (F.col("_at") + F.col("_shift")).alias("i"), "n", *names)
+
 
 def acceptance_windows(trace: DataFrame, keys: Sequence[str], order: str, windows: int) -> DataFrame:
     """Acceptance rate in nearly equal runs of the trace (earlier runs take the odd rows)."""
-    nth = F.ntile(windows).over(Window.partitionBy(*keys).orderBy(order))
-    return trace.withColumn("window", nth).groupBy(*keys, "window").agg(F.avg(F.col("accepted").cast("double")).alias("rate"), F.count(F.lit(1)).alias("n"))
+    rows = numbered(trace, keys, order, F.col("accepted").cast("double").alias("_a"))
+    base, odd = F.floor(F.col("n") / windows), F.col("n") % windows
+    long = odd * (base + 1)  # rows in runs of one more
+    nth = F.when(F.col("i") < long, F.floor(F.col("i") / (base + 1))).otherwise(odd + F.floor((F.col("i") - long) / F.greatest(base, F.lit(1)))) + 1
+    return rows.withColumn("window", nth.cast("int")).groupBy(*keys, "window").agg(F.avg("_a").alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
 def moments(draws: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -27,11 +53,10 @@ def split_rhat(draws: DataFrame, keys: Sequence[str], order: str, value: str) ->
 
     The middle draw of an odd chain is left out. Constant halves give 1 if equal, else null.
     """
-    w = Window.partitionBy(*keys)
-    half = F.floor(F.col("_n") / 2)
-    part = F.when(F.col("_i") <= half, 1).when(F.col("_i") > F.col("_n") - half, 2)
-    rows = draws.select(*keys, F.col(value).alias("_v"), F.row_number().over(w.orderBy(order)).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    halves = rows.withColumn("_part", part).where("_part is not null and _n >= 4").groupBy(*keys, "_part").agg(F.avg("_v").alias("m"), F.var_samp("_v").alias("s"), F.count(F.lit(1)).alias("c"))
+    half = F.floor(F.col("n") / 2)
+    part = F.when(F.col("i") < half, 1).when(F.col("i") >= F.col("n") - half, 2)
+    rows = numbered(draws, keys, order, F.col(value).alias("_v"))
+    halves = rows.withColumn("_part", part).where("_part is not null and n >= 4").groupBy(*keys, "_part").agg(F.avg("_v").alias("m"), F.var_samp("_v").alias("s"), F.count(F.lit(1)).alias("c"))
     both = halves.groupBy(*keys).agg(F.avg("s").alias("within"), (F.var_samp("m") * F.first("c")).alias("between"), F.first("c").alias("c"))
     var = (F.col("c") - 1) / F.col("c") * F.col("within") + F.col("between") / F.col("c")
     value_ = F.when(F.col("within") > 0, F.sqrt(var / F.col("within"))).when(F.col("between") == 0, F.lit(1.0))
@@ -39,31 +64,72 @@ def split_rhat(draws: DataFrame, keys: Sequence[str], order: str, value: str) ->
     return draws.select(*keys).distinct().join(out, list(keys), "left")
 
 
-def _chain_size(keys: Sequence[str], order: str, value: str):
-    def run(chain: pd.DataFrame) -> pd.DataFrame:
-        x = chain.sort_values(order)[value].to_numpy(np.float64)
-        n, x = len(x), x - x.mean()
-        var, total = float(x @ x) / n, 0.0
-        if n > 1 and np.isfinite(var) and var > np.finfo(float).eps:
-            for lag in range(1, n):
-                rho = float(x[:-lag] @ x[lag:]) / ((n - lag) * var)
-                if not rho > 0:
-                    break
-                total += rho
-        time = max(1.0, 1 + 2 * total)
-        return pd.DataFrame({**{k: [chain[k].iloc[0]] for k in keys}, "n": [n], "iat": [time], "ess": [min(float(n), n / time)]})
+def lagged_products(x: np.ndarray, after: np.ndarray, lags: int) -> np.ndarray:
+    """Sums of x[t] times what comes l later in x and then after, for l from 0 to lags."""
+    y = np.concatenate([x, after[:lags]])
+    if len(x) * (lags + 1) <= 1 << 20:
+        return np.array([float(x[: max(0, len(y) - k)] @ y[k : k + len(x)]) for k in range(lags + 1)])
+    size = 1 << (len(x) + len(y) + lags).bit_length()
+    return np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)[: lags + 1]
+
+
+def lag_sums(chains: DataFrame, keys: Sequence[str], lags: int, block: int = BLOCK) -> DataFrame:
+    """keys, lag, sum of products of values (x, at place i) so far apart; a task has a block and the lags after it, never a chain."""
+    block = max(block, lags)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chains.select(*keys).schema)
+    own = F.floor(F.col("i") / block)
+    homes = F.when((own > 0) & (F.col("i") % block < lags), F.array(own, own - 1)).otherwise(F.array(own))
+    rows = chains.select(*keys, "i", "x", F.explode(homes).alias("_block"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i")
+        inside = (part["i"] // block == part["_block"]).to_numpy()
+        x = part["x"].to_numpy(float)
+        sums = lagged_products(x[inside], x[~inside], lags)
+        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "lag": np.arange(lags + 1), "sum": sums})
 
-    return run
+    return rows.groupBy(*keys, "_block").applyInPandas(run, f"{kinds}, lag long, sum double").groupBy(*keys, "lag").agg(F.sum("sum").alias("sum"))
 
 
-def effective_size(draws: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+def effective_size(draws: DataFrame, keys: Sequence[str], order: str, value: str, lags: int = LAGS, block: int = BLOCK) -> DataFrame:
     """Autocorrelation time and effective sample size: autocorrelations are summed up to the first that isn't positive.
 
-    A chain without spread, or of one draw, counts in full. A chain is one task's, in memory
-    in proportion to its length; lags are computed only as far as they are summed.
+    A chain without spread, or of one draw, counts in full. Products are formed by blocks of
+    a chain; chains whose autocorrelations are still positive at the last lag are looked at
+    again, FURTHER times as far.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in draws.select(*keys).schema)
-    return draws.select(*keys, order, value).groupBy(*keys).applyInPandas(_chain_size(keys, order, value), f"{kinds}, n long, iat double, ess double")
+    keys = list(keys)
+    rows = numbered(draws, keys, order, F.col(value).cast("double").alias("x"))
+    means = rows.groupBy(*keys).agg(F.avg("x").alias("_m"), F.var_pop("x").alias("_var"))
+    same = lambda other: [F.col(f"r.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
+
+    def matched(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        on = F.lit(True)
+        for c in same("s"):
+            on &= c
+        return left.alias("r").join(right.alias("s"), on, how)
+
+    centred = written(matched(rows, means).select("r.*", (F.col("x") - F.col("_m")).alias("_x"), "_var").drop("x").withColumnRenamed("_x", "x"), "centred")
+    tiny = float(np.finfo(float).eps)
+    flat = (F.col("n") < 2) | F.coalesce(~(F.col("_var") > tiny), F.lit(True)) | F.isnan("_var")
+    sizes = centred.groupBy(*keys).agg(F.max("n").alias("n"), F.max("_var").alias("_var"))
+    found = sizes.where(flat).select(*keys, "n", F.lit(0.0).alias("total"))
+    open_ = sizes.where(~flat)
+    while True:
+        sums = lag_sums(matched(centred, open_, "left_semi"), keys, lags, block)
+        rho = matched(sums, open_).select(*[F.col(f"r.{k}") for k in keys], "s.n", "lag", (F.col("sum") / ((F.col("s.n") - F.col("lag")) * F.col("s._var"))).alias("rho")).where("lag between 1 and n - 1")
+        end = rho.groupBy(*keys, "n").agg(F.min(F.when(~F.coalesce(F.col("rho") > 0, F.lit(False)), F.col("lag"))).alias("_end"))
+        summed = matched(rho, end.select(*keys, "_end")).groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], "n").agg(F.coalesce(F.sum(F.when(F.col("lag") < F.coalesce("_end", F.lit(np.iinfo(np.int64).max)), F.col("rho"))), F.lit(0.0)).alias("total"), F.max("_end").alias("_end"))
+        part = written(summed, "lags")
+        done = F.col("_end").isNotNull() | (F.col("n") - 1 <= lags)
+        found = found.unionByName(part.where(done).select(*keys, "n", "total"))
+        left = part.where(~done)
+        if not left.limit(1).count():
+            break
+        open_ = matched(sizes, left, "left_semi")
+        lags *= FURTHER
+    time = F.greatest(F.lit(1.0), 1 + 2 * F.col("total"))
+    return found.select(*keys, "n", time.alias("iat"), F.least(F.col("n").cast("double"), F.col("n") / time).alias("ess"))
 
 
 def parameter_diagnostics(draws: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:

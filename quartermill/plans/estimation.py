@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .equations import Model, kinds, likelihoods
+from .equations import Model, kinds, likelihoods, log_likelihoods
 
 Objective = Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
 FAULTS = (np.linalg.LinAlgError, FloatingPointError, ValueError, OverflowError, ZeroDivisionError)
@@ -78,8 +79,8 @@ def hessians(points: DataFrame, keys: Sequence[str], objective: Objective, size:
     """
     f = safe(objective)
     stencil = [(i, i, a, 0, w) for i in range(size) for a, w in ((1, 1), (0, -2), (-1, 1))] + [(i, j, a, b, a * b / 4) for i in range(size) for j in range(i + 1, size) for a in (1, -1) for b in (1, -1)]
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ij", s[:2])], *[F.lit(float(v)).alias(n) for n, v in zip(("a", "b", "w"), s[2:])]) for s in stencil])
-    spread = _selected(points, keys, context, "x", F.explode(table).alias("s")).select(*keys, *[c for c in context if c not in keys], "x", "s.*")
+    table = F.array(*[F.struct(*[F.lit(v if k < 2 else float(v)).alias(n) for k, (n, v) in enumerate(zip(("_i", "_j", "_a", "_b", "_w"), point))]) for point in stencil])
+    spread = _selected(points, keys, context, "x", F.explode(table).alias("_s")).select(*keys, *[c for c in context if c not in keys], "x", "_s.*")
 
     def run(parts):
         for pdf in parts:
@@ -87,11 +88,11 @@ def hessians(points: DataFrame, keys: Sequence[str], objective: Objective, size:
                 continue
             x, row = _points(pdf, context)
             h, at = step * np.maximum(1, np.abs(x)), np.arange(len(x))
-            i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
+            i, j, a, b, w = (pdf[c].to_numpy() for c in ("_i", "_j", "_a", "_b", "_w"))
             moved = x.copy()
-            moved[at, i] += pdf["a"].to_numpy() * h[at, i]
-            moved[at, j] += pdf["b"].to_numpy() * h[at, j]
-            yield pdf[[*keys, "i", "j"]].assign(part=pdf["w"].to_numpy() * f(moved, row) / (h[at, i] * h[at, j]))
+            moved[at, i] += a * h[at, i]
+            moved[at, j] += b * h[at, j]
+            yield pdf[list(keys)].assign(i=i, j=j, part=w * f(moved, row) / (h[at, i] * h[at, j]))
 
     parts = spread.mapInPandas(run, f"{kinds(points, keys)}, i int, j int, part double")
     upper = parts.groupBy(*keys, "i", "j").agg(F.sum("part").alias("value"))
@@ -378,3 +379,74 @@ def draws_of(states: DataFrame, key: str) -> DataFrame:
     """The kept draws of chains, numbered from 0: key, draw, x, logpost, accepted."""
     kept = states.where("kept")
     return kept.select(key, F.expr(f"cast(row_number() over (partition by `{key}` order by sweep) - 1 as long)").alias("draw"), "x", "logpost", "accepted")
+
+
+# Orchestration --------------------------------------------------------------------------
+
+
+def refreshed(rows: DataFrame, keys: Sequence[str], model: Model, names: Sequence[str], data: np.ndarray, log_prior: Objective | None = None, method: str = "directions", tolerance: float = 1e-8) -> DataFrame:
+    """rows' parameters with the named ones moved to where the posterior given the others is highest; value and settled beside them."""
+    rest = [p for p in model.parameters if p not in names]
+    points = rows.select(*keys, F.array(*[F.col(n).cast("double") for n in names]).alias("x"), *rest)
+    out = optima(points, keys, posterior(model, names, data, log_prior), rest, method, tolerance=tolerance)
+    return out.join(rows.select(*keys, *rest), list(keys)).select(*keys, *[F.col("x")[i].alias(n) for i, n in enumerate(names)], *rest, "value", "settled")
+
+
+def replayed(trace: DataFrame, keys: Sequence[str], model: Model, data: np.ndarray, log_prior: Column, count_from: int = 0) -> DataFrame:
+    """A trace's rows (keys, the model's parameters, recorded) with the log posterior computed anew, its two parts, and how far it lies from what was recorded."""
+    like = log_likelihoods(trace, [*keys, "recorded", *[p for p in model.parameters if p not in keys]], model, data, count_from=count_from)
+    both = like.select(*keys, "recorded", "loglik", log_prior.alias("log_prior"))
+    total = F.col("loglik") + F.col("log_prior")
+    return both.withColumn("replay", total).withColumn("offset", total - F.col("recorded"))
+
+
+def replay_report(replays: DataFrame, by: Sequence[str], atol: float, rtol: float) -> DataFrame:
+    """by, rows, mean and deviation of the finite offsets, the largest, and whether all are close, by the replayed value's size."""
+    finite = F.when(F.abs("offset") < F.lit(float("inf")), F.col("offset"))
+    close = F.coalesce((F.col("replay") == F.col("recorded")) | (F.abs("offset") <= atol + rtol * F.abs("replay")), F.lit(False))
+    return replays.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(finite).alias("offset_mean"), F.stddev_pop(finite).alias("offset_sd"), F.max(F.abs("offset")).alias("max_abs"), F.min(close.cast("int")).cast("boolean").alias("passed"))
+
+
+class Estimate(NamedTuple):
+    """The mode (key, x, value), the Hessian there (key, i, j, value) and covariance, and chains from it, as far as they were asked for."""
+
+    mode: DataFrame
+    hessian: DataFrame | None
+    covariance: np.ndarray | None
+    states: DataFrame | None
+
+
+def estimate(starts: DataFrame, key: str, objective: Objective, size: int, context: Sequence[str] = (), method: str | None = None, mode: DataFrame | None = None, step: float | None = None, jitter: float = 0.0, covariance: np.ndarray | None = None, draws: int = 0, seed: int | None = None, **sampling) -> Estimate:
+    """From starts (key, x and the context) to a mode, the proposal's covariance and chains.
+
+    The mode is either searched for by a method or given (key, x, value), never both. The
+    covariance is either given or taken from the Hessian at the highest mode, of which only
+    the size x size cells reach the driver. Chains, one a start's key, begin at the highest mode.
+    """
+    if (method is None) == (mode is None):
+        raise ValueError("either a method searches for the mode or it is given")
+    if covariance is not None and step is not None:
+        raise ValueError("either a covariance is given or a Hessian's step")
+    if draws < 0 or (draws and covariance is None and step is None):
+        raise ValueError("draws need a covariance or a Hessian's step")
+    if draws and seed is None:
+        raise ValueError("draws need a seed")
+    if not draws and sampling:
+        raise ValueError(f"without draws there is nothing to set: {sorted(sampling)}")
+    if mode is None:
+        mode = written(optima(starts, [key], objective, context, method).select(key, "x", "value"), "mode")
+    best = mode.orderBy(F.col("value").desc(), key).limit(1)
+    hessian = None
+    if step is not None:
+        at = best.select(key, "x").join(starts.select(key, *[c for c in context if c != key]), key)
+        hessian = written(hessians(at, [key], objective, size, context, step), "hessian")
+        cells = np.full((size, size), np.nan)
+        for r in hessian.collect():  # size x size cells of one mode
+            cells[r.i, r.j] = np.nan if r.value is None else r.value
+        covariance = proposal_covariance(cells, jitter)
+    states = None
+    if draws:
+        x = best.first().x
+        from_best = starts.drop("x").withColumn("x", F.array(*map(F.lit, x)))
+        states = chains(from_best, key, objective, Sampler(covariance, draws, seed, **sampling), context)
+    return Estimate(mode, hessian, covariance, states)

@@ -147,13 +147,31 @@ def _matrix(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
     return pdf[list(columns)].astype(float).to_numpy()
 
 
-def filter_groups(df: DataFrame, key: str, order: str, columns: Sequence[str], system: System, smooth: bool = False) -> DataFrame:
-    """Filtered (and smoothed) states of every group: key, t, loglik, state, cov[, smooth_state]."""
-    kind = dict(df.dtypes)[key]
+def filter_groups(df: DataFrame, key: str, order: str, columns: Sequence[str], system: System, smooth: bool = False, noise: DataFrame | None = None) -> DataFrame:
+    """Filtered (and smoothed) states of every group: key, t, loglik, state, cov[, smooth_state].
+
+    noise has cells (order, i, j, value) of the shocks' covariance of periods where it isn't
+    the system's own; a period's cells are bounded by the system and travel with its rows.
+    """
+    kind, timed = dict(df.dtypes)[key], noise is not None
+    if timed:
+        own = noise.groupBy(order).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("value"))).alias("_q"))
+        df = df.join(own, order, "left")
+
+    def variances(pdf: pd.DataFrame) -> list[np.ndarray] | None:
+        if not timed:
+            return None
+        out = []
+        for cells in pdf["_q"]:
+            q = system.Q if cells is None else np.zeros_like(system.Q)
+            for c in cells if cells is not None else ():
+                q[c["i"], c["j"]] = c["value"]
+            out.append(system.R @ q @ system.R.T)
+        return out
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        f = filtered(system, _matrix(pdf, columns))
+        f = filtered(system, _matrix(pdf, columns), noise=variances(pdf))
         out = pd.DataFrame({key: pdf[key].to_numpy(), "t": np.arange(len(pdf)), "loglik": f["loglik"], "state": list(f["state"]), "cov": [x.ravel() for x in f["cov"]]})
         out["smooth_state"] = list(smoothed(system, f)[0]) if smooth else None
         return out
@@ -161,7 +179,7 @@ def filter_groups(df: DataFrame, key: str, order: str, columns: Sequence[str], s
     return df.groupBy(key).applyInPandas(kernel, f"{key} {kind}, t int, loglik double, state array<double>, cov array<double>, smooth_state array<double>")
 
 
-def sampled_forecasts(spark: SparkSession, system: System, s0: np.ndarray, horizon: int, draws: int, seed: int) -> DataFrame:
+def sampled_forecasts(spark: SparkSession, system: System, s0: np.ndarray, horizon: int, draws: int, seed: int, partitions: int | None = None) -> DataFrame:
     """(draw, h, variable, value): each draw's shocks depend on (seed, draw) alone, not on partitions."""
     root = np.linalg.cholesky(system.Q + 1e-300 * np.eye(len(system.Q))) if system.Q.any() else np.zeros_like(system.Q)
 
@@ -173,7 +191,7 @@ def sampled_forecasts(spark: SparkSession, system: System, s0: np.ndarray, horiz
             d, h, v = np.meshgrid(ids, np.arange(horizon), np.arange(len(system.Z)), indexing="ij")
             yield pd.DataFrame({"draw": d.ravel(), "h": h.ravel(), "variable": v.ravel(), "value": y.ravel()})
 
-    return spark.range(draws).mapInPandas(kernel, "draw long, h int, variable int, value double")
+    return spark.range(draws, numPartitions=partitions).mapInPandas(kernel, "draw long, h int, variable int, value double")
 
 
 def decompose_groups(df: DataFrame, key: str, order: str, columns: Sequence[str], system: System) -> DataFrame:

@@ -95,23 +95,49 @@ def pairs(spark, sf_dir):
     return y.select("series", "quarter_idx", F.when(F.col("quarter_idx") % 5 != 0, F.col("a")).alias("a"), "b")
 
 
-@query()
+PAIR_SQL = """with recursive q as (select l_returnflag as series, (year(l_shipdate) * 4 + quarter(l_shipdate))::int as quarter_idx, avg(l_discount) * 10 as a, avg(l_tax) * 10 as b from lineitem group by all),
+y as (select series, case when quarter_idx % 5 <> 0 then a end as a, b, row_number() over (partition by series order by quarter_idx) as t from q),
+f(series, t, s1, s2, p11, p12, p22, r1, r2, v11, v12, v22, ll) as (
+  select series, 0::bigint, 0::double, 0::double, (0.14 * (0.05 * 0.12 / 0.65) + 0.01 * 0.12 + 0.04) / 0.51, 0.05 * 0.12 / 0.65, 0.12::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double from (select distinct series from y)
+  union all
+  select series, t, r1 + g1a * ea + g1b * eb, r2 + g2a * ea + g2b * eb,
+    v11 - g1a * v11 - g1b * (0.5 * v11 + v12), v12 - g1a * v12 - g1b * (0.5 * v12 + v22), v22 - g2a * v12 - g2b * (0.5 * v12 + v22), r1, r2, v11, v12, v22, ll
+  from (select *, case when a is null then 0 else (v11 * fbb - zb1 * fab) / det end as g1a, case when a is null then zb1 / fbb else (zb1 * faa - v11 * fab) / det end as g1b,
+      case when a is null then 0 else (v12 * fbb - zb2 * fab) / det end as g2a, case when a is null then zb2 / fbb else (zb2 * faa - v12 * fab) / det end as g2b,
+      case when a is null then -0.5 * (ln(2 * pi()) + ln(fbb) + eb * eb / fbb) else -0.5 * (2 * ln(2 * pi()) + ln(det) + (ea * ea * fbb - 2 * ea * eb * fab + eb * eb * faa) / det) end as ll
+    from (select *, faa * fbb - fab * fab as det from (select *, v11 + 0.01 as faa, zb1 as fab, 0.5 * zb1 + zb2 + 0.02 as fbb, coalesce(a - r1, 0) as ea, b - 0.5 * r1 - r2 as eb from (select *, 0.5 * v11 + v12 as zb1, 0.5 * v12 + v22 as zb2 from (
+      select y.series, y.t, y.a, y.b, 0.7 * s1 + 0.1 * s2 as r1, 0.5 * s2 as r2, 0.49 * p11 + 0.14 * p12 + 0.01 * p22 + 0.04 as v11, 0.35 * p12 + 0.05 * p22 as v12, 0.25 * p22 + 0.09 as v22 from f join y on y.series = f.series and y.t = f.t + 1))))) as x),
+b(series, t, s1, s2) as (
+  select f.series, f.t, f.s1, f.s2 from f join (select series, max(t) as t from f group by 1) n using (series, t)
+  union all
+  select b.series, f.t, f.s1 + (j11 * i11 + j12 * i12) * d1 + (j11 * i12 + j12 * i22) * d2, f.s2 + (j21 * i11 + j22 * i12) * d1 + (j21 * i12 + j22 * i22) * d2
+  from b join (select f.*, 0.7 * f.p11 + 0.1 * f.p12 as j11, 0.5 * f.p12 as j12, 0.7 * f.p12 + 0.1 * f.p22 as j21, 0.5 * f.p22 as j22, n.r1 as n1, n.r2 as n2,
+      n.v22 / (n.v11 * n.v22 - n.v12 * n.v12) as i11, -n.v12 / (n.v11 * n.v22 - n.v12 * n.v12) as i12, n.v11 / (n.v11 * n.v22 - n.v12 * n.v12) as i22 from f join f n on n.series = f.series and n.t = f.t + 1 where f.t > 0) f
+    on f.series = b.series and f.t = b.t - 1, lateral (select b.s1 - f.n1 as d1, b.s2 - f.n2 as d2))"""
+
+
+@query(PAIR_SQL + """ select f.series, (f.t - 1)::int as t, round(ll, 5) as loglik, round(f.s1, 5) as s1, round(f.s2, 5) as s2, round(p11, 5) as p11, round(p12, 5) as p12, round(p22, 5) as p22, round(b.s1, 5) as smooth1, round(b.s2, 5) as smooth2 from f join b using (series, t)""")
 def kalman_multivariate(spark, sf_dir):
     """Two observables with gaps, every group filtered and smoothed in one pass."""
-    return statespace.filter_groups(pairs(spark, sf_dir), "series", "quarter_idx", ["a", "b"], PAIR, smooth=True)
+    out = statespace.filter_groups(pairs(spark, sf_dir), "series", "quarter_idx", ["a", "b"], PAIR, smooth=True)
+    cells = {"s1": ("state", 0), "s2": ("state", 1), "p11": ("cov", 0), "p12": ("cov", 1), "p22": ("cov", 3), "smooth1": ("smooth_state", 0), "smooth2": ("smooth_state", 1)}
+    return out.select("series", "t", F.round("loglik", 5).alias("loglik"), *[F.round(F.col(c)[k], 5).alias(n) for n, (c, k) in cells.items()])
 
 
-@query()
+@query(
+    PAIR_SQL
+    + """, e as (select b.series, b.t, b.s1 - 0.7 * l.s1 - 0.1 * l.s2 as e1, b.s2 - 0.5 * l.s2 as e2 from b join b l on l.series = b.series and l.t = b.t - 1),
+c(series, t, b1, b2, x1, x2, z1, z2) as (
+  select series, t, s1, s2, 0::double, 0::double, 0::double, 0::double from b where t = 1
+  union all select c.series, e.t, 0.7 * b1 + 0.1 * b2, 0.5 * b2, 0.7 * x1 + 0.1 * x2 + e1, 0.5 * x2, 0.7 * z1 + 0.1 * z2, 0.5 * z2 + e2 from c join e on e.series = c.series and e.t = c.t + 1),
+o as (select *, unnest([0, 1]) as variable from c join y using (series, t)),
+p as (select series, t, variable, unnest([-1, 0, 1]) as driver, unnest(case variable when 0 then [b1, x1, z1] else [0.5 * b1 + b2, 0.5 * x1 + x2, 0.5 * z1 + z2] end) as value, case variable when 0 then a else b end as y from o),
+r as (select series, t, variable, 2 as driver, any_value(y) - sum(value) as value from p group by series, t, variable)
+select series, (t - 1)::int as t, variable, driver, round(value, 5) + 0.0 as value from (select series, t, variable, driver, value from p union all select * from r)"""
+)
 def historical_decomposition(spark, sf_dir):
-    return statespace.decompose_groups(pairs(spark, sf_dir), "series", "quarter_idx", ["a", "b"], PAIR)
-
-
-@query()
-def sampled_forecast_bands(spark, sf_dir):
-    """2,000 sampled paths, then exact quantile bands in Spark."""
-    from ..operators.bands import bands
-
-    return bands(statespace.sampled_forecasts(spark, PAIR, np.array([1.0, -0.5]), 12, 2000, 42), ["h", "variable"], "value")
+    out = statespace.decompose_groups(pairs(spark, sf_dir), "series", "quarter_idx", ["a", "b"], PAIR)
+    return out.withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 @query()

@@ -117,8 +117,7 @@ def rho_prior():
     return T.log_prior(F.lit("normal"), "rho", *map(F.lit, PRIOR), F.lit(T.prior_normaliser("normal", *PRIOR)))
 
 
-@query(
-    f"""with recursive {BASE}, o as (select t, y from y where series = '1-URGENT'),
+POSTERIORS = f"""with recursive {BASE}, o as (select t, y from y where series = '1-URGENT'),
 d as (select s_suppkey, s_suppkey % 40 / 50.0::double as rho, 0.05 + s_suppkey % 7 / 20.0::double as sigma, 0.05 + s_suppkey % 3 / 10.0::double as noise from supplier),
 f(s_suppkey, rho, q, e, t, s, p, ll) as (
   select s_suppkey, rho, sigma * sigma, noise * noise, 0::bigint, 0::double, sigma * sigma / (1 - rho * rho), 0::double from d
@@ -126,9 +125,11 @@ f(s_suppkey, rho, q, e, t, s, p, ll) as (
   select s_suppkey, rho, q, e, o.t, case when y is null then rho * s else rho * s + (rho * rho * p + q) / (rho * rho * p + q + e) * (y - 1.4 - rho * s) end,
    case when y is null then rho * rho * p + q else (rho * rho * p + q) * e / (rho * rho * p + q + e) end,
    ll + case when y is null then 0 else -0.5 * (ln(2 * pi()) + ln(rho * rho * p + q + e) + (y - 1.4 - rho * s) ** 2 / (rho * rho * p + q + e)) end
-  from f join o on o.t = f.t + 1)
-select s_suppkey, round(ll, 4) as loglik, round(ll - 0.5 * ((rho - {PRIOR[0]}) / {PRIOR[1]}) ** 2 - ln({PRIOR[1]}) - 0.5 * ln(2 * pi()), 4) as log_posterior from f where t = (select max(t) from o)"""
-)
+  from f join o on o.t = f.t + 1),
+lp as (select s_suppkey, ll - 0.5 * ((rho - {PRIOR[0]}) / {PRIOR[1]}) ** 2 - ln({PRIOR[1]}) - 0.5 * ln(2 * pi()) as v from f where t = (select max(t) from o))"""
+
+
+@query(POSTERIORS + f" select s_suppkey, round(v + 0.5 * ((rho - {PRIOR[0]}) / {PRIOR[1]}) ** 2 + ln({PRIOR[1]}) + 0.5 * ln(2 * pi()), 4) as loglik, round(v, 4) as log_posterior from lp join d using (s_suppkey)")
 def log_posterior_kalman(spark, sf_dir):
     """The posterior of every draw's system by one filter over a batch of draws."""
     d = draws(spark, sf_dir)
@@ -136,6 +137,29 @@ def log_posterior_kalman(spark, sf_dir):
     return like.select("s_suppkey", F.round("loglik", 4).alias("loglik"), F.round(F.col("loglik") + rho_prior(), 4).alias("log_posterior"))
 
 
+@query(
+    POSTERIORS
+    + """, r as (select 'proposal' as field, v, s_acctbal / 100 as recorded from lp join supplier using (s_suppkey) union all select 'previous', lp.v, n.s_acctbal / 100 from lp join supplier n on n.s_suppkey = lp.s_suppkey + 1)
+select field, count(*) as n, round(avg(v - recorded), 3) as offset_mean, round(stddev_pop(v - recorded), 3) as offset_sd, round(max(abs(v - recorded)), 3) as max_abs, false as passed from r group by field"""
+)
+def posterior_replay(spark, sf_dir):
+    """Posteriors of saved proposals and of what they were proposed from, computed anew and held against what was recorded."""
+    d = draws(spark, sf_dir)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).cast("double").alias("recorded"))
+    before = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), "recorded")
+    trace = d.join(s, "s_suppkey").withColumn("field", F.lit("proposal")).unionByName(d.join(before, "s_suppkey").withColumn("field", F.lit("previous")))
+    out = estimation.replay_report(estimation.replayed(trace, ["field", "s_suppkey"], NOISY, one_series(spark, sf_dir), rho_prior()), ["field"], 1e-6, 1e-8)
+    return out.select("field", "n", *[F.round(c, 3).alias(c) for c in ("offset_mean", "offset_sd", "max_abs")], "passed")
+
+
+@query(f"with {BASE} select n_nationkey, round((select avg(y) from y where series = '1-URGENT'), 4) as mu, true as settled from nation")
+def refreshed_level(spark, sf_dir):
+    """Every nation's model with its level moved to the posterior's maximum: without persistence, the series' mean."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lit(0.0).alias("rho"), (0.1 + F.col("n_nationkey") / 50.0).alias("sigma"), (F.col("n_nationkey") / 10.0).alias("mu"), F.lit(0.1).alias("noise"))
+    out = estimation.refreshed(n, ["n_nationkey"], NOISY, ["mu"], one_series(spark, sf_dir))
+    return out.select("n_nationkey", F.round("mu", 4).alias("mu"), "settled")
+
+
 def _cubic(x, row):
     return -0.5 * (row["k"] * x[:, 0] ** 2 + 3 * x[:, 1] ** 2 + x[:, 0] * x[:, 1]) + x[:, 0] ** 3 / 6
 

@@ -112,13 +112,13 @@ def fixture_coverage(spark, sf_dir):
 
 
 @query(
-    """with a as (select c_custkey as draw, c_acctbal as x from customer), d as (select c_custkey as draw, c_acctbal + case when c_custkey % 500 = 1 then 0.5 else 0 end as x from customer where c_custkey % 700 <> 0)
-select 'logpost' as "array", count(*) as cells, (count(*) - count(d.draw))::bigint as one_sided, round(max(abs(a.x - d.x)), 6) as max_abs, false as passed from a left join d using (draw)"""
+    """with a as (select c_custkey as draw, c_acctbal as x from customer), d as (select c_custkey as draw, c_acctbal + case when c_custkey % 500 = 1 then 0.5 else 0 end as x from customer where c_custkey % 700 <> 70)
+select 'logpost' as "array", count(*) as cells, (count(*) - count(d.draw))::bigint as one_sided, false as passed, case when count(d.draw) = count(*) then round(max(abs(a.x - d.x)), 6) end as max_abs from a left join d using (draw)"""
 )
 def trace_compare(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("draw"), F.col("c_acctbal").alias("logpost"))
-    d = a.where("draw % 700 <> 0").withColumn("logpost", F.expr("logpost + case when draw % 500 = 1 then 0.5D else 0 end"))
-    return compare.compare_traces(a, d, ["draw"], ["logpost"], "forecast").select("array", "cells", "one_sided", F.round("max_abs", 6).alias("max_abs"), "passed")
+    d = a.where("draw % 700 <> 70").withColumn("logpost", F.expr("logpost + case when draw % 500 = 1 then 0.5D else 0 end"))
+    return compare.compare_traces(a, d, ["draw"], ["logpost"], "forecast").select("array", "cells", "one_sided", F.when(F.col("max_abs") < F.lit(float("inf")), F.round("max_abs", 6)).alias("max_abs"), "passed")
 
 
 @query("select n_name as machine, 'k' || (s_suppkey % 3)::varchar as kernel, s_name as backend, round(abs(s_acctbal), 2) as elapsed_seconds, s_acctbal > 0 as available from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 = 1")

@@ -193,12 +193,12 @@ def optional_null_columns(spark, sf_dir):
 
 
 @query(
-    f"""with g as ({GRID}), d as (select quarter_idx, (quarter_idx - 1) // 4 as y, (quarter_idx - 1) % 4 as q from g)
+    f"""with g as (select distinct (year(o_orderdate) * 4 + quarter(o_orderdate))::int as quarter_idx from orders), d as (select quarter_idx, (quarter_idx - 1) // 4 as y, (quarter_idx - 1) % 4 as q from g)
 select quarter_idx, y::varchar || '-Q' || (q + 1)::varchar as label, make_date(y, q * 3 + 1, 1)::date::varchar as starts, last_day(make_date(y, q * 3 + 3, 1))::date::varchar as ends,
  make_date(2000 + y % 100, 12, 15)::date::varchar as vintage from d"""
 )
 def quarter_dates(spark, sf_dir):
-    g = ingest.quarter_grid(spark, FIRST, LAST)
+    g = table(spark, sf_dir, "orders").select(quarter_index("o_orderdate").alias("quarter_idx")).distinct()
     code = F.concat(F.lpad((F.floor((F.col("quarter_idx") - 1) / 4) % 100).cast("string"), 2, "0"), F.lit("1215"))
     return g.select("quarter_idx", quarter_label("quarter_idx").alias("label"), quarter_start("quarter_idx").cast("string").alias("starts"), quarter_end("quarter_idx").cast("string").alias("ends"), vintage_date(code).cast("string").alias("vintage"))
 

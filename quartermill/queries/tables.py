@@ -168,19 +168,24 @@ def cpi_detail_residuals(spark, sf_dir):
 
 
 @query(
-    """with a as (select l_returnflag as "array", l_orderkey as i, l_linenumber as j, l_quantity as x from lineitem where l_linenumber <> 7),
-d as (select l_returnflag as "array", l_orderkey as i, l_linenumber as j, l_quantity + case when l_orderkey % 1000 = 1 then l_tax else 0 end as y from lineitem where l_linenumber <> 6),
-b as (select coalesce(a."array", d."array") as "array", coalesce(a.i, d.i) as i, coalesce(a.j, d.j) as j, x, y, a.i is not null and d.i is not null as present from a full join d on a."array" = d."array" and a.i = d.i and a.j = d.j),
-r as (select *, case when x is not distinct from y then 0 else abs(x - y) end as diff from b)
-select "array", count(*) as cells, sum(case when present then 0 else 1 end)::bigint as one_sided, round(max(diff), 6) as max_abs, round(max(diff / greatest(abs(y), 2.220446049250313e-16)), 6) as max_rel,
- arg_max(i || ',' || j, (diff, -i, -j)) filter (where diff is not null) as worst_at, bool_and(present and coalesce(diff <= 1e-8 + 1e-5 * abs(coalesce(y, 0)), false)) as passed from r group by 1"""
+    """with r as (select l_returnflag || l_linestatus as "array", l_orderkey as i, l_linenumber as j, l_quantity::double as v, l_tax::double as tax from lineitem),
+a as (select "array", i, j, v as x from r where not ("array" = 'AF' and j = 3)),
+d as (select "array", i, j, v * case when i % 100 = 1 then 1 + tax when i % 100 = 2 and "array" = 'RF' then 1.105 when i % 100 = 2 then 0.905 else 1 end as y from r where not ("array" = 'AF' and j = 4) and not ("array" = 'NF' and j = 7)),
+b as (select coalesce(a."array", d."array") as "array", coalesce(a.i, d.i) as i, coalesce(a.j, d.j) as j, x, y, a.i as ai, d.i as di, a.j as aj, d.j as dj from a full join d on a."array" = d."array" and a.i = d.i and a.j = d.j),
+f as (select *, case when x is not distinct from y then 0 when x is null or y is null then 'infinity'::double else abs(x - y) end as diff from b),
+g as (select "array", count(*) as cells, sum((ai is null or di is null)::int)::bigint as one_sided, max(diff) as max_abs, max(case when diff = 'infinity'::double then diff else diff / greatest(abs(y), 2.220446049250313e-16) end) as max_rel,
+ arg_max(i || ',' || j, (diff, -i, -j)) as worst_at, bool_and(ai is not null and di is not null and coalesce(diff <= 0.1 * abs(x), false)) as good, max(ai) = max(di) and max(aj) = max(dj) as same from f group by 1)
+select "array", case when not same then 'shape_mismatch' when good then 'passed' else 'failed' end as status, cells, one_sided, case when same and max_abs < 'infinity'::double then round(max_abs, 6) end as max_abs, case when same and max_rel < 'infinity'::double then round(max_rel, 6) end as max_rel,
+ case when same then worst_at end as worst_at, same and good as passed from g"""
 )
 def array_compare(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("array"), F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), "l_quantity", "l_tax")
-    a = rows.where("j <> 7").withColumn("value", F.col("l_quantity"))
-    d = rows.where("j <> 6").withColumn("value", F.expr("l_quantity + case when i % 1000 = 1 then l_tax else 0 end"))
-    out = compare.compare_arrays(a, d, ["i", "j"], 1e-5, 1e-8)
-    return out.withColumns({"max_abs": F.round("max_abs", 6), "max_rel": F.round("max_rel", 6)})
+    """Arrays of line items: one with holes, one of other shapes, and two whose verdict hangs on which side's value scales the tolerance."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("array"), F.col("l_orderkey").alias("i"), F.col("l_linenumber").cast("long").alias("j"), F.col("l_quantity").cast("double").alias("v"), F.col("l_tax").cast("double").alias("tax"))
+    a = rows.where("not (array = 'AF' and j = 3)").select("array", "i", "j", F.col("v").alias("value"))
+    moved = F.expr("v * case when i % 100 = 1 then 1 + tax when i % 100 = 2 and array = 'RF' then 1.105D when i % 100 = 2 then 0.905D else 1 end")
+    d = rows.where("not (array = 'AF' and j = 4) and not (array = 'NF' and j = 7)").select("array", "i", "j", moved.alias("value"))
+    out = compare.compare_arrays(a, d, ["i", "j"], 0.1, 0)
+    return out.withColumns({c: F.when(F.col(c) < F.lit(float("inf")), F.round(c, 6)) for c in ("max_abs", "max_rel")})
 
 
 @query(

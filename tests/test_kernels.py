@@ -3,16 +3,22 @@
 import numpy as np
 import pytest
 
-from quartermill.plans import estimation, linear, smoothing, statespace
+from quartermill.plans import linear, smoothing, statespace
 from quartermill.plans.statespace import System
 
 PAIR = System.of([[0.7, 0.1], [0.0, 0.5]], np.eye(2), np.diag([0.04, 0.09]), [[1.0, 0.0], [0.5, 1.0]], np.diag([0.01, 0.02]))
 
 
-def test_scalar_likelihood_of_a_known_state():
-    m = System.of(1.0, 0.0, 1.0, 1.0, 1.0)
-    f = statespace.filtered(m, np.zeros((1, 1)), (np.zeros(1), np.zeros((1, 1))))
-    assert f["total"] == pytest.approx(-0.5 * np.log(2 * np.pi))
+def test_scalar_likelihood_of_two_periods():
+    """Start N(1, 2): y1 ~ N(1.5, 0.25 * 2 + 0.3 + 0.2), then the update by its gain."""
+    m = System.of(0.5, 1.0, 0.3, 1.0, 0.2, C=[1.0])
+    f = statespace.filtered(m, np.array([[2.1], [1.0]]), (np.array([1.0]), np.array([[2.0]])))
+    s, p, total = 1.0, 2.0, 0.0
+    for y in (2.1, 1.0):
+        s, p = 0.5 * s + 1, 0.25 * p + 0.3
+        total += -0.5 * (np.log(2 * np.pi * (p + 0.2)) + (y - s) ** 2 / (p + 0.2))
+        s, p = s + p / (p + 0.2) * (y - s), p * 0.2 / (p + 0.2)
+    assert f["total"] == pytest.approx(total) and f["state"][-1] == pytest.approx(s)
 
 
 def test_missing_period_only_predicts():
@@ -112,18 +118,6 @@ def test_no_stable_solution_and_too_many():
         linear.rational_expectations(np.eye(1), np.array([[0.5]]), np.zeros(1), np.ones((1, 1)), np.ones((1, 1)))
 
 
-def test_hessian_of_a_quadratic(spark):
-    h = {(r.i, r.j): r.value for r in estimation.hessian(spark, lambda x: float(-(x[0] ** 2) - 3 * x[0] * x[1]), [0.5, -2.0], 1e-3).collect()}
-    assert h[0, 0] == pytest.approx(-2, abs=1e-5) and h[0, 1] == h[1, 0] == pytest.approx(-3, abs=1e-5) and h[1, 1] == pytest.approx(0, abs=1e-5)
-
-
-def test_chains_find_a_normal_and_repeat(spark):
-    run = lambda: estimation.chains(spark, lambda x: float(-0.5 * x @ x), [0.0], np.array([[2.0]]), 2000, 3, 5, burn=100)
-    a, b = sorted(map(tuple, run().select("chain", "draw", "x").collect())), sorted(map(tuple, run().select("chain", "draw", "x").collect()))
-    x = np.array([r[2][0] for r in a])
-    assert a == b and abs(x.mean()) < 0.15 and abs(x.std() - 1) < 0.15
-
-
 def test_samples_do_not_depend_on_partitions(spark):
-    f = lambda n: sorted(map(tuple, statespace.sampled_forecasts(spark, PAIR, np.zeros(2), 3, 20, 1).repartition(n).collect()))
-    assert f(1) == f(5)
+    f = lambda n: sorted(map(tuple, statespace.sampled_forecasts(spark, PAIR, np.zeros(2), 3, 20, 1, n).collect()))
+    assert f(1) == f(5) and len({r[3] for r in f(1)}) == 120

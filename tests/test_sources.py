@@ -85,6 +85,19 @@ def test_arrays_round_trip_and_compare(spark, tmp_path):
     assert {r.array: (r.passed, r.worst_at) for r in compare.compare_arrays(moved, b, ["i", "j"], 1e-3, 0).collect()}["y"] == (False, "0,0")
 
 
+def test_tolerance_scales_with_the_actual_value_and_shapes_come_first(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "array string, i int, value double")
+    inf, nan = float("inf"), float("nan")
+    actual = frame([("near", 0, 1.0), ("far", 0, 2.0), ("hole", 0, 1.0), ("hole", 1, nan), ("shape", 0, 1.0), ("ends", 0, inf), ("ends", 1, None), ("signs", 0, inf)])
+    desired = frame([("near", 0, 2.0), ("far", 0, 1.0), ("hole", 0, 1.0), ("hole", 1, 3.0), ("shape", 0, 1.0), ("shape", 1, 1.0), ("ends", 0, inf), ("ends", 1, nan), ("signs", 0, -inf)])
+    got = {r.array: (r.status, r.max_abs, r.max_rel) for r in compare.compare_arrays(actual, desired, ["i"], 0.5, 0).collect()}
+    assert got == {"near": ("failed", 1.0, 0.5), "far": ("passed", 1.0, 1.0), "hole": ("failed", inf, inf), "shape": ("shape_mismatch", None, None), "ends": ("passed", 0.0, 0.0), "signs": ("failed", inf, inf)}
+    assert compare.tolerance("Forecast") == (1e-8, 1e-8) and compare.tolerance("strict", rtol=0.5) == (1e-10, 0.5)
+    for bad in (("nothing",), ("strict", -1.0)):
+        with pytest.raises(ValueError):
+            compare.tolerance(*bad)
+
+
 def test_chain_diagnostics_of_constant_and_short_chains(spark):
     df = spark.createDataFrame([("c", i, 1.0) for i in range(6)] + [("s", i, float(i)) for i in range(3)], "chain string, draw int, value double")
     assert {r.chain: r.rhat for r in diagnostics.split_rhat(df, ["chain"], "draw", "value").collect()} == {"c": 1.0, "s": None}
