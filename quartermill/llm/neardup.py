@@ -8,17 +8,19 @@ shingle sets form a class first, so copies are one member of any bucket.
 
 In a bucket every member is compared with one centre only (a star), so pairs grow with the
 bucket, not with its square. Links are confirmed on full shingle sets. To lose none,
-members of buckets that are still in several components are hashed anew into FINE_BANDS
-bands of FINE_ROWS values, where texts of middling similarity part. Such a bucket stays
+members of buckets that are still in several components meet again by their rarest
+shingles: of those among them, ordered by how many hold them, a text is put under as many
+of its first as any text similar to it must share one of (rare_first), which is exact and
+keeps texts apart that share a passage and no more. Such a bucket stays
 open while its members lie in more than one component: it takes the smallest ids of its
-smallest components as centres, until one component or one member is left. A pair arises in
-the first of its common buckets alone. Those whose sketches (one bit of each of SKETCH signature values) differ in over
-unlike() bits are refuted at once: at the similarity asked for that is six standard deviations away. So every pair of a
-fine bucket is either in one component or has been confirmed or refuted.
+smallest components as centres, until one component or one member is left. Pairs whose
+places in the order leave no room for enough overlap are never made; those whose sketches
+(one bit of each of SKETCH signature values) differ in over
+unlike() bits are refuted at once: at the similarity asked for that is six standard deviations away. So every pair of an
+open bucket is either in one component or has been confirmed or refuted.
 
-At similarity 0.8 a pair misses all bands with probability (1 - 0.8^ROWS)^BANDS = 5e-6,
-all fine bands with (1 - 0.8^FINE_ROWS)^FINE_BANDS = 1.3e-5. For another similarity banding()
-chooses rows and bands that miss no more.
+At similarity 0.8 a pair misses all bands with probability (1 - 0.8^ROWS)^BANDS = 5e-6.
+For another similarity banding() chooses rows and bands that miss no more.
 
 Defined results: null, empty or blank text has no shingles, links with nothing and is
 kept; a text of fewer words than a shingle is one shingle of the whole sequence; rows that
@@ -44,8 +46,8 @@ from .shared import batches, bound_batches, cut, keyed, part_rows, restored, utf
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent
 ROWS, BANDS, SEED = 6, 40, 41
-FINE_ROWS, FINE_BANDS, CENTRES = 14, 250, 12
-SKETCH = 4096
+CENTRES = 12
+SKETCH = 1024
 CENTRE_PAIRS = 1_000  # pairs with one centre that a task takes
 PROBES = 512
 REST = 1 << 16  # hashes at a time for ranges that no probe filled
@@ -176,22 +178,33 @@ def _signatures(size: int, rows: int, count: int):
     return run
 
 
-def _fine(size: int, rows: int, count: int):
+def _marks(size: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(source):
-            n, keys, bits = [], [], []
-            for data in utf8(b):
-                marks = shingles(word_hashes(data), size)
-                values = signature(marks, max(rows * count, SKETCH))
-                n.append(len(marks))
-                keys.append(bands(values[: rows * count], rows, count))
-                bits.append(sketch(values))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rid")), pa.array(n, pa.int64()), pa.array(keys, longs), pa.array(bits, longs)], names=["rep", "n", "bands", "bits"])
+            sets = [shingles(word_hashes(data), size) for data in utf8(b)]
+            columns = [pa.array([m.view(np.int64) for m in sets], pa.list_(pa.int64())), pa.array([sketch(signature(m, SKETCH)) for m in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rid")), pa.array([len(m) for m in sets], pa.int64()), *columns], names=["rep", "n", "marks", "bits"])
 
     return run
 
 
+def rare_first(marks: DataFrame, similarity: float) -> DataFrame:
+    """(rep, n, key, at) of the shingles that a text must share one of with any text similar to it: its rarest, and their places in that order.
+
+    In one order of all shingles, here by how many texts hold them, two sets that overlap
+    enough have a first common element; it can lie no deeper in either than leaves room for
+    the rest of the overlap. What many texts share comes last, so texts that share a passage
+    but not enough else meet nowhere.
+    """
+    each = marks.select("rep", F.explode("marks").alias("mark"))
+    often = each.groupBy("mark").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = each.join(often, "mark").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "mark"))).alias("shared")).join(marks.select("rep", "n"), "rep")
+    alone = F.col("n") - F.size("shared")
+    length = F.floor(F.col("n") * F.lit((100 - similarity) / 100) + 1e-9) + 1 - alone
+    first = shared.withColumn("alone", alone).withColumn("keys", F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int")))
+    return first.select("rep", "n", "alone", F.posexplode("keys").alias("at", "k")).select("rep", "n", F.col("k.mark").alias("key"), (F.col("alone") + F.col("at")).alias("at"))
+
+
 def _confirm(size: int, similarity: int):
     """Confirms pairs on full sets; a run of pairs with one centre computes its set once."""
 
@@ -232,11 +245,11 @@ def copied(rows: DataFrame) -> DataFrame:
     return shares.join(spread, ["digest", "share"]).select("rid", "rep")
 
 
-def several(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those (key, rep, n) whose bucket has members of several components, with their label."""
-    placed = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(keys, "key")
+def several(members: DataFrame, labels: DataFrame, similarity: float = 0) -> DataFrame:
+    """Those (key, rep, n, at) whose bucket has members of several components, with their label; and that leave room for overlap with the least of them."""
+    placed = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", "at", F.coalesce("label", "rep").alias("label"))
+    keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("key", "least")
+    return placed.join(keys, "key").where(F.expr(f"{100 + similarity} * (n - at) >= {similarity} * (n + least)")).drop("least")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -270,29 +283,24 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
     links = cut(confirmed(pairs.df, texts.df, size, similarity), "confirmed").df
     labels = components(links)
     # who is still apart from another member of a bucket, its spent centre aside, is hashed anew
-    apart = several(buckets.where("rep <> centre").select("key", "rep", "n"), labels.df).select(F.col("rep").alias("rid")).distinct()
-    fine = texts.df.join(cut(apart, "apart").df, "rid").mapInArrow(_fine(size, *banding(similarity, FINE_ROWS, FINE_BANDS)), "rep long, n long, bands array<long>, bits array<long>")
-    hashed = cut(fine, "fine-signatures").df
-    fine = hashed.select("rep", "n", F.explode("bands").alias("key"))
-    shared = fine.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = cut(fine.join(shared, "key"), "fine")
-    # a text's keys that others share: a pair arises in the least key that both have
-    traits = cut(members.df.groupBy("rep").agg(F.collect_list("key").alias("keys")).join(hashed.select("rep", "bits"), "rep"), "traits")
-    members, tried, spent = members.df.select("key", "rep", "n"), [pairs], []
+    apart = several(buckets.where("rep <> centre").select("key", "rep", "n", F.lit(0).alias("at")), labels.df).select(F.col("rep").alias("rid")).distinct()
+    marks = cut(texts.df.join(cut(apart, "apart").df, "rid").mapInArrow(_marks(size), "rep long, n long, marks array<long>, bits array<long>"), "marks")
+    first = cut(rare_first(marks.df, similarity), "rare")
+    members, tried, spent = first.df, [pairs], [first]
     differ = F.aggregate(F.zip_with("bits", "centre_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    first = F.array_min(F.array_intersect("keys", "centre_keys")) == F.col("key")
+    room = F.expr(f"{100 + similarity} * least(n - at, centre_n - centre_at) >= {similarity} * (n + centre_n)")
     # conditions within the join: pairs that fail them are never made
-    may = (F.col("key") == F.col("of")) & F.expr(f"label <> centre_label and {fits}") & (differ <= unlike(similarity)) & first
+    may = (F.col("key") == F.col("of")) & F.expr(f"label <> centre_label and {fits}") & room & (differ <= unlike(similarity))
     while True:
-        left = cut(several(members, labels.df), "open")
+        left = cut(several(members, labels.df, similarity), "open")
         if not left.df.limit(1).count():
             break
-        parts = cut(left.df.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("c")), "parts")
+        parts = cut(left.df.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n", "at")).alias("c")), "parts")
         nth = F.expr("row_number() over (partition by key order by members, c)")
-        centres = parts.df.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("label").alias("centre_label"), "members")
+        centres = parts.df.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.at").alias("centre_at"), F.col("label").alias("centre_label"), "members")
         centres = cut(centres, "centres")
-        sketched = centres.df.join(traits.df.select(F.col("rep").alias("centre"), F.col("keys").alias("centre_keys"), F.col("bits").alias("centre_bits")), "centre").withColumnRenamed("key", "of")
-        new = left.df.join(traits.df, "rep").join(sketched, may).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+        sketched = centres.df.join(marks.df.select(F.col("rep").alias("centre"), F.col("bits").alias("centre_bits")), "centre").withColumnRenamed("key", "of")
+        new = left.df.join(marks.df.select("rep", "bits"), "rep").join(sketched, may).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         for old in tried:
             new = new.join(old.df, ["a", "b"], "left_anti")
         fresh = cut(new, "pairs")
@@ -305,11 +313,11 @@ def grouped(rows: DataFrame, renumbered: bool, size: int, similarity: int) -> Da
         gone = centres.df.groupBy("key").agg(F.count_if(F.col("members") == 1).alias("gone"))
         unsettled = parts.df.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).join(gone, "key").where("labels - gone > 1").select("key")
         unsettled = cut(left.df.join(unsettled, "key"), "unsettled")  # else the next join is pushed below this one
-        rest = cut(unsettled.df.join(centres.df.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n"), "rest")
+        rest = cut(unsettled.df.join(centres.df.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "at"), "rest")
         for old in (left, parts, centres, unsettled, *spent):
             old.drop()
         members, spent = rest.df, [rest]
-    for old in (left, traits, texts, *spent):
+    for old in (left, marks, texts, *spent):
         old.drop()
     own = signed.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(copies, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
     placed = own.join(labels.df.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
