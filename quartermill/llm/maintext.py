@@ -38,7 +38,10 @@ from .shared import batches, bound_batches, strings
 WORD_ENDS, LINK_ENDS, STOP_ENDS = (2, 5, 11, 24, 59), (0.0, 0.25, 0.6), (0, 1)
 PROSE, ITEMS, CELLS = frozenset(["", *"p blockquote pre figcaption".split()]), frozenset("li dd dt".split()), frozenset("td th caption".split())
 STOPS = re.compile(r"[.!?…。！？](?=\s|[\"'”’»)]|$)")
-PHRASES = re.compile(r"©|\(c\) ?\d{4}|copyright|all rights reserved|privacy policy|terms of (?:use|service)|cookie|subscribe|newsletter|sign (?:up|in)|log ?in|advertis|sponsored|share (?:this|on)|follow us|read more|skip to", re.I)
+PHRASES = (
+    "©", "(c) 19", "(c) 20", "copyright", "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "subscribe", "newsletter", "sign up", "sign in", "log in", "login",
+    "advertis", "sponsored", "share this", "share on", "follow us", "read more", "skip to",
+)
 #: Log odds of content before anything is learned, a weight for each cell of each feature.
 PRIOR = {
     "words": (-2.0, -1.2, -0.4, 0.4, 1.2, 2.0),
@@ -60,9 +63,10 @@ def cell(block: Block) -> int:
     """The feature cell of a block, numbered over the grid of SIZES."""
     words, stops = len(block.text.split()), len(STOPS.findall(block.text))
     share = min(1.0, block.linked / len(block.text))
+    low = block.text.lower()
     kind = 0 if block.tag in PROSE else 1 if block.tag in HEADINGS else 2 if block.tag in ITEMS else 3 if block.tag in CELLS else 4
     at = 0
-    for size, value in zip(SIZES, (sum(words > e for e in WORD_ENDS), sum(share > e for e in LINK_ENDS), sum(stops > e for e in STOP_ENDS), kind, PHRASES.search(block.text) is not None)):
+    for size, value in zip(SIZES, (sum(words > e for e in WORD_ENDS), sum(share > e for e in LINK_ENDS), sum(stops > e for e in STOP_ENDS), kind, any(x in low for x in PHRASES))):
         at = at * size + value
     return at
 
