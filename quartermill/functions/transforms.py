@@ -139,6 +139,18 @@ def to_line(kind, v, low, high) -> Column:
     return F.when(k == "exponential", safe_log(v)).when(k == "bounded", logit).when(k == "square", root).otherwise(v)
 
 
+def to_line_checked(kind, v, low, high) -> Column:
+    """to_line that fails the query for a value outside the parameter's domain; null stays null."""
+    line = to_line(kind, v, low, high)
+    fault = F.raise_error(F.concat(F.lit("outside its domain: "), c(v).cast("string"), F.lit(" "), c(kind)))
+    return F.when(c(v).isNull(), F.lit(None).cast("double")).when(line.isNotNull(), line).otherwise(fault.cast("double"))
+
+
+def shown(x, places: int = 3) -> Column:
+    """A number as tables show it: ties go to the even digit."""
+    return F.bround(x, places)
+
+
 def log_prior(name, x, a, b, log_norm) -> Column:
     """Log density of a prior given its two shape numbers and the log of its normaliser.
 

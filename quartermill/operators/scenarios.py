@@ -76,3 +76,20 @@ def joint_norm(shocks: DataFrame, key: str = "scenario") -> DataFrame:
 
 def components_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "scenario string, shock string, size_sd double, start int, duration int, decay double, scale double")
+
+
+def one_sided(spark: SparkSession, shocks: Sequence[str], size_sd: float = 1.0) -> DataFrame:
+    """A structural scenario a shock: it alone, once, in the first quarter (scenario, kind, h, name, value)."""
+    return spark.createDataFrame([(f"{s}_{size_sd:g}sd", "structural", 0, s, float(size_sd)) for s in shocks], "scenario string, kind string, h int, name string, value double")
+
+
+def target_conditions(targets: DataFrame, baseline: DataFrame, name: str, slope: float = 1.0, ramp: int = 4, hold: int = 4, back: int = 8) -> DataFrame:
+    """Conditions on an observable that follow from an outside variable: its path ramps from the baseline to each target and back, and moves the observable by slope.
+
+    targets has (scenario, target), baseline (h, value) of the outside variable, from 0 on; a few rows each.
+    """
+    start = baseline.where("h = 0").select(F.col("value").alias("base"))  # one row
+    horizon = baseline.agg(F.max("h")).first()[0] + 1
+    path = ramp_path(targets.crossJoin(F.broadcast(start)), horizon, ramp, hold, back).select("scenario", "h", "value")
+    away = path.join(baseline.withColumnRenamed("value", "_b"), "h")
+    return away.select("scenario", F.lit("condition").alias("kind"), "h", F.lit(name).alias("name"), (F.lit(slope) * (F.col("value") - F.col("_b"))).alias("value"))

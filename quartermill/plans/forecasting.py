@@ -144,8 +144,9 @@ def run_scenarios(conditions: DataFrame, key: str, system: System, s0: np.ndarra
     an observable's path that the shock called `policy` alone must meet; `structural`, a
     shock's own values in standard deviations; `condition`, an observable's path that the
     smallest shocks of all meet. Parts are `path` (observables beside their baseline),
-    `shock` (in standard deviations) and `summary`: largest shock, joint norm, and how far
-    the path misses what was asked. A scenario of two kinds, or an unknown name, fails.
+    `shock` (in standard deviations) and `summary`: the largest shock, the largest norm of a
+    quarter's shocks, how many deviations (of 4 and 8) either passes, and how far the path
+    misses what was asked. A scenario of two kinds, or an unknown name, fails.
     """
     sd = np.sqrt(np.clip(np.diag(system.Q), 0, None)) if deviations is None else np.asarray(deviations, float)
     base = simulated(system, s0, np.zeros((horizon, len(shocks)))) @ system.Z.T + system.D
@@ -167,13 +168,15 @@ def run_scenarios(conditions: DataFrame, key: str, system: System, s0: np.ndarra
             e = conditioned(system, s0, want, [place[1][policy]] if name == "policy" else None)
         y = simulated(system, s0, e) @ system.Z.T + system.D
         z = np.divide(e, sd, out=np.zeros_like(e), where=sd > 0)
+        single, joint = np.abs(z).max(initial=0.0), np.sqrt((z * z).sum(axis=1)).max(initial=0.0)
+        passed = max((d for d in (4.0, 8.0) if single > d or joint > d), default=0.0)
         miss = np.abs(y - want)[~np.isnan(want)].max(initial=0.0)
         h, v = np.indices(y.shape)
         g, j = np.indices(e.shape)
         parts = [
             pd.DataFrame({"part": "path", "h": h.ravel(), "name": np.array(observables, object)[v.ravel()], "value": y.ravel(), "baseline": base.ravel()}),
             pd.DataFrame({"part": "shock", "h": g.ravel(), "name": np.array(shocks, object)[j.ravel()], "value": z.ravel(), "baseline": 0.0}),
-            pd.DataFrame({"part": "summary", "h": -1, "name": ["largest shock", "joint norm", "miss"], "value": [np.abs(z).max(initial=0.0), float(np.sqrt((z * z).sum())), miss], "baseline": 0.0}),
+            pd.DataFrame({"part": "summary", "h": -1, "name": ["largest shock", "joint norm", "deviations passed", "miss"], "value": [single, joint, passed, miss], "baseline": 0.0}),
         ]
         return pd.concat(parts).assign(**{key: group[0], "kind": name})[[key, "kind", "part", "h", "name", "value", "baseline"]]
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import log_prior
+from ..operators.diagnostics import covariance_health
 
 
 def estimated(parameters: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -74,12 +75,15 @@ def random_blocks(names: DataFrame, keys: Sequence[str], blocks: int, seed: str)
 
 
 def proposal_scale(cells: DataFrame, scale: float, tolerance: float = 1e-10) -> DataFrame:
-    """A proposal covariance (key, i, j, value) times scale squared; a cell that differs from its mirror, or has none, fails the query."""
+    """A proposal covariance (key, i, j, value) times scale squared; a cell that differs from its mirror, or has none, and a matrix that isn't positive definite fail the query."""
     mirror = cells.select("key", F.col("i").alias("j"), F.col("j").alias("i"), F.col("value").alias("_m"))
     both = cells.join(mirror, ["key", "i", "j"], "left")
     same = F.coalesce(F.abs(F.col("value") - F.col("_m")) <= tolerance, F.lit(False))
     fault = F.when(~same, F.raise_error(F.concat(F.lit("not symmetric: "), F.col("key").cast("string"))).cast("string"))
-    return both.withColumn("_f", fault).where("_f is null").select("key", "i", "j", (F.col("value") * scale * scale).alias("value"))
+    sound = both.withColumn("_f", fault).where("_f is null").select("key", "i", "j", "value")
+    low = covariance_health(sound, "key").select("key", "low")
+    lost = F.when(~(F.col("low") > 0), F.raise_error(F.concat(F.lit("not positive definite: "), F.col("key").cast("string"))).cast("string"))
+    return sound.join(low, "key").withColumn("_f", lost).where("_f is null").select("key", "i", "j", (F.col("value") * scale * scale).alias("value"))
 
 
 def regime_noise(quarters: DataFrame, cells: DataFrame, silent: Sequence[str], since: int) -> DataFrame:

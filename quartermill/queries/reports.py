@@ -105,9 +105,16 @@ def folder_compare(spark, sf_dir):
     return compare.compare_folders(p.where(~F.col("array").isin("Brand#11", "Brand#12")).unionByName(extra), p, ["Brand#11", "Brand#13", "never"])
 
 
-@query("select 'sampler-trace' as profile, 'sampler/accepted' as array union all select 'sampler-proposal-trace', unnest(['sampler/accepted', 'sampler/proposal_parameters', 'sampler/previous_parameters', 'sampler/proposal_log_posterior', 'sampler/previous_log_posterior', 'sampler/uniform_draw', 'sampler/log_acceptance'])")
+HELD = ("sampler/mhparams", "sampler/fixed", "sampler/proposal_covariance", "sampler/log_posterior", "kalman/filtered_states")
+
+
+@query(
+    f"""with need as (select unnest([{", ".join(f"{{'profile': '{p}', 'array': '{a}'}}" for p, arrays in compare.COVERAGE.items() for a in arrays)}]) as n), have as (select list_extract([{", ".join(f"'{a}'" for a in HELD)}], (r_regionkey + 1)::int) as a from region)
+select n.profile as profile, n.array as "array" from need where n.array not in (select a from have)"""
+)
 def fixture_coverage(spark, sf_dir):
-    have = table(spark, sf_dir, "region").select(F.element_at(F.array(*map(F.lit, ("sampler/mhparams", "sampler/fixed", "sampler/proposal_covariance", "sampler/log_posterior", "other"))), F.expr("cast(r_regionkey + 1 as int)")).alias("array"))
+    """Arrays that the fixtures at hand lack, for each of the sixteen profiles."""
+    have = table(spark, sf_dir, "region").select(F.element_at(F.array(*map(F.lit, HELD)), F.expr("cast(r_regionkey + 1 as int)")).alias("array"))
     return compare.coverage(have)
 
 

@@ -4,8 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
-from quartermill.plans import estimation, forecasting, statespace
+from quartermill.functions import transforms as T
+from quartermill.plans import estimation, forecasting, package, posterior, statespace
 from quartermill.plans.equations import Model
 from quartermill.plans.statespace import System
 
@@ -103,7 +105,7 @@ def test_scenarios_of_each_kind(spark):
     assert np.allclose(get("s", "shock", "b"), [0, 3, 0, 0, 0]) and get("s", "summary", "largest shock")[0] == pytest.approx(3)
     assert get("c", "path", "y1")[2] - base[2, 1] == pytest.approx(-1) and get("c", "summary", "miss")[0] < 1e-9
     e = statespace.conditioned(m, s0, np.where(np.arange(10).reshape(5, 2) == 5, base - 1, np.nan))
-    assert np.allclose(get("c", "shock", "a") * 0.2, e[:, 0]) and get("c", "summary", "joint norm")[0] == pytest.approx(np.linalg.norm(e / [0.2, 0.3]))
+    assert np.allclose(get("c", "shock", "a") * 0.2, e[:, 0]) and get("c", "summary", "joint norm")[0] == pytest.approx(np.linalg.norm(e / [0.2, 0.3], axis=1).max())
     assert np.allclose(get("late", "path", "y0"), base[:, 0])
     for bad in ([("x", "policy", 0, "y0", 1.0), ("x", "structural", 0, "a", 1.0)], [("x", "policy", 0, "nobody", 1.0)], [("x", "other", 0, "y0", 1.0)]):
         with pytest.raises(PythonException):
@@ -133,3 +135,46 @@ def test_estimate_from_starts_to_draws(spark):
     for bad in ({}, {"method": "simplex", "mode": out.mode}, {"method": "simplex", "draws": 5, "seed": 1}, {"method": "simplex", "step": 1e-3, "covariance": np.eye(2)}, {"method": "simplex", "step": 1e-3, "draws": 5}, {"method": "simplex", "thin": 2}):
         with pytest.raises(ValueError):
             estimation.estimate(starts, "id", f, 2, ["a"], **bad)
+
+
+def test_packages(spark, tmp_path):
+    row = spark.createDataFrame([(1, 0.7, 0.1)], "id long, rho double, level double")
+    conditions = spark.createDataFrame([("tight", "policy", 0, "y0", 0.2), ("hit", "structural", 0, "b", 1.0)], "scenario string, kind string, h int, name string, value double")
+    cube = spark.createDataFrame([(1, d, 0, 0, d / 10) for d in range(5)], "id long, draw long, h int, shock int, value double")
+    path = str(tmp_path / "q")
+    manifest = package.quarterly_package(row, "id", TWO, DATA, 6, conditions, ["a", "b"], ["y0", "y1"], "a", path, cube, quarter="2020-Q1")
+    assert set(manifest["tables"]) == {"baseline", "bands", "history", "responses", "scenarios", "shocks", "summaries"} and manifest["quarter"] == "2020-Q1"
+    read = lambda name, at=path: spark.read.parquet(f"{at}/{name}")
+    m = one(0.7, 0.1)
+    base = statespace.simulated(m, statespace.filtered(m, DATA)["state"][-1], np.zeros((6, 2))) @ m.Z.T + m.D
+    got = {(r.h, r.variable): r.value for r in read("baseline").collect()}
+    assert got == {(h, f"y{v}"): pytest.approx(base[h, v]) for h in range(6) for v in range(2)}
+    mid = read("bands").where("h = 0 and variable = 'y0'").first()
+    assert mid["mean"] == pytest.approx(base[0, 0] + 0.2) and read("history").count() == 18
+    assert read("scenarios").where("scenario = 'tight' and h = 0 and variable = 'y0'").first().deviation == pytest.approx(0.2)
+    assert [tuple(r) for r in read("shocks").where("scenario = 'hit'").collect()] == [("hit", 0, "b", 1.0)]
+    assert read("summaries").count() == 2 and read("responses").where("mover = 1").count() == 12
+    with pytest.raises(ValueError, match="one row"):
+        package.quarterly_package(row.unionByName(row), "id", TWO, DATA, 6, conditions, ["a", "b"], ["y0", "y1"], "a", path)
+
+    level = spark.createDataFrame([(h, 4.0) for h in range(20)], "h int, value double")
+    targets = spark.createDataFrame([("five", 5.0), ("seven", 7.0)], "scenario string, target double")
+    path = str(tmp_path / "s")
+    package.study_package(row, TWO, DATA, level, targets, "y1", -0.5, ["a", "b"], ["y0", "y1"], path)
+    stress = {r.target: r for r in read("stress", path).collect()}
+    assert {t: (pytest.approx(t), 3, 3) for t in (5.0, 7.0)} == {t: (r.peak, r.peak_h, r.reached_h) for t, r in stress.items()}
+    assert {r.scenario for r in read("paths", path).collect()} == {"five", "seven", "a_1sd", "b_1sd"}
+
+
+def test_domains_definiteness_and_shown_numbers(spark):
+    v = spark.createDataFrame([("exponential", 2.0), ("bounded", None), ("plain", -1.0)], "kind string, v double")
+    line = lambda df: [r[0] for r in df.select(T.to_line_checked("kind", "v", F.lit(0.0), F.lit(1.0))).collect()]
+    assert line(v) == [pytest.approx(np.log(2.0)), None, -1.0]
+    for bad in (("exponential", -1.0), ("bounded", 1.5), ("square", -2.0)):
+        with pytest.raises(Exception, match="outside its domain"):
+            line(spark.createDataFrame([bad], v.schema))
+    assert [r[0] for r in spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "x double").select(T.shown("x", 0)).collect()] == [0.0, 2.0, 2.0]
+    cells = lambda m: spark.createDataFrame([("k", i, j, float(m[i][j])) for i in range(2) for j in range(2)], "key string, i int, j int, value double")
+    assert posterior.proposal_scale(cells([[2, 1], [1, 2]]), 2.0).where("value = 8").count() == 2
+    with pytest.raises(Exception, match="not positive definite"):
+        posterior.proposal_scale(cells([[1, 2], [2, 1]]), 1.0).collect()
