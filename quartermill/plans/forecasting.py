@@ -47,6 +47,15 @@ def paths(s: Systems, s0: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.nda
     return states @ s.Z.transpose(0, 2, 1) + s.D[:, None], states
 
 
+def responses_many(s: Systems, horizon: int) -> np.ndarray:
+    """Observables' responses to one deviation of each shock: rows x periods x observables x shocks."""
+    at, out = s.R * np.sqrt(np.clip(np.diagonal(s.Q, axis1=1, axis2=2), 0, None))[:, None], []
+    for _ in range(horizon):
+        out.append(s.Z @ at)
+        at = s.T @ at
+    return np.stack(out, axis=1) if out else np.zeros((len(at), 0, s.Z.shape[1], at.shape[2]))
+
+
 def _long(values: np.ndarray, head: pd.DataFrame, part: str, first: int = 0) -> pd.DataFrame:
     """rows x periods x variables as a table, each row's head repeated."""
     rows, periods, m = values.shape

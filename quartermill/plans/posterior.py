@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.transforms import log_prior
 from ..operators.diagnostics import covariance_health
+from ..session import bounded
+
+#: Rows of a side that every row of the other meets.
+MAX_POINTS = 100_000
 
 
 def estimated(parameters: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -41,7 +45,7 @@ def ar1_loglik(rows: DataFrame, series: Sequence[str], order: str, value: str, p
     sums = pairs.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), F.sum(y * y).alias("yy"), F.sum(y * z).alias("yz"), F.sum(z * z).alias("zz"))
     squares = F.col("yy") - 2 * F.col("rho") * F.col("yz") + F.col("rho") * F.col("rho") * F.col("zz")
     loglik = -F.col("n") / 2 * F.ln(2 * F.pi() * F.col("sigma") * F.col("sigma")) - squares / (2 * F.col("sigma") * F.col("sigma"))
-    return sums.crossJoin(points).select(*series, "point", "rho", "sigma", loglik.alias("loglik"))
+    return sums.crossJoin(bounded(points, MAX_POINTS, "points")).select(*series, "point", "rho", "sigma", loglik.alias("loglik"))
 
 
 def mvn_logpdf(x: str, mean: str, cov: str) -> Column:
@@ -89,7 +93,7 @@ def proposal_scale(cells: DataFrame, scale: float, tolerance: float = 1e-10) ->
 def regime_noise(quarters: DataFrame, cells: DataFrame, silent: Sequence[str], since: int) -> DataFrame:
     """Covariance cells (shock_i, shock_j, value) per quarter: before `since`, rows and columns of the silent shocks are 0. Both sides are dimension tables."""
     off = (F.col("quarter_idx") < since) & (F.col("shock_i").isin(*silent) | F.col("shock_j").isin(*silent))
-    return quarters.crossJoin(cells).select("quarter_idx", "shock_i", "shock_j", F.when(off, F.lit(0.0)).otherwise(F.col("value")).alias("value"))
+    return quarters.crossJoin(bounded(cells, MAX_POINTS, "covariance cells")).select("quarter_idx", "shock_i", "shock_j", F.when(off, F.lit(0.0)).otherwise(F.col("value")).alias("value"))
 
 
 def split_history(data: DataFrame, forecast_start: int | None = None, conditional: int = 0, order: str = "quarter_idx") -> DataFrame:
@@ -103,20 +107,27 @@ def split_history(data: DataFrame, forecast_start: int | None = None, conditiona
 
 
 def parameter_forecasts(draws: DataFrame, key: str, names: Sequence[str], build: Callable[[dict], tuple], horizon: int) -> DataFrame:
-    """Paths of every draw's own system: build gives (T, C, Z, D, s0) of a draw's parameters; a draw without a solution has no rows."""
+    """Paths of every draw's own system: build gives (T, C, Z, D, s0), stacked, of the draws' parameters as arrays.
+
+    A draw whose system isn't finite has one row without h, variable and value.
+    """
 
     def run(parts):
         for pdf in parts:
-            out = []
-            for row in pdf.itertuples(index=False):
-                try:
-                    t, c, z, d, s = build({n: getattr(row, n) for n in names})
-                except np.linalg.LinAlgError:
-                    continue
-                for h in range(horizon):
-                    s = t @ s + c
-                    out += [(getattr(row, key), h, i, float(v)) for i, v in enumerate(z @ s + d)]
-            yield pd.DataFrame(out, columns=[key, "h", "variable", "value"])
+            if not len(pdf):
+                continue
+            found = [np.asarray(x, float) for x in build({n: pdf[n].to_numpy(float) for n in names})]
+            good = np.all([np.isfinite(x).reshape(len(pdf), -1).all(axis=1) for x in found], axis=0)
+            t, c, z, d, s = (x[good] for x in found)
+            values = np.empty((len(s), horizon, z.shape[1]))
+            for h in range(horizon):
+                s = (t @ s[..., None])[..., 0] + c
+                values[:, h] = (z @ s[..., None])[..., 0] + d
+            row, h, v = (x.ravel() for x in np.indices(values.shape))
+            own = pdf[key].to_numpy()
+            yield pd.DataFrame({key: own[good][row], "h": h, "variable": v, "value": values.ravel()})
+            if not good.all():
+                yield pd.DataFrame({key: own[~good], "h": None, "variable": None, "value": None})
 
     kind = draws.schema[key].dataType.simpleString()
     return draws.select(key, *names).mapInPandas(run, f"{key} {kind}, h int, variable int, value double")
@@ -125,19 +136,21 @@ def parameter_forecasts(draws: DataFrame, key: str, names: Sequence[str], build:
 def expectations(systems: DataFrame, key: str, ahead: int) -> DataFrame:
     """Cells of T^k and of the constant C + T C + ... + T^(k-1) C, and of both summed over 1 to k, for k up to `ahead`; systems have t (row by row) and c."""
 
+    def of_size(pdf: pd.DataFrame, n: int):
+        c = np.stack([np.asarray(x, float) for x in pdf["c"]])
+        t = np.stack([np.asarray(x, float) for x in pdf["t"]]).reshape(-1, n, n)
+        row, i, j = (x.ravel() for x in np.indices(t.shape))
+        power, constant, sums, constants = np.broadcast_to(np.eye(n), t.shape), np.zeros_like(c), np.zeros_like(t), np.zeros_like(c)
+        for k in range(1, ahead + 1):
+            constant, power = constant + (power @ c[..., None])[..., 0], power @ t
+            sums, constants = sums + power, constants + constant
+            yield pd.DataFrame({key: pdf[key].to_numpy()[row], "k": k, "i": i, "j": j, "power": power.ravel(), "constant": constant[row, i], "power_sum": sums.ravel(), "constant_sum": constants[row, i]})
+
     def run(parts):
         for pdf in parts:
-            out = []
-            for row in pdf.itertuples(index=False):
-                c = np.asarray(row.c, float)
-                n = len(c)
-                t = np.asarray(row.t, float).reshape(n, n)
-                power, constant, sums, constants = np.eye(n), np.zeros(n), np.zeros((n, n)), np.zeros(n)
-                for k in range(1, ahead + 1):
-                    power, constant = power @ t, constant + power @ c
-                    sums, constants = sums + power, constants + constant
-                    out += [(getattr(row, key), k, i, j, power[i, j], constant[i], sums[i, j], constants[i]) for i in range(n) for j in range(n)]
-            yield pd.DataFrame(out, columns=[key, "k", "i", "j", "power", "constant", "power_sum", "constant_sum"])
+            sizes = pdf["c"].map(len)
+            for n in sorted(set(sizes)):  # systems of one size are worked on together
+                yield from of_size(pdf[sizes == n], n)
 
     kind = systems.schema[key].dataType.simpleString()
     return systems.select(key, "t", "c").mapInPandas(run, f"{key} {kind}, k int, i int, j int, power double, constant double, power_sum double, constant_sum double")

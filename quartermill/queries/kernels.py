@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import transforms as T
 from ..functions.quarters import quarter_index
 from ..plans import statespace
-from ..plans.linear import rational_expectations
+from ..plans.equations import Model, solutions
+from ..plans.forecasting import responses_many
+from ..plans.likelihood import Systems
 from .registry import query, table
 
 Q = "(year(o_orderdate) * 4 + quarter(o_orderdate))::int"
@@ -74,15 +74,15 @@ def ar1_forecast(spark, sf_dir):
 
 @query("select p_partkey, h::int as h, 0 as variable, 0 as shock, round(0.5 * (p_size / 61.7::double) ** h, 6) as response from part, generate_series(0, 11) as g(h)")
 def ar1_irf(spark, sf_dir):
-    """Responses to one deviation of the shock, a system a part."""
+    """Responses to one deviation of the shock, a system a part, all of a batch at once."""
 
     def kernel(batches):
         for pdf in batches:
-            out = []
-            for key, rho in zip(pdf["p_partkey"], pdf["rho"]):
-                r = statespace.responses(replace(AR, T=np.array([[rho]])), 12)
-                out += [(key, h, v, k, float(r[h, v, k])) for h in range(12) for v in range(r.shape[1]) for k in range(r.shape[2])]
-            yield type(pdf)(out, columns=["p_partkey", "h", "variable", "shock", "response"])
+            one = np.ones((len(pdf), 1, 1))
+            systems = Systems(pdf["rho"].to_numpy(float)[:, None, None], one, one[:, 0] * 0, one * 0.25, one, one[:, 0] * 0, one * 0)
+            r = responses_many(systems, 12)
+            row, h, v, k = (x.ravel() for x in np.indices(r.shape))
+            yield type(pdf)({"p_partkey": pdf["p_partkey"].to_numpy()[row], "h": h, "variable": v, "shock": k, "response": r.ravel()})
 
     systems = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 61.7).alias("rho"))
     kind = systems.schema["p_partkey"].dataType.simpleString()
@@ -148,23 +148,17 @@ def conditioning_lstsq(spark, sf_dir):
     return statespace.condition_groups(t, "scenario", PAIR, np.zeros(2))
 
 
+#: Cells of a forward-looking pair: states x, E x(+1), z.
+FORWARD = (("g0", 0, 0, "1"), ("g0", 0, 1, "-0.9"), ("g0", 0, 2, "-1"), ("g0", 1, 0, "1"), ("g0", 2, 2, "1"), ("g1", 1, 1, "1"), ("g1", 2, 2, "rho"), ("psi", 2, 0, "1"), ("pi", 1, 0, "1"))
+
+
 @query("select p_partkey, round(p_size / 60.0::double, 6) as t, round(1 / (1 - 0.9 * p_size / 60.0::double), 6) as r from part")
 def forward_looking_solve(spark, sf_dir):
     """x = 0.9 E[x(+1)] + z, z = rho z(-1) + e, a system a part: x responds 1 / (1 - 0.9 rho) to e."""
-
-    def kernel(batches):
-        g0 = np.array([[1.0, -0.9, -1.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
-        for pdf in batches:
-            out = []
-            for key, rho in zip(pdf["p_partkey"], pdf["rho"]):
-                g1 = np.array([[0.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, rho]])
-                t, r, _ = rational_expectations(g0, g1, np.zeros(3), np.array([[0.0], [0.0], [1.0]]), np.array([[0.0], [1.0], [0.0]]))
-                out.append((key, float(t[2, 2]), float(r[0, 0])))
-            yield type(pdf)(out, columns=["p_partkey", "t", "r"])
-
-    systems = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 60.0).alias("rho"))
-    kind = systems.schema["p_partkey"].dataType.simpleString()
-    return systems.mapInPandas(kernel, f"p_partkey {kind}, t double, r double").withColumns({"t": F.round("t", 6), "r": F.round("r", 6)})
+    model = Model({"states": 3, "shocks": 1, "errors": 1}, FORWARD, ("rho",))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 60.0).alias("rho"))
+    out = solutions(rows, ["p_partkey"], model).where("exists = 1 and unique = 1")
+    return out.select("p_partkey", F.round(F.element_at("t", 9), 6).alias("t"), F.round(F.element_at("r", 1), 6).alias("r"))
 
 
 @query("select p_partkey, round(0.5 * 2.0 * (p_size - 25) / 10.0, 6) as z, round(exp(-0.5 * ((p_size - 25) / 10.0) ** 2) / sqrt(2 * pi()), 6) as density from part")

@@ -136,7 +136,8 @@ select draw, h::int as h, 0 as variable, round(s0 * rho ** (h + 1) + 0.1 * (1 -
 )
 def parameter_draw_forecasts(spark, sf_dir):
     d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("draw"), (F.col("p_size") / 60.0).alias("rho"), (F.col("p_retailprice") / 1234.567).alias("s0"))
-    build = lambda p: (np.array([[p["rho"]]]), np.array([0.1]), np.eye(1), np.zeros(1), np.array([p["s0"]]))
+    ones = lambda p, *shape: np.ones((len(p["rho"]), *shape))
+    build = lambda p: (p["rho"][:, None, None], 0.1 * ones(p, 1), ones(p, 1, 1), 0 * ones(p, 1), p["s0"][:, None])
     return posterior.parameter_forecasts(d, "draw", ["rho", "s0"], build, 8).withColumn("value", F.round("value", 6))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "quartermill") -> SparkSession:
@@ -37,3 +38,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, known to have at most so many rows, marked for broadcast; more raise before anything is joined."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what}: over {most} rows")
+    return F.broadcast(df)

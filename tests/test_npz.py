@@ -51,7 +51,7 @@ def test_modes(spark, tmp_path):
 
 
 def sampler_rows(spark):
-    rows = [(d, p, d + k / 10, np.exp(d + k / 10), -float(d), d % 2 == 0) for d in range(6) for k, p in enumerate(("b", "a"))]
+    rows = [(d, p, d + k / 10, float(np.exp(d + k / 10)), -float(d), d % 2 == 0) for d in range(6) for k, p in enumerate(("b", "a"))]
     return spark.createDataFrame(rows, "draw long, parameter string, line double, value double, logpost double, accepted boolean")
 
 
