@@ -140,12 +140,29 @@ def historical_decomposition(spark, sf_dir):
     return out.withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
-@query()
+def _conditioning_sql(first: int = 2, last: int = 5) -> str:
+    """Smallest shocks e = A' x with (A A') x = target: A A' is factored cell by cell, once, as every nation asks for one height."""
+    h = range(first, last + 1)
+    answer = lambda j, s: f"0.7 ** ({j})" if s == 0 else f"0.5 * (0.7 ** ({j}) - 0.5 ** ({j}))"  # noqa: E731  of the first state, j quarters after shock s
+    gram = [f"(select sum({' + '.join(f'({answer(f"{a} - k", s)}) * ({answer(f"{b} - k", s)})' for s in (0, 1))}) from generate_series(0, {b}) as t(k)) as g{a}{b}" for a in h for b in h if b <= a]
+    steps = []
+    for b in h:
+        steps.append(f"sqrt(g{b}{b}{''.join(f' - l{b}{c} ** 2' for c in h if c < b)}) as l{b}{b}")
+        steps += [f"(g{a}{b}{''.join(f' - l{a}{c} * l{b}{c}' for c in h if c < b)}) / l{b}{b} as l{a}{b}" for a in h if a > b]
+    steps += [f"(1{''.join(f' - l{a}{c} * y{c}' for c in h if c < a)}) / l{a}{a} as y{a}" for a in h]
+    steps += [f"(y{a}{''.join(f' - l{c}{a} * x{c}' for c in h if c > a)}) / l{a}{a} as x{a}" for a in reversed(h)]
+    sums = " + ".join(f"case when t.h <= {a} then x{a} * case s.k when 0 then {answer(f'{a} - t.h', 0)} else {answer(f'{a} - t.h', 1)} end else 0 end" for a in h)
+    return f"""with g as (select {", ".join(gram)}), f as (select {", ".join(steps)} from g)
+select n_nationkey as scenario, t.h::int as h, s.k::int as shock, round(n_nationkey / 10.0::double * ({sums}), 6) + 0.0 as value from nation, f, generate_series(0, {last}) as t(h), generate_series(0, 1) as s(k)"""
+
+
+@query(_conditioning_sql())
 def conditioning_lstsq(spark, sf_dir):
     """Smallest shocks that put each nation's path on its target, one group a nation."""
     t = table(spark, sf_dir, "nation").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(5))))
     t = t.select(F.col("n_nationkey").alias("scenario"), "h", F.lit(0).alias("variable"), F.when(F.col("h") >= 2, F.col("n_nationkey") / 10.0).alias("value"))
-    return statespace.condition_groups(t, "scenario", PAIR, np.zeros(2))
+    out = statespace.condition_groups(t, "scenario", PAIR, np.zeros(2))
+    return out.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 #: Cells of a forward-looking pair: states x, E x(+1), z.
