@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .frictions import contract
 from .likelihood import Systems
-from .schur import FAILED, solved
+from .schur import solved_many
 
 FUNCTIONS = {"exp": np.exp, "log": np.log, "sqrt": np.sqrt, "abs": np.abs, "minimum": np.minimum, "maximum": np.maximum, "premium_elasticity": lambda z, sigma, spr: contract(*np.broadcast_arrays(np.asarray(z, float), sigma, spr))["zeta_spb"]}
 ARITHMETIC = (ast.Expression, ast.BinOp, ast.UnaryOp, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.Pow, ast.USub, ast.UAdd, ast.Call, ast.Name, ast.Load, ast.Constant)
@@ -121,20 +121,13 @@ class Model:
         m = self.matrices(at)
         rows, n = m["c"].shape
         t, r, c = np.zeros((rows, n, n)), np.zeros_like(m["psi"]), np.zeros((rows, n))
-        codes = np.zeros((rows, 2), int)
-        finite = np.all([np.isfinite(x).reshape(rows, -1).all(axis=1) for x in m.values()], axis=0)
-        for k in range(rows):
-            if not finite[k]:
-                codes[k] = NOT_FINITE
-                continue
-            try:
-                found = solved(m["g0"][k], m["g1"][k], m["c"][k], m["psi"][k], m["pi"][k], method)
-            except (np.linalg.LinAlgError, ValueError):
-                codes[k] = FAILED
-                continue
-            codes[k] = found.codes
-            if found.codes[0] >= 0:
-                t[k], r[k], c[k] = found.t, found.r, found.c
+        codes = np.tile(NOT_FINITE, (rows, 1))
+        finite = np.flatnonzero(np.all([np.isfinite(x).reshape(rows, -1).all(axis=1) for x in m.values()], axis=0))
+        found = solved_many(*(m[x][finite] for x in ("g0", "g1", "c", "psi", "pi")), method)
+        codes[finite] = found.codes
+        good = found.codes[:, 0] >= 0
+        for x, y in ((t, found.t), (r, found.r), (c, found.c)):
+            x[finite[good]] = y[good]
         return Systems(t, r, c, m["q"], m["z"], m["d"], m["eps"]), codes
 
 

@@ -1,5 +1,7 @@
 """Solver, equations as data, likelihoods, optimisers and chains against closed forms and direct evaluation."""
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -83,6 +85,36 @@ def test_the_solution_solves_its_equations():
         assert np.allclose((g0 - g1) @ mean, c, atol=1e-6)
 
 
+def test_stacked_systems_are_solved_as_each_alone_and_cost_no_python_of_their_own():
+    grid = [(phi, rho, link, live) for phi in np.arange(1, 51) / 25 for rho in np.arange(9) / 10 for link in (0.0, 1.0) for live in (0.0, 1.0)]
+    many = [np.stack(x) for x in zip(*[pencil(*g) for g in grid])]
+    found = schur.solved_many(*many, method="expectations")
+    for i in range(0, len(grid), 37):
+        alone = schur.solved(*(x[i] for x in many), method="expectations")
+        assert alone.codes == tuple(found.codes[i])
+        if alone.codes[0] >= 0:
+            assert np.allclose(alone.t, found.t[i]) and np.allclose(alone.r, found.r[i]) and np.allclose(alone.c, found.c[i])
+    phi, _, link, live = np.array(grid).T
+    assert (found.codes[live == 0] == schur.COINCIDENT).all()
+    assert (found.codes[(live == 1) & (link == 1), 1] == (phi > 1)[(live == 1) & (link == 1)]).all()
+    calls, rows = [], 20
+    sys.setprofile(lambda frame, event, _: calls.append(event) if event == "call" else None)
+    try:
+        schur.solved_many(*(np.concatenate([x] * rows) for x in many), method="expectations")
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < rows * len(grid)  # less than one a system
+
+
+def test_systems_that_cannot_be_solved_leave_the_others_alone():
+    good = (np.eye(2), np.diag([0.5, 0.2]), np.ones(2), np.ones((2, 1)), np.zeros((2, 1)))
+    flat = (np.zeros((2, 2)), np.eye(2), np.ones(2), np.ones((2, 1)), np.zeros((2, 1)))
+    many = [np.stack(x) for x in zip(good, flat, good)]
+    for method in ("auto", "direct"):
+        found = schur.solved_many(*many, method=method)
+        assert found.codes[:, 0].tolist() == [1, -3, 1] and np.allclose(found.t[[0, 2]], good[1])
+
+
 # Equations -----------------------------------------------------------------------------
 
 
