@@ -29,6 +29,8 @@ ARITHMETIC = (ast.Expression, ast.BinOp, ast.UnaryOp, ast.Add, ast.Sub, ast.Mult
 MATRICES = {"g0": ("states", "states"), "g1": ("states", "states"), "c": ("states", ""), "psi": ("states", "shocks"), "pi": ("states", "errors"), "z": ("observables", "states"), "d": ("observables", ""), "q": ("shocks", "shocks"), "eps": ("observables", "observables")}
 #: A model's table is collected to the driver and sent with tasks: rows it may have.
 MAX_CELLS = 100_000
+#: Tasks a core that parameter rows are dealt to.
+SPREAD = 2
 #: No solution was tried: a coefficient isn't finite.
 NOT_FINITE = (-4, -4)
 
@@ -170,7 +172,12 @@ def per_batch(rows: DataFrame, model: Model, keep: Sequence[str], schema: str, w
             if len(pdf):
                 yield work(pdf, model.values({p: pdf[p].to_numpy(float) for p in model.parameters}))
 
-    return rows.select(*keep, *[F.col(p).cast("double").alias(p) for p in model.parameters if p not in keep]).mapInPandas(run, schema)
+    return spread(rows.select(*keep, *[F.col(p).cast("double").alias(p) for p in model.parameters if p not in keep])).mapInPandas(run, schema)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Parameter rows dealt evenly to all cores: they are narrow, so that one file, or one task's share of it, holds far more of them than one task should work on."""
+    return rows.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def kinds(rows: DataFrame, names: Sequence[str]) -> str:

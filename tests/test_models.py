@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from quartermill.plans import equations, estimation, frictions, likelihood, schur, statespace
 from quartermill.plans.equations import Model, Root
@@ -115,6 +116,13 @@ def test_systems_that_cannot_be_solved_leave_the_others_alone():
         assert found.codes[:, 0].tolist() == [1, -3, 1] and np.allclose(found.t[[0, 2]], good[1])
 
 
+def test_rows_of_one_file_are_dealt_to_all_tasks(spark):
+    m = Model({"states": 1, "shocks": 1}, (("g0", 0, 0, "1"), ("g1", 0, 0, "rho"), ("psi", 0, 0, "1")), ("rho",))
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "id / 2000D as rho")
+    out = equations.solutions(rows, ["id"], m)
+    assert out.count() == 1000 and out.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
 # Equations -----------------------------------------------------------------------------
 
 
