@@ -6,16 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .equations import Model, kinds, per_batch
+from .equations import Model, kinds, per_batch, spread
 from .likelihood import Systems
 from .statespace import System, conditioned, simulated
 
 #: How data beyond history count: not at all, as further observations, or as a path that shocks must meet exactly.
 CONDITIONS = ("none", "semi", "full")
-FORECAST = "draw long, part string, h int, variable int, value double"
 
 
 def conditioned_many(s: Systems, s0: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,29 +102,54 @@ def forecasts(rows: DataFrame, keys: Sequence[str], model: Model, data: np.ndarr
     beyond = split(data, cond, conditional)[2]
     if len(beyond) > horizon:
         raise ValueError("conditional periods exceed the horizon")
-    left, kind = horizon - len(beyond), kinds(rows, keys)
-    names, shape = list(keys), model.sizes
-    k = shape.get("shocks", 0)
-
-    def work(pdf: pd.DataFrame, at: dict) -> pd.DataFrame:
-        s, codes, good, state, met, _ = _origin(model, at, data, cond, conditional, method)
-        head = pdf[names].assign(draw=pdf["_draw"] if "_draw" in pdf else 0)
-        e = np.zeros((len(pdf), left, k))
-        if "_e" in pdf:
-            for i, cells in enumerate(pdf["_e"]):
-                for c in cells if cells is not None else ():
-                    e[i, c["h"], c["shock"]] += c["value"]
-        y, _ = paths(s, state, e[good])
-        lost = head[~good].assign(part="no solution", h=None, variable=None, value=np.nan)
-        return pd.concat([_long(met, head[good], "conditional"), _long(y, head[good], "forecast", len(beyond)), lost], ignore_index=True).astype({"h": "Int32", "variable": "Int32"})
-
-    keep = names
-    if shocks is not None:
+    left, names = horizon - len(beyond), list(keys)
+    k, m = model.sizes.get("shocks", 0), model.sizes.get("observables", 0)
+    first = 0 if cond == "full" else len(beyond)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            given = np.column_stack([batch.column(p).to_numpy(zero_copy_only=False).astype(float) for p in model.parameters])
+            e = _shocks(batch.column("_e"), left, k) if "_e" in batch.schema.names else np.zeros((batch.num_rows, left, k))
+            y, found = drawn(model, given, e, data, cond, conditional, method)
+            ends = np.concatenate([[0], np.cumsum(found)]) * (y.shape[1] * m)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(y.ravel()), mask=pa.array(~found))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in [*names, "_draw"]), lists], names=[*names, "_draw", "_y"])
+
+    given = [F.col(p).cast("double").alias(p) for p in model.parameters if p not in names]
+    if shocks is None:
+        rows = spread(rows.select(*names, *given, F.lit(0).cast("long").alias("_draw")))
+    else:
         inside = shocks.where((F.col("h") >= 0) & (F.col("h") < left))
-        cube = inside.groupBy(*names, "draw").agg(F.collect_list(F.struct(F.col("h").cast("int").alias("h"), F.col("shock").cast("int").alias("shock"), F.col("value").cast("double").alias("value"))).alias("_e")).withColumnRenamed("draw", "_draw")
-        rows, keep = rows.join(cube, names), [*names, "_draw", "_e"]
-    out = per_batch(rows, model, keep, f"{kind}, {FORECAST}", work)
-    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+        cell = F.struct(F.col("h").cast("int").alias("h"), F.col("shock").cast("int").alias("shock"), F.col("value").cast("double").alias("value"))
+        cube = inside.groupBy(*names, F.col("draw").cast("long").alias("_draw")).agg(F.collect_list(cell).alias("_e"))
+        rows = rows.select(*names, *given).join(cube, names)
+    out = rows.mapInArrow(run, f"{kinds(rows, names)}, _draw long, _y array<double>")
+    if not (horizon - first) * m:  # no period to show
+        out = out.where("_y is null")
+    h = (F.floor(F.col("_at") / max(1, m)) + first).cast("int")
+    part = F.when(F.col("_at").isNull(), "no solution").when(h < len(beyond), "conditional").otherwise("forecast")
+    out = out.select(*names, F.col("_draw").alias("draw"), F.posexplode_outer("_y").alias("_at", "value"))
+    return out.select(*names, "draw", part.alias("part"), h.alias("h"), (F.col("_at") % max(1, m)).cast("int").alias("variable"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
+def drawn(model: Model, given: np.ndarray, e: np.ndarray, data: np.ndarray, cond: str, conditional: int, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """Observables under every row's parameters and shocks, of rows with the one stable solution, and which these are; rows of the same parameters share one system and one filter."""
+    each, of = np.unique(given, axis=0, return_inverse=True)
+    s, _, good, state, met, _ = _origin(model, model.values(dict(zip(model.parameters, each.T))), data, cond, conditional, method)
+    found = good[of.ravel()]
+    at = (np.cumsum(good) - 1)[of.ravel()[found]]
+    return np.concatenate([met[at], paths(s.rows(at), state[at], e[found])[0]], axis=1), found
+
+
+def _shocks(cells: pa.ListArray, periods: int, shocks: int) -> np.ndarray:
+    """rows x periods x shocks from each row's list of (h, shock, value); cells of one place are added."""
+    flat, row = cells.flatten(), np.repeat(np.arange(len(cells)), pc.list_value_length(cells).fill_null(0).to_numpy())
+    h, shock, value = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("h", "shock", "value"))
+    if ((shock < 0) | (shock >= shocks)).any():
+        raise ValueError(f"the model has {shocks} shocks")
+    return np.bincount((row * periods + h) * shocks + shock, value, len(cells) * periods * shocks).reshape(len(cells), periods, shocks)
 
 
 def histories(rows: DataFrame, keys: Sequence[str], model: Model, data: np.ndarray, cond: str = "none", conditional: int = 0, smooth: bool = False, method: str = "auto") -> DataFrame:

@@ -51,7 +51,8 @@ def conditional_forecasts(spark, sf_dir):
 
 def cube(spark, sf_dir):
     """A path of shocks an order, each line item one of its quarters, for one parameter row."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("draw"), (F.col("l_linenumber") - 1).alias("h")).agg(F.sum((F.col("l_discount") - 0.05).cast("double") * 10).alias("value")).select(F.lit(1).cast("long").alias("s_suppkey"), "draw", "h", F.lit(0).alias("shock"), "value")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount").repartition("l_orderkey")  # once for an order's quarters and for its path
+    return items.groupBy(F.col("l_orderkey").alias("draw"), (F.col("l_linenumber") - 1).alias("h")).agg(F.sum((F.col("l_discount") - 0.05).cast("double") * 10).alias("value")).select(F.lit(1).cast("long").alias("s_suppkey"), "draw", "h", F.lit(0).alias("shock"), "value")
 
 
 @query(

@@ -2,12 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from quartermill.functions import transforms as T
-from quartermill.plans import estimation, forecasting, package, posterior, statespace
+from quartermill.plans import estimation, forecasting, likelihood, package, posterior, statespace
 from quartermill.plans.equations import Model
 from quartermill.plans.statespace import System
 
@@ -82,6 +83,31 @@ def test_cubes_of_shocks(spark, rows):
         assert np.allclose(y, statespace.simulated(m, statespace.filtered(m, DATA)["state"][-1], e) @ m.Z.T + m.D)
 
 
+def test_draws_of_one_row_share_its_system_and_filter(monkeypatch):
+    seen, filtered = [], likelihood.Systems.filtered
+    monkeypatch.setattr(likelihood.Systems, "filtered", lambda self, *a, **k: seen.append(len(self.C)) or filtered(self, *a, **k))
+    given = np.array([(0.7, 0.1), (0.2, -0.3), (np.nan, 0.0), (2.0, 0.0)] * 500)
+    e = np.random.default_rng(3).normal(size=(2000, 4, 2))
+    y, found = forecasting.drawn(TWO, given, e, DATA, "full", 2, "auto")
+    assert seen == [3]  # 1,500 before: a filter a draw
+    assert found.reshape(500, 4).tolist() == [[True, True, False, True]] * 500 and y.shape == (1500, 6, 2)
+    for i in (0, 1, 1499):  # rows with a solution, by their place among these
+        row = i // 3 * 4 + (0, 1, 3)[i % 3]
+        m = one(*given[row])
+        start = statespace.filtered(m, DATA[:7])["state"][-1]
+        both = np.vstack([statespace.conditioned(m, start, DATA[7:]), e[row]])
+        assert np.allclose(y[i], statespace.simulated(m, start, both) @ m.Z.T + m.D, atol=1e-6)
+
+
+def test_lists_of_shocks():
+    cells = pa.array([[{"h": 1, "shock": 0, "value": 2.0}, {"h": 1, "shock": 0, "value": 0.5}], [], None, [{"h": 0, "shock": 1, "value": -1.0}]], pa.list_(pa.struct([("h", pa.int32()), ("shock", pa.int32()), ("value", pa.float64())])))
+    want = np.zeros((4, 2, 2))
+    want[0, 1, 0], want[3, 0, 1] = 2.5, -1.0
+    assert np.array_equal(forecasting._shocks(cells, 2, 2), want) and np.array_equal(forecasting._shocks(cells[1:], 2, 2), want[1:])
+    with pytest.raises(ValueError, match="shocks"):
+        forecasting._shocks(cells, 2, 1)
+
+
 def test_histories(spark, rows):
     for smooth in (False, True):
         got = forecasting.histories(rows, ["id"], TWO, DATA, "semi", 2, smooth).toPandas()
